@@ -35,17 +35,16 @@ def bars_from_trades(
     width = minutes * NS_PER_MINUTE
     bucket = floor_div(F.col("ts_local_ns"), width)
     grouped = rows.groupBy(*by, bucket.alias("bucket")).agg(
-        F.min_by(F.struct("ts_utc_ns", "session_id", "session_date"), "event_order").alias("head"),
+        # Plain long and double buffers keep this a hash aggregate; a struct buffer would sort the trades.
+        first("ts_utc_ns").alias("ts_utc_ns"), first("session_id").alias("session_id"),
+        first("session_date").alias("session_date"),
         first("price").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         last("price").alias("close"), F.sum("size").alias("volume"), F.sum("turnover_delta").alias("turnover"),
         last("open_interest").alias("open_interest"),
     )
     return grouped.select(
-        floor_div(F.col("head.ts_utc_ns"), NS_PER_MINUTE).alias("bar_id"), *by,
-        F.lit(f"{minutes}m").alias("timeframe"),
-        F.col("head.ts_utc_ns"), (F.col("bucket") * long(width)).alias("ts_local_ns"),
-        F.col("head.session_id"), F.col("head.session_date"),
-        "open", "high", "low", "close", "volume", "turnover", "open_interest",
+        floor_div(F.col("ts_utc_ns"), NS_PER_MINUTE).alias("bar_id"), *by, F.lit(f"{minutes}m").alias("timeframe"),
+        "ts_utc_ns", (F.col("bucket") * long(width)).alias("ts_local_ns"), "session_id", "session_date", "open", "high", "low", "close", "volume", "turnover", "open_interest",
     )
 
 
@@ -89,19 +88,19 @@ def aggregate_minutes(
     """Complete N-minute buckets within a session; incomplete buckets are not emitted."""
     since = minutes_since_anchor(F.col("ts_local_ns"), session_profile)
     staged = bars.withColumn("since", since).withColumn("bucket", floor_div(F.col("since"), minutes))
-    head = F.struct("bar_id", "ts_utc_ns", "ts_local_ns", "session_id", "open")
+    first = lambda c: F.min_by(c, "bar_id").alias(c)
     grouped = staged.groupBy(*by, "session_date", "bucket").agg(
         F.count(F.lit(1)).alias("rows"), (F.max_by("since", "bar_id") - F.min_by("since", "bar_id")).alias("width"),
-        F.min_by(head, "bar_id").alias("head"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.min("bar_id").alias("bar_id"), first("ts_utc_ns"), first("ts_local_ns"), first("session_id"), first("open"),
+        F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "bar_id").alias("close"), F.sum("volume").alias("volume"),
         F.coalesce(F.sum(no_nan(F.col("turnover"))), F.lit(0.0)).alias("turnover"),
         F.max_by("open_interest", "bar_id").alias("open_interest"),
     )
     complete = grouped.where((F.col("rows") == minutes) & (F.col("width") == minutes - 1))
     return complete.select(
-        F.col("head.bar_id"), *by, F.lit(f"{minutes}m").alias("timeframe"), F.col("head.ts_utc_ns"),
-        F.col("head.ts_local_ns"), F.col("head.session_id"), "session_date", F.col("head.open"), "high", "low",
-        "close", "volume", "turnover", "open_interest",
+        "bar_id", *by, F.lit(f"{minutes}m").alias("timeframe"), "ts_utc_ns", "ts_local_ns", "session_id",
+        "session_date", "open", "high", "low", "close", "volume", "turnover", "open_interest",
     )
 
 
