@@ -18,24 +18,23 @@ def long(value: int) -> Column:
 
 
 def floor_div(x: Column, n: int) -> Column:
-    """Floor division on longs; stays exact above 2^53, where a double division would not."""
-    return F.call_function("div", x - F.pmod(x, long(n)), long(n))
+    """Floor division of longs below 2^62 in size, which in ns covers the years 1824 to 2115.
+
+    ``div`` truncates toward zero, so the value is moved into the positive range and back. ``x`` is
+    named once: nested divisions would otherwise double the generated code at every level.
+    """
+    shift = (1 << 62) // n
+    return F.call_function("div", x + long(shift * n), long(n)) - long(shift)
 
 
 def yyyymmdd(days: Column) -> Column:
     """Days since 1970-01-01 as a yyyymmdd long, independent of the session time zone."""
-    day = F.date_from_unix_date(days.cast("int"))
-    return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("long")
+    return F.date_format(F.date_from_unix_date(days.cast("int")), "yyyyMMdd").cast("long")
 
 
 def days_of(day: Column) -> Column:
     """A yyyymmdd long as days since 1970-01-01."""
-    n = day.cast("long")
-    made = F.make_date(
-        floor_div(n, 10000).cast("int"), floor_div(F.pmod(n, long(10000)), 100).cast("int"),
-        F.pmod(n, long(100)).cast("int"),
-    )
-    return F.unix_date(made).cast("long")
+    return F.unix_date(F.to_date(day.cast("string"), "yyyyMMdd")).cast("long")
 
 
 def wall_clock_ns(text: Column) -> Column:
@@ -64,12 +63,9 @@ def minute_of_day(local_ns: Column) -> Column:
 
 def minute_text(minute: Column, suffix: str = "+08:00") -> Column:
     """Minutes since the epoch as ``yyyy-MM-dd HH:mm:ss`` wall-clock text plus a zone suffix."""
-    day = F.date_from_unix_date(floor_div(minute, 1440).cast("int"))
-    of_day = F.pmod(minute, long(1440))
-    return F.format_string(
-        "%04d-%02d-%02d %02d:%02d:00" + suffix, F.year(day), F.month(day), F.dayofmonth(day),
-        floor_div(of_day, 60), F.pmod(of_day, long(60)),
-    )
+    day = F.date_format(F.date_from_unix_date(floor_div(minute, 1440).cast("int")), "yyyy-MM-dd")
+    hour, of_hour = floor_div(F.pmod(minute, long(1440)), 60), F.pmod(minute, long(60))
+    return F.concat(day, F.format_string(" %02d:%02d:00" + suffix, hour, of_hour))
 
 
 def no_nan(x: Column) -> Column:

@@ -52,7 +52,7 @@ def replay_deltas(
     """
     series = list(series)
     key = [*series, "structure_id"]
-    after = states_after_each_event(events_in_window(events, window, series), series)
+    after = states_after_each_event(events_in_window(events, window, series=series), series)
     order = Window.partitionBy(*key).orderBy("event_bar_id", "event_order", "event_id")
     base = replay_base(objects, events, bars, window, series).select(*key, F.lit(True).alias("in_base"))
     visible = F.col("state").isNotNull()
