@@ -65,13 +65,17 @@ def parity_rows(built: DataFrame, reference: DataFrame) -> DataFrame:
         .otherwise("match")
     )
     who = F.coalesce("tick", "vendor")
-    return both.select(
-        "symbol", who["session_date"].alias("session_date"), F.col("minute_key").alias("bar_local_id"),
-        who["bob"].alias("bob"), who["eob"].alias("eob"), status.alias("status"),
+    row = F.struct(
+        who["session_date"].alias("session_date"), who["bob"].alias("bob"), who["eob"].alias("eob"),
+        status.alias("status"),
         *[F.col(f"tick.{f}").alias(f"tick_{f}") for f in PARITY_FIELDS],
         *[F.col(f"vendor.{f}").alias(f"vendor_{f}") for f in PARITY_FIELDS],
         *[delta[f].alias(f"delta_{f}") for f in PARITY_FIELDS],
     )
+    # One generated row instead of thirty aliases: a later filter on the status would otherwise make the
+    # optimizer enumerate every alias combination of the fields it compares.
+    out = both.select("symbol", F.col("minute_key").alias("bar_local_id"), F.inline(F.array(row)))
+    return out.select("symbol", "session_date", "bar_local_id", *[c for c in out.columns[3:]])
 
 
 def _largest(columns: Sequence[str]) -> Column:
@@ -102,14 +106,12 @@ def mismatch_sample(rows: DataFrame, max_mismatches: int = 20) -> DataFrame:
     """
     nan = F.lit(float("nan"))
     entry = lambda order, field: F.struct(
-        F.col("status"), F.lit(order).alias("field_order"), F.lit(field).alias("field"),
+        F.lit(order).alias("field_order"), F.lit(field).alias("field"),
         F.col(f"tick_{field}").alias("tick_value"), F.col(f"vendor_{field}").alias("vendor_value"),
     )
-    # The status travels inside the generated rows: a filter on the status expression itself makes the
-    # optimizer enumerate every alias combination of the fields it compares.
     fields = F.array(*[entry(i, f) for i, f in enumerate(PARITY_FIELDS_REPORTED)])
-    laid = rows.select(
-        "symbol", "bar_local_id", "bob", F.inline(F.when(F.col("status") != "match", fields))
+    laid = rows.where(F.col("status") != "match").select(
+        "symbol", "status", "bar_local_id", "bob", F.inline(fields)
     ).withColumn("delta", F.col("tick_value") - F.col("vendor_value"))
     one_sided = F.col("status") != "mismatch"
     part = F.when(F.col("status") == "mismatch", 0).when(F.col("status") == "missing_vendor", 1).otherwise(2)

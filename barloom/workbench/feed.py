@@ -21,6 +21,7 @@ from barloom.functions.ordered import running
 from barloom.functions.scalars import NS_PER_DAY, NS_PER_MINUTE, NS_PER_SECOND, floor_div, local_to_utc_ns, long, minute_text, yyyymmdd
 from barloom.operators import bars as b
 from barloom.operators import ingest
+from barloom.session import cut_lineage
 
 ZONE = "Asia/Shanghai"
 EXCHANGE = "SHFE"
@@ -119,11 +120,15 @@ def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.bars_from_trades(_spread_over_minutes(_placed(e.withColumn("symbol", month)), "place"))
 
 
-def reference_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hour_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hour bars in the naming of the reference source, stored once: both sides of a comparison read it."""
+    return cut_lineage(b.minute_view(b.bars_from_trades(trades(spark, sf_dir), minutes=60), minutes=60))
+
+
+def reference_minutes(view: DataFrame) -> DataFrame:
     """The second source: the hour view with every 7th hour missing and every 5th hour's volume changed."""
-    v = b.minute_view(b.bars_from_trades(trades(spark, sf_dir), minutes=60), minutes=60)
     hour = floor_div(F.col("minute_key"), 60)
-    return v.where(F.pmod(hour, long(7)) != 0).withColumns(
+    return view.where(F.pmod(hour, long(7)) != 0).withColumns(
         {
             "volume": F.col("volume") + F.when(F.pmod(hour, long(5)) == 0, 3.0).otherwise(0.0),
             "close": F.col("close") + F.when(F.pmod(hour, long(11)) == 0, 0.25).otherwise(0.0),

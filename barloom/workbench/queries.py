@@ -113,7 +113,7 @@ def S02_tick_csv(spark, d):
 @query
 def S03_reference_minute_csv(spark, d):
     path = scratch(spark)
-    feed.reference_minutes(spark, d).drop("session_date", "minute_key").write.option("header", True).csv(path)
+    feed.reference_minutes(feed.hour_view(spark, d)).drop("session_date", "minute_key").write.option("header", True).csv(path)
     return flat(csv_sources.read_reference_minute_csv(spark, path))
 
 
@@ -414,16 +414,13 @@ def C07_continuous_job(spark, d):
 # --- Parity ------------------------------------------------------------------------------------
 
 
-def built_hours(spark, d):
-    return b.minute_view(b.bars_from_trades(feed.trades(spark, d), minutes=60), minutes=60)
-
-
 def parity_rows_of(spark, d):
-    return parity.parity_rows(built_hours(spark, d), feed.reference_minutes(spark, d))
+    view = feed.hour_view(spark, d)
+    return parity.parity_rows(view, feed.reference_minutes(view))
 
 
 def reference_sources(spark, d):
-    v = cut_lineage(feed.reference_minutes(spark, d))
+    v = feed.reference_minutes(feed.hour_view(spark, d))
     odd = F.pmod(floor_div(F.col("minute_key"), 60), long(4))
     return [v.where(odd != 0), v.where(odd != 1)]
 
@@ -435,14 +432,15 @@ def P01_reference_assembly(spark, d):
 
 @query
 def P02_neighbouring_days(spark, d):
-    v = feed.reference_minutes(spark, d).withColumn("source_day", F.col("session_date"))
+    v = feed.reference_minutes(feed.hour_view(spark, d)).withColumn("source_day", F.col("session_date"))
     return flat(parity.neighbouring_days(v, 20240110), "symbol", "minute_key", "source_day")
 
 
 @query
 def P03_range_restriction(spark, d):
-    built = built_hours(spark, d).where(F.col("symbol") != "view").where(F.col("session_date").between(20240105, 20240120))
-    return flat(parity.restrict_to_built_range(feed.reference_minutes(spark, d), built), "symbol", "minute_key", "close")
+    view = feed.hour_view(spark, d)
+    built = view.where(F.col("symbol") != "view").where(F.col("session_date").between(20240105, 20240120))
+    return flat(parity.restrict_to_built_range(feed.reference_minutes(view), built), "symbol", "minute_key", "close")
 
 
 @query
