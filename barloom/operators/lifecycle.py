@@ -30,19 +30,14 @@ def visible_events(
     as_of_event_id: str | None = None,
     series: Sequence[str] = schemas.SERIES,
 ) -> DataFrame:
-    """Events up to a cursor. An event cursor is looked up per series; a series without it sees nothing,
-    and an id that no series holds fails the job."""
+    """Events up to a cursor. An event cursor belongs to the series that hold it; an id that none holds
+    is a ``KeyError``, found by a pushed-down lookup before the read is planned."""
     if as_of_event_id is not None:
-        at = events.where(F.col("event_id") == as_of_event_id).groupBy(*series).agg(F.min(position()).alias("cursor"))
-        known = events.agg(F.count_if(F.col("event_id") == as_of_event_id).alias("n")).select(
-            F.when(F.col("n") == 0, F.raise_error(F.lit(f"Unknown event id {as_of_event_id}")).cast("boolean"))
-            .otherwise(F.lit(True)).alias("known")
-        )
-        # One row per series at most, and one row in all: small by construction.
-        return (
-            events.join(at, list(series)).where(position() <= F.col("cursor")).drop("cursor")
-            .join(known, F.col("known"), "left_semi")
-        )
+        hit = events.where(F.col("event_id") == as_of_event_id)
+        if not hit.select("event_id").head(1):
+            raise KeyError(as_of_event_id)
+        at = hit.groupBy(*series).agg(F.min(position()).alias("cursor"))
+        return events.join(at, list(series)).where(position() <= F.col("cursor")).drop("cursor")
     if as_of_bar_id is None:
         raise ValueError("Provide as_of_bar_id or as_of_event_id.")
     return events.where(F.col("event_bar_id") <= as_of_bar_id)
