@@ -118,7 +118,7 @@ def runs(pivots: str, key: str) -> str:
       GROUP BY {key}, run"""
 
 
-def major(legs_view: str, key: str, rulebook: str, version: str) -> str:
+def major(legs_view: str, key: str, rulebook: str, version: str, bars: str = "m_bars") -> str:
     keys = key.split(", ")
     lead = ", ".join(
         f"lead({c}, {k}) OVER w AS {c}{k}" for k in (1, 2, 3)
@@ -137,8 +137,8 @@ def major(legs_view: str, key: str, rulebook: str, version: str) -> str:
             FROM (SELECT *, coalesce(kind3 = 'leg_down' AND start_bar_id3 = end_bar_id2, FALSE) AS proves
                   FROM (SELECT *, {lead}, row_number() OVER w AS pos, count(*) OVER (PARTITION BY {key}) AS total
                         FROM (SELECT l.*, e.high AS eh, e.low AS el, s.session_id AS ss, e.session_id AS es
-                              FROM {legs_view} l JOIN m_bars s ON s.symbol = l.symbol AND s.bar_id = l.start_bar_id
-                              JOIN m_bars e ON e.symbol = l.symbol AND e.bar_id = l.end_bar_id WHERE l.state = 'confirmed')
+                              FROM {legs_view} l JOIN {bars} s ON s.symbol = l.symbol AND s.bar_id = l.start_bar_id
+                              JOIN {bars} e ON e.symbol = l.symbol AND e.bar_id = l.end_bar_id WHERE l.state = 'confirmed')
                         WINDOW w AS (PARTITION BY {key} ORDER BY start_bar_id, end_bar_id))
                   WHERE kind = 'leg_up' AND kind1 = 'leg_down' AND kind2 = 'leg_up' AND eh2 < eh))
       WHERE yes OR pos + tail = total"""
@@ -268,6 +268,14 @@ VIEWS = {
     "m_piv_runs": runs("m_piv", "symbol"),
     "m_legs": legs("m_piv", "symbol", "pivot_v0_2_chain,alternating_extreme_structural_pivots", "v0_2", "v2"),
     "m_major": major("m_legs", "symbol", "v0_2", "v2"),
+    "m_bars5": "SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_id) - 1 AS BIGINT) AS i FROM m_fam5",
+    "m_tier5": anchors("m_bars5", "pivot", 3, 3, "v2"),
+    "m_piv5": """SELECT symbol, kind, state, bar_id, price, CASE WHEN state = 'confirmed' THEN confirm_bar END AS confirm,
+        CASE WHEN state = 'confirmed' THEN confirm_session ELSE session_id END AS session_id FROM m_tier5 WHERE state <> 'invalidated'""",
+    "m_piv5_runs": runs("m_piv5", "symbol"),
+    "m_legs5": legs("m_piv5", "symbol", "pivot_v0_2_chain,alternating_extreme_structural_pivots", "v0_2", "v2"),
+    "m_major5": major("m_legs5", "symbol", "v0_2", "v2", "m_bars5"),
+    "m_win": "SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_id) - 1 AS BIGINT) AS p FROM m_window",
     # Full rebuild: the pivots visible after every event bar.
     "m_steps": """SELECT symbol, t, lead(t) OVER (PARTITION BY symbol ORDER BY t) AS next_t
         FROM (SELECT DISTINCT symbol, event_bar_id AS t FROM m_pe)""",
@@ -550,6 +558,15 @@ def _sql() -> dict[str, str]:
         + [f"SELECT symbol, {g} AS kind_group, event_type AS what, count(*) AS n, 'events' AS dataset FROM {v} GROUP BY symbol, {g}, event_type"
            for g, v in (("kind_group", "m_pevents"), ("'leg'", "m_leg_events"), ("'major_lh'", "m_major_events"))])
 
+    q["T21_chain_on_five_minute_family"] = f"SELECT {LEG_OBJECT} FROM m_legs5 UNION ALL SELECT {MAJOR_OBJECT} FROM m_major5"
+
+    q["L03_leg_states_as_of_bar"] = f"""
+      SELECT e.symbol, structure_id, kind, state, start_bar_id, end_bar_id, confirm_bar_id, b.session_id, b.session_date, anchor_bar_ids, reason_codes, explanation_codes
+      FROM (SELECT symbol, structure_id, kind, max(event_bar_id) AS t, max_by(state_after_event, event_bar_id) AS state, any_value(start_bar_id) AS start_bar_id,
+              any_value(end_bar_id) AS end_bar_id, coalesce(max(confirm_bar_id), -1) AS confirm_bar_id, any_value(anchor_bar_ids) AS anchor_bar_ids,
+              max_by(reason_codes, event_bar_id) AS reason_codes, max_by(payload_codes, event_bar_id) FILTER (payload_codes <> '') AS explanation_codes
+            FROM m_leg_events WHERE event_bar_id <= {CURSOR_BAR} GROUP BY symbol, structure_id, kind) e
+      JOIN m_bars b ON b.symbol = e.symbol AND b.bar_id = e.t WHERE state <> 'invalidated'"""
     q["L01_states_as_of_bar"] = f"SELECT {STATE} FROM m_state"
     q["L04_payload_state"] = "SELECT symbol, structure_id, round(price, 6) AS extreme_price, 3 AS left_window, 3 AS right_window, crosses AS crosses_session_boundary FROM m_state"
     cursor = f"(SELECT event_bar_id AS cb, event_order AS co FROM m_pe WHERE symbol = 'click' AND event_bar_id >= {CURSOR_BAR} ORDER BY event_bar_id, event_order LIMIT 1)"
@@ -617,6 +634,15 @@ def _sql() -> dict[str, str]:
       JOIN m_bars b ON b.symbol = f.symbol AND b.ts_utc_ns BETWEEN f.ts_utc_ns AND f.ts_utc_ns + {4 * MIN_NS}
       WHERE f.ts_utc_ns BETWEEN {CENTER_BAR * MIN_NS} AND {(CENTER_BAR + 120) * MIN_NS}
       WINDOW w AS (PARTITION BY f.symbol, f.bar_id ORDER BY b.bar_id)"""
+    a9 = "0.2::DOUBLE * b.close + 0.8::DOUBLE * e.v"
+    q["W11_ema_lines"] = f"""m_recursion AS (
+        SELECT symbol, i, CAST(close AS DOUBLE) AS v, bar_id FROM m_bars WHERE i = 0
+        UNION ALL SELECT b.symbol, b.i, {a9}, b.bar_id FROM m_recursion e JOIN m_bars b ON b.symbol = e.symbol AND b.i = e.i + 1),
+      m_recursion_window AS (
+        SELECT symbol, p, CAST(close AS DOUBLE) AS v, bar_id FROM m_win WHERE p = 0
+        UNION ALL SELECT b.symbol, b.p, {a9}, b.bar_id FROM m_recursion_window e JOIN m_win b ON b.symbol = e.symbol AND b.p = e.p + 1)
+      SELECT symbol, bar_id, 'window' AS seed, round(v, 6) AS ema_9 FROM m_recursion_window
+      UNION ALL SELECT r.symbol, r.bar_id, 'history', round(v, 6) FROM m_recursion r JOIN m_window w ON w.symbol = r.symbol AND w.bar_id = r.bar_id"""
     q["W13_objects_in_window"] = w03.format("codes", "m_objects")
 
     q["X01_live_minute_bars"] = q["B01_minute_bars"]
