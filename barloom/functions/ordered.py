@@ -68,13 +68,12 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    joined = base.join(carry, [*keys, _CHUNK])
-    local = joined.select(
-        *df.columns,
-        *[F.col(f"__carry_{name}") for name in aggs],
+    # The window comes first: its sort by (keys, chunk, order) already serves the join on (keys, chunk).
+    local = base.select(
+        *df.columns, _CHUNK,
         *[_AGGREGATES[kind](expr).over(here).alias(f"__here_{name}") for name, (kind, expr) in aggs.items()],
     )
-    return local.select(
+    return local.join(carry, [*keys, _CHUNK]).select(
         *df.columns,
         *[
             _combine(kind, F.col(f"__carry_{name}"), F.col(f"__here_{name}")).alias(name)

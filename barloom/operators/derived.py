@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom import rules, schemas
-from barloom.functions.ordered import CHUNK_ROWS, as_of, running
+from barloom.functions.ordered import CHUNK_ROWS, as_of
 from barloom.functions.scalars import long, strings
-from barloom.operators.legs import leg_rows, number_runs, score
+from barloom.operators.legs import LEG_PIVOT, leg_rows, number_runs, score
 from barloom.operators.pivots import order_events
 
 DERIVED_PRIORITY = {"invalidated": 0, "replaced": 0, "updated": 1, "confirmed": 2, "created": 3}
@@ -24,7 +24,6 @@ _COMPARED = (
     "state", "start_bar_id", "end_bar_id", "confirm_bar_id", "anchor_bar_ids", "session_id", "session_date",
     "explanation_codes",
 )
-_LEG_PIVOT = ("start_bar_id", "kind", "structure_id", "state", "confirm_bar_id", "session_id", "session_date", "price")
 
 
 def changed_fields(before: Column, after: Column) -> Column:
@@ -115,13 +114,8 @@ def settled_runs(anchors: DataFrame, series: Sequence[str], span: int = CHUNK_RO
         F.col("confirm.bar_id").alias("confirm_bar_id"), F.col("confirm.session_id").alias("session_id"),
         F.col("confirm.session_date").alias("session_date"), "price",
     )
-    runs = number_runs(settled, series, span)
-    pivot = F.struct(*_LEG_PIVOT)
-    ranked = F.struct(score(F.col("kind"), F.col("price")).alias("score"), *_LEG_PIVOT)
-    seen = running(
-        runs, [*series, "run_id"], ["start_bar_id"], {"first": ("min", pivot), "top": ("max", ranked)}, span=span
-    )
-    best = F.struct(*[F.col("top")[f].alias(f) for f in _LEG_PIVOT])
+    seen = number_runs(settled, series, span, so_far=True)
+    best = F.struct(*[F.col("top")[f].alias(f) for f in LEG_PIVOT])
     return seen.select(*series, "at", "start_bar_id", "kind", F.struct("first", best.alias("best")).alias("run"))
 
 

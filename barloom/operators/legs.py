@@ -12,6 +12,7 @@ from barloom.functions.ordered import CHUNK_ROWS, chunk_of, drop_halo, spread_ha
 from barloom.functions.scalars import codes, strings, structure_id
 
 _PIVOT = ("start_bar_id", "kind", "structure_id", "state", "confirm_bar_id", "session_id", "session_date")
+LEG_PIVOT = (*_PIVOT, "price")
 
 
 def pivot_side(kind: Column) -> Column:
@@ -28,40 +29,63 @@ def priced(pivots: DataFrame, bars: DataFrame, series: Sequence[str] = schemas.S
     ).drop("high", "low")
 
 
-def number_runs(pivots: DataFrame, series: Sequence[str] = schemas.SERIES, span: int = CHUNK_ROWS) -> DataFrame:
+def score(kind: Column, price: Column) -> Column:
+    """Larger is more extreme, for either side."""
+    return F.when(kind == "pivot_high", price).otherwise(-price)
+
+
+def number_runs(
+    pivots: DataFrame, series: Sequence[str] = schemas.SERIES, span: int = CHUNK_ROWS, so_far: bool = False
+) -> DataFrame:
     """Add ``run_id``: 1, 2, ... for each maximal run of same-side pivots in (bar, kind, id) order.
 
     Runs are numbered inside chunks of bar ids; one row per chunk says how many runs it holds and
-    whether its first run continues the last run before it.
+    whether its first run continues the last run before it. With ``so_far`` each pivot also gets the
+    ``first`` and the ``top`` (most extreme) pivot of its run up to itself, carried over the same table.
     """
     series = list(series)
     order = F.struct("start_bar_id", "kind", "structure_id")
-    p = pivots.withColumn("side", pivot_side(F.col("kind"))).withColumn("chunk", chunk_of(F.col("start_bar_id"), span))
-    w = Window.partitionBy(*series, "chunk").orderBy("start_bar_id", "kind", "structure_id")
+    by_order = ["start_bar_id", "kind", "structure_id"]
+    p = pivots.withColumns({"side": pivot_side(F.col("kind")), "chunk": chunk_of(F.col("start_bar_id"), span)})
+    w = Window.partitionBy(*series, "chunk").orderBy(*by_order)
+    upto = Window.unboundedPreceding, 0
     turn = F.when(F.lag("side").over(w) == F.col("side"), 0).otherwise(1)
-    local = p.withColumn("turn", turn).withColumn(
-        "local_run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    local = p.withColumn("turn", turn).withColumn("local_run", F.sum("turn").over(w.rowsBetween(*upto)))
+    run_ends = []
+    if so_far:
+        inside = Window.partitionBy(*series, "chunk", "local_run").orderBy(*by_order).rowsBetween(*upto)
+        pivot = F.struct(*LEG_PIVOT)
+        ranked = F.struct(score(F.col("kind"), F.col("price")).alias("score"), *LEG_PIVOT)
+        local = local.withColumns({"first": F.min(pivot).over(inside), "top": F.max(ranked).over(inside)})
+        run_ends = [F.max_by("first", order).alias("last_first"), F.max_by("top", order).alias("last_top")]
     heads = local.groupBy(*series, "chunk").agg(
         F.max("local_run").alias("runs"), F.min_by("side", order).alias("first_side"),
-        F.max_by("side", order).alias("last_side"),
+        F.max_by("side", order).alias("last_side"), *run_ends,
     )
     ws = Window.partitionBy(*series).orderBy("chunk")
     heads = heads.withColumn("joins", F.when(F.lag("last_side").over(ws) == F.col("first_side"), 1).otherwise(0))
     offset = F.coalesce(F.sum("runs").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum(
         "joins"
-    ).over(ws.rowsBetween(Window.unboundedPreceding, 0))
-    heads = heads.select(*series, "chunk", offset.alias("offset"))
+    ).over(ws.rowsBetween(*upto))
+    heads = heads.withColumn("offset", offset)
+    carried = []
+    if so_far:
+        same_run = Window.partitionBy(*series, F.col("runs") + F.col("offset")).orderBy("chunk").rowsBetween(*upto)
+        heads = heads.withColumns({"run_first": F.min("last_first").over(same_run), "run_top": F.max("last_top").over(same_run)})
+        carried = [
+            F.when(F.col("joins") == 1, F.lag(f"run_{c}").over(ws)).alias(f"carry_{c}") for c in ("first", "top")
+        ]
+    heads = heads.select(*series, "chunk", "offset", *carried)
+    starts = F.col("local_run") == 1
+    runs_so_far = [] if not so_far else [
+        F.when(starts & F.col("carry_first").isNotNull(), F.col("carry_first")).otherwise(F.col("first")).alias("first"),
+        F.when(starts & (F.col("carry_top") > F.col("top")), F.col("carry_top")).otherwise(F.col("top")).alias("top"),
+    ]
     return local.join(heads, [*series, "chunk"]).select(
-        *pivots.columns, "side", (F.col("local_run") + F.col("offset")).alias("run_id")
+        *pivots.columns, "side", (F.col("local_run") + F.col("offset")).alias("run_id"), *runs_so_far
     )
 
 
-def score(kind: Column, price: Column) -> Column:
-    """Larger is more extreme, for either side."""
-    return F.when(kind == "pivot_high", price).otherwise(-price)
-
-
 def legs_from_pivots(
     pivots: DataFrame,
     bars: DataFrame | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +27,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = getattr(spark.sparkContext, "_barloom_folder", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="barloom-")
-            spark.sparkContext._barloom_folder = folder
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+    if getattr(spark.sparkContext, "_barloom_folder", None) is None:
+        spark.sparkContext._barloom_folder = tempfile.mkdtemp(prefix="barloom-")
+    return spark.sparkContext._barloom_folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage so that several passes over it do not recompute it.
+    """Write ``df`` once to the shared folder and read it back.
 
-    Used where an operator chain reads the same dataset more than once (bars feeding features,
-    pivots and overlays). The files survive a lost executor.
+    Used where several passes read one dataset (bars feeding features, pivots and overlays). Unlike
+    ``checkpoint()`` the last stage runs once, later reads prune columns, and the planner knows the
+    size. The files survive a lost executor.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/barloom-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -78,7 +78,7 @@ def anchors(bars: str, group: str, left: int, right: int, version: str, scope: s
             {ident(kind, 'bar_id', 'bar_id', 'v0_2', version, scope)} AS structure_id,
             CASE WHEN hit_q THEN {ident(kind, 'hit_bar', 'hit_bar', 'v0_2', version, scope)} END AS successor,
             'left_window_{left},right_window_{right},strict_tie_rule' || CASE WHEN crosses THEN ',cross_session_window' ELSE '' END AS codes,
-            {left} AS left_window, {right} AS right_window
+            CAST({left} AS BIGINT) AS left_window, CAST({right} AS BIGINT) AS right_window
           FROM (
             SELECT *, {pick('b')} AS hit_bar, {pick('s')} AS hit_session, {pick('q')} AS hit_q FROM (
               SELECT symbol, bar_id, i, session_id, session_date, {side} AS price, {hit} AS hit, b{right} AS confirm_bar,
@@ -175,7 +175,7 @@ def diff(states: str, created: str, confirmed: str, gone: str) -> str:
       WHERE gone OR fresh OR (a_state, a_confirm_bar_id, a_session_id, a_codes) IS DISTINCT FROM (b_state, b_confirm_bar_id, b_session_id, b_codes)"""
 
 
-ANCHOR_TAIL = "symbol, structure_id, kind, state, bar_id AS start_bar_id, -1 AS end_bar_id"
+ANCHOR_TAIL = "symbol, structure_id, kind, state, bar_id AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id"
 
 VIEWS = {
     "m_ev": """SELECT event_id, user_id, event_type AS symbol, value, epoch_us(ts) AS micros,
@@ -365,21 +365,21 @@ def compose(statement: str) -> str:
 BAR = ("symbol, bar_id, ts_utc_ns, ts_local_ns, session_id, session_date, open, high, low, close, volume, turnover, open_interest")
 VIEW_COLUMNS = f"""symbol, session_date, ts_local_ns // {MIN_NS} AS minute_key, {minute_text(f'ts_local_ns // {MIN_NS}')} AS bob,
   {minute_text(f'ts_local_ns // {MIN_NS} + 1')} AS eob, open, high, low, close, turnover AS amount, volume, open_interest AS position"""
-PIVOT_OBJECT = """symbol, structure_id, kind, state, bar_id AS start_bar_id, -1 AS end_bar_id,
+PIVOT_OBJECT = """symbol, structure_id, kind, state, bar_id AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id,
   CASE WHEN state = 'confirmed' THEN confirm_bar ELSE -1 END AS confirm_bar_id, session_id, session_date,
   CAST(bar_id AS VARCHAR) AS anchor_bar_ids, codes AS explanation_codes"""
-P1_OBJECT = """symbol, structure_id, kind, state, bar_id AS start_bar_id, -1 AS end_bar_id, coalesce(confirm, -1) AS confirm_bar_id,
+P1_OBJECT = """symbol, structure_id, kind, state, bar_id AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id, coalesce(confirm, -1) AS confirm_bar_id,
   session_id, session_date, CAST(bar_id AS VARCHAR) AS anchor_bar_ids, codes AS explanation_codes"""
 LEG_OBJECT = """symbol, structure_id, kind, state, start_bar_id, end_bar_id, coalesce(confirm_bar_id, -1) AS confirm_bar_id, session_id,
   session_id AS session_date, start_bar_id || ',' || end_bar_id AS anchor_bar_ids, codes AS explanation_codes"""
 MAJOR_OBJECT = """symbol, structure_id, kind, state, start_bar_id, end_bar_id, coalesce(confirm_bar_id, -1) AS confirm_bar_id, session_id,
   session_id AS session_date, anchors AS anchor_bar_ids, codes AS explanation_codes"""
 PIVOT_EVENT = """symbol, event_id, structure_id, kind, event_type, event_bar_id, event_order, after AS state_after_event, reason AS reason_codes,
-  bar_id AS start_bar_id, -1 AS end_bar_id, confirm_id AS confirm_bar_id, CAST(bar_id AS VARCHAR) AS anchor_bar_ids,
+  bar_id AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id, confirm_id AS confirm_bar_id, CAST(bar_id AS VARCHAR) AS anchor_bar_ids,
   coalesce(successor, '') AS successor_structure_id, changed AS changed_fields, e_session AS session_id, e_session AS session_date"""
 DERIVED_EVENT = """e.symbol, event_id, structure_id, kind, event_type, event_bar_id, state_after_event, reason_codes, start_bar_id, end_bar_id,
   coalesce(confirm_bar_id, -1) AS confirm_bar_id, anchor_bar_ids, b.session_id, b.session_date"""
-STATE = """symbol, structure_id, kind, state, start_bar_id, -1 AS end_bar_id, confirm_bar_id, session_id, session_id AS session_date,
+STATE = """symbol, structure_id, kind, state, start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id, confirm_bar_id, session_id, session_id AS session_date,
   CAST(start_bar_id AS VARCHAR) AS anchor_bar_ids, reason_codes, explanation_codes"""
 YEARS = "'2024' AS years"
 PARITY = ", ".join(f"round(tick_{f}, 6) AS tick_{f}, round(vendor_{f}, 6) AS vendor_{f}, round(delta_{f}, 6) AS delta_{f}"
@@ -568,9 +568,9 @@ def _sql() -> dict[str, str]:
             FROM m_leg_events WHERE event_bar_id <= {CURSOR_BAR} GROUP BY symbol, structure_id, kind) e
       JOIN m_bars b ON b.symbol = e.symbol AND b.bar_id = e.t WHERE state <> 'invalidated'"""
     q["L01_states_as_of_bar"] = f"SELECT {STATE} FROM m_state"
-    q["L04_payload_state"] = "SELECT symbol, structure_id, round(price, 6) AS extreme_price, 3 AS left_window, 3 AS right_window, crosses AS crosses_session_boundary FROM m_state"
+    q["L04_payload_state"] = "SELECT symbol, structure_id, round(price, 6) AS extreme_price, CAST(3 AS BIGINT) AS left_window, CAST(3 AS BIGINT) AS right_window, crosses AS crosses_session_boundary FROM m_state"
     cursor = f"(SELECT event_bar_id AS cb, event_order AS co FROM m_pe WHERE symbol = 'click' AND event_bar_id >= {CURSOR_BAR} ORDER BY event_bar_id, event_order LIMIT 1)"
-    q["L02_states_as_of_event"] = f"""SELECT symbol, structure_id, kind, max_by(after, (event_bar_id, event_order)) AS state, any_value(bar_id) AS start_bar_id, -1 AS end_bar_id,
+    q["L02_states_as_of_event"] = f"""SELECT symbol, structure_id, kind, max_by(after, (event_bar_id, event_order)) AS state, any_value(bar_id) AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id,
         max(confirm_id) AS confirm_bar_id, max_by(e_session, (event_bar_id, event_order)) AS session_id, max_by(e_session, (event_bar_id, event_order)) AS session_date,
         CAST(any_value(bar_id) AS VARCHAR) AS anchor_bar_ids, max_by(reason, (event_bar_id, event_order)) AS reason_codes, any_value(codes) AS explanation_codes
       FROM m_pe, {cursor} WHERE symbol = 'click' AND (event_bar_id < cb OR (event_bar_id = cb AND event_order <= co))
@@ -607,7 +607,7 @@ def _sql() -> dict[str, str]:
       JOIN (SELECT symbol AS s, count(*) AS n FROM m_hour WHERE session_date = {WINDOW_SESSION} GROUP BY symbol) c ON s = symbol WHERE rn <= n + 4"""
     q["W01_window_by_time"] = f"""SELECT {BAR} FROM m_bars b JOIN (SELECT symbol AS s, min(i) AS lo, max(i) AS hi FROM m_bars
       WHERE ts_utc_ns BETWEEN {CENTER_BAR * MIN_NS} AND {(CENTER_BAR + 60) * MIN_NS} GROUP BY symbol) r ON s = symbol WHERE i BETWEEN lo - 4 AND hi + 4"""
-    w03 = """SELECT s.symbol, structure_id, kind, state, start_bar_id, -1 AS end_bar_id, coalesce(confirm_bar_id, -1) AS confirm_bar_id, session_id, session_id AS session_date,
+    w03 = """SELECT s.symbol, structure_id, kind, state, start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id, coalesce(confirm_bar_id, -1) AS confirm_bar_id, session_id, session_id AS session_date,
       CAST(start_bar_id AS VARCHAR) AS anchor_bar_ids, {} AS explanation_codes FROM {} s JOIN m_range r ON r.symbol = s.symbol AND start_bar_id BETWEEN lo AND hi"""
     q["W03_structures_in_window"] = f"""{w03.format('explanation_codes', 'm_state')} UNION ALL {w03.format('codes', 'm_visible')}
       WHERE NOT EXISTS (SELECT 1 FROM m_state x WHERE x.symbol = s.symbol AND x.structure_id = s.structure_id)"""

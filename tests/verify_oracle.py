@@ -56,7 +56,10 @@ def main() -> int:
             continue
         t = time.time()
         try:
-            got = fn(spark, sf_dir).toPandas()
+            df = fn(spark, sf_dir)
+            odd = [f.simpleString() for f in df.schema if f.dataType.simpleString() not in ("bigint", "double", "string", "boolean")]
+            assert not odd, f"types {odd}"
+            got = df.toPandas()
             spent = time.time() - t
             if name not in sql:
                 print(f"  rows {name}: {len(got)} ({spent:.1f}s)", flush=True)
