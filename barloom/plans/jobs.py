@@ -22,10 +22,10 @@ def _store(df: DataFrame, path: str, kind: str, profile, by: Sequence[str] = ("s
 
 
 def canonical_bar_job(spark: SparkSession, csv_path: str, out: str, data_version: str, symbol: str | None = None) -> DataFrame:
-    """Minute CSV to checked canonical bars."""
+    """Minute CSV to checked canonical bars; with ``symbol`` any other symbol is an error."""
     raw = csv_sources.read_minute_csv(spark, csv_path)
     problems = ingest.raw_minute_problems(raw, symbol)
-    ingest.require_clean(problems, "null_values", "extra_symbols").head(1)
+    ingest.require_clean(problems, "null_values", *(["extra_symbols"] if symbol else [])).head(1)
     made = ingest.canonical_minute_bars(raw)
     if ingest.misaligned_rows(made).head(1):
         raise ValueError("Minute bars are not aligned to the minute.")

@@ -479,7 +479,7 @@ def _sql() -> dict[str, str]:
       WHERE rn <= (SELECT count(*) FROM m_fam5 WHERE symbol = 'click' AND session_date = {WINDOW_SESSION}) + 2"""
     q["B10_minute_view_of_bars"] = q["B02_minute_view_of_trades"]
     q["B11_contract_bar_job"] = f"SELECT {BAR} FROM m_contract_minutes"
-    q["B12_canonical_bar_job"] = q["S05_legacy_bar_scan"] + " WHERE symbol = 'view'"
+    q["B12_canonical_bar_job"] = q["S05_legacy_bar_scan"]
     q["B13_trade_job"] = "SELECT symbol, session_date, event_order, price, size, turnover_delta, open_interest FROM m_trades"
 
     q["C01_contract_session_stats"] = "SELECT * FROM m_cstats"
@@ -496,9 +496,9 @@ def _sql() -> dict[str, str]:
     view = f"symbol, session_date, minute_key, {minute_text('minute_key')} AS bob, {minute_text('minute_key + 60')} AS eob, open, high, low, close, amount, volume, position"
     q["P01_reference_assembly"] = f"SELECT {view} FROM m_vendor"
     q["P02_neighbouring_days"] = "SELECT symbol, minute_key, session_date AS source_day FROM m_vendor WHERE session_date BETWEEN 20240109 AND 20240111"
-    q["P03_range_restriction"] = """SELECT v.symbol, v.minute_key, v.close FROM m_vendor v LEFT JOIN (SELECT symbol, min(minute_key) AS lo, max(minute_key) AS hi FROM m_built
-      WHERE symbol <> 'view' AND session_date BETWEEN 20240105 AND 20240120 GROUP BY symbol) r ON v.symbol = r.symbol
-      WHERE r.lo IS NULL OR v.minute_key BETWEEN r.lo AND r.hi"""
+    q["P03_range_restriction"] = """SELECT v.symbol, v.minute_key - 4320 AS minute_key, v.close FROM m_vendor v
+      JOIN (SELECT symbol, min(minute_key) AS lo, max(minute_key) AS hi FROM m_built GROUP BY symbol) r ON v.symbol = r.symbol
+      WHERE v.minute_key - 4320 BETWEEN r.lo AND r.hi"""
     q["P04_parity_rows"] = f"""SELECT symbol, session_date, bar_local_id, {minute_text('bar_local_id')} AS bob, {minute_text('bar_local_id + 60')} AS eob, status, {PARITY} FROM m_parity"""
     q["P05_parity_summary"] = f"SELECT {SUMMARY} FROM m_parity GROUP BY symbol"
     fields = ("open", "high", "low", "close", "volume", "amount", "position")
@@ -569,12 +569,14 @@ def _sql() -> dict[str, str]:
       JOIN m_bars b ON b.symbol = e.symbol AND b.bar_id = e.t WHERE state <> 'invalidated'"""
     q["L01_states_as_of_bar"] = f"SELECT {STATE} FROM m_state"
     q["L04_payload_state"] = "SELECT symbol, structure_id, round(price, 6) AS extreme_price, CAST(3 AS BIGINT) AS left_window, CAST(3 AS BIGINT) AS right_window, crosses AS crosses_session_boundary FROM m_state"
-    cursor = f"(SELECT event_bar_id AS cb, event_order AS co FROM m_pe WHERE symbol = 'click' AND event_bar_id >= {CURSOR_BAR} ORDER BY event_bar_id, event_order LIMIT 1)"
-    q["L02_states_as_of_event"] = f"""SELECT symbol, structure_id, kind, max_by(after, (event_bar_id, event_order)) AS state, any_value(bar_id) AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id,
-        max(confirm_id) AS confirm_bar_id, max_by(e_session, (event_bar_id, event_order)) AS session_id, max_by(e_session, (event_bar_id, event_order)) AS session_date,
-        CAST(any_value(bar_id) AS VARCHAR) AS anchor_bar_ids, max_by(reason, (event_bar_id, event_order)) AS reason_codes, any_value(codes) AS explanation_codes
-      FROM m_pe, {cursor} WHERE symbol = 'click' AND (event_bar_id < cb OR (event_bar_id = cb AND event_order <= co))
-      GROUP BY symbol, structure_id, kind HAVING max_by(after, (event_bar_id, event_order)) <> 'invalidated'"""
+    place = "(event_bar_id, event_order)"
+    q["L02_states_as_of_event"] = f"""SELECT e.symbol, structure_id, kind, max_by(after, {place}) AS state, any_value(bar_id) AS start_bar_id, CAST(-1 AS BIGINT) AS end_bar_id,
+        max(confirm_id) AS confirm_bar_id, max_by(e_session, {place}) AS session_id, max_by(e_session, {place}) AS session_date,
+        CAST(any_value(bar_id) AS VARCHAR) AS anchor_bar_ids, max_by(reason, {place}) AS reason_codes, any_value(codes) AS explanation_codes
+      FROM m_pe e JOIN (SELECT symbol, event_bar_id AS cb, event_order AS co FROM m_pe WHERE event_id = (SELECT event_id FROM m_pe
+          WHERE symbol = 'click' AND event_bar_id >= {CURSOR_BAR} ORDER BY event_bar_id, event_order LIMIT 1)) c ON c.symbol = e.symbol
+      WHERE event_bar_id < cb OR (event_bar_id = cb AND event_order <= co)
+      GROUP BY e.symbol, structure_id, kind HAVING max_by(after, {place}) <> 'invalidated'"""
     q["L05_transition_violations"] = """SELECT symbol, event_id, event_type, CASE WHEN event_type = 'confirmed' AND bar_id % 5 = 0 THEN 'confirmed_without_state'
       ELSE 'first_event_not_created' END AS problem FROM m_pe
       WHERE NOT (event_type = 'created' AND bar_id % 7 = 0) AND ((event_type = 'confirmed' AND bar_id % 5 = 0) OR (event_type <> 'created' AND bar_id % 7 = 0))"""

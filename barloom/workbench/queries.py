@@ -215,6 +215,7 @@ def N04_minute_alignment(spark, d):
 
 @query
 def N05_series_invariants(spark, d):
+    # Faults are put in on purpose: repeated ids, sessions that go back, NaN prices.
     bars = feed.dense_bars(spark, d)
     bad = bars.where(F.pmod("bar_id", long(50)) == 0).withColumns(
         {"session_date": F.col("session_date") - 1, "close": F.lit(float("nan"))}
@@ -354,8 +355,8 @@ def B11_contract_bar_job(spark, d):
 @query
 def B12_canonical_bar_job(spark, d):
     path = scratch(spark)
-    raw_minutes(spark, d).where(F.col("symbol") == "view").write.option("header", True).csv(f"{path}/csv")
-    return flat(jobs.canonical_bar_job(spark, f"{path}/csv", f"{path}/bars", "v1", "view"), *BAR)
+    raw_minutes(spark, d).write.option("header", True).csv(f"{path}/csv")
+    return flat(jobs.canonical_bar_job(spark, f"{path}/csv", f"{path}/bars", "v1"), *BAR)
 
 
 @query
@@ -438,9 +439,10 @@ def P02_neighbouring_days(spark, d):
 
 @query
 def P03_range_restriction(spark, d):
+    # The reference starts and ends three days before the built bars.
     view = feed.hour_view(spark, d)
-    built = view.where(F.col("symbol") != "view").where(F.col("session_date").between(20240105, 20240120))
-    return flat(parity.restrict_to_built_range(feed.reference_minutes(view), built), "symbol", "minute_key", "close")
+    early = feed.reference_minutes(view).withColumn("minute_key", F.col("minute_key") - 3 * 1440)
+    return flat(parity.restrict_to_built_range(early, view), "symbol", "minute_key", "close")
 
 
 @query
@@ -496,6 +498,7 @@ def F07_feature_bundle(spark, d):
 
 @query
 def F08_bundle_alignment(spark, d):
+    # Faults are put in on purpose: bars, edges and single features that are missing.
     bars = indexed(spark, d)
     rows = features.to_long_features(features.edge_features(bars))
     dented = rows.where((F.pmod("bar_id", long(90)) != 0) & ((F.pmod("bar_id", long(80)) != 0) | (F.col("feature_key") != "hl_gap")))
@@ -674,7 +677,7 @@ def L02_states_as_of_event(spark, d):
     log = pivot_log(spark, d)
     cursor = log.where((F.col("symbol") == "click") & (F.col("event_bar_id") >= CURSOR_BAR)).agg(
         F.min_by("event_id", lifecycle.position())).head()[0]
-    return flat(lifecycle.states_as_of(log, as_of_event_id=cursor).where(F.col("symbol") == "click"), *STATE)
+    return flat(lifecycle.states_as_of(log, as_of_event_id=cursor), *STATE)
 
 
 @query
@@ -691,6 +694,7 @@ def L04_payload_state(spark, d):
 
 @query
 def L05_transition_violations(spark, d):
+    # Faults are put in on purpose: lost created events and confirmations without the state.
     broken = pivot_log(spark, d).where(
         ~((F.col("event_type") == "created") & (F.pmod("start_bar_id", long(7)) == 0))
     ).withColumn("state_after_event", F.when((F.col("event_type") == "confirmed") & (F.pmod("start_bar_id", long(5)) == 0), "candidate").otherwise(F.col("state_after_event")))
