@@ -59,8 +59,11 @@ EVENT_COLUMNS = (
     "session_id", "session_date",
 )
 PARITY_FIELDS = ("open", "high", "low", "close", "amount", "volume", "position")
+# A review verdict is a record format only; nothing reads or writes one.
 VERDICT = _schema(
-    ("review_id", S), ("structure_id", S), ("verdict", S), ("reason", S), ("comment", S), ("reviewed_at_ns", L),
+    ("review_id", S), ("reviewer_id", S), ("review_mode", S), ("data_version", S), ("feature_version", S),
+    ("rulebook_version", S), ("structure_id", S), ("reviewed_start_bar_id", L), ("reviewed_end_bar_id", L), ("verdict", S),
+    ("reason_code", S), ("comment", S), ("created_at_iso", S),
 )
 EDGE_FEATURE_KEYS = ("hl_overlap", "body_overlap", "hl_gap", "body_gap")
 
