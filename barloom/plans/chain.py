@@ -56,6 +56,14 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def stored_index(bars: DataFrame, series: Sequence[str] = schemas.SERIES, span: int = CHUNK_ROWS) -> DataFrame:
+    """Bars with ``bar_index``, stored. Numbering reads its input twice, so the bars are stored before it:
+    what they are built from, a trade-level shuffle, then runs once."""
+    if "bar_index" in bars.columns:
+        return bars
+    return cut_lineage(index_bars(cut_lineage(bars), series, span))
+
+
 def pivot_tier(
     bars: DataFrame, tier: rules.PivotTier, series: Sequence[str] = schemas.SERIES,
     feature_refs: Sequence[str] = (), scope: str | None = None, rows: int = CHUNK_ROWS,
@@ -69,7 +77,7 @@ def structures_v1(
     bars: DataFrame, series: Sequence[str] = schemas.SERIES, feature_refs: Sequence[str] = (), scope: str | None = None
 ) -> dict[str, DataFrame]:
     """T13 for rulebook v0.1: pivots, legs and major lower highs as objects."""
-    bars = cut_lineage(index_bars(bars, series))
+    bars = stored_index(bars, series)
     found = cut_lineage(pivots.pivots_v1(bars, series, feature_refs, scope))
     leg = cut_lineage(legs.legs_from_pivots(found, series=series, family=rules.LEG_V1, feature_refs=feature_refs, scope=scope))
     major = major_lh.major_lower_highs(leg, bars, series, rules.MAJOR_LH_V1, feature_refs, scope)
@@ -85,7 +93,7 @@ def structure_chain(
     rows: int = CHUNK_ROWS,
 ) -> StructureChain:
     """All v0.2 objects and events of a family."""
-    bars = cut_lineage(index_bars(bars, series, span))
+    bars = stored_index(bars, series, span)
     anchors = cut_lineage(pivots.pivot_anchors(bars, series=series, scope=scope, rows=rows))
     tier = lambda k: anchors.where(F.col("kind_group") == k)
     leg_objects = cut_lineage(

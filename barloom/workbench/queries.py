@@ -71,7 +71,7 @@ OVERLAY = ("symbol", "overlay_id", "kind", "source_structure_id", "anchor_bars",
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense bars with positions, stored once for the operators that read them several times."""
-    return cut_lineage(b.index_bars(feed.dense_bars(spark, sf_dir)))
+    return chain.stored_index(feed.dense_bars(spark, sf_dir))
 
 
 def anchors(bars: DataFrame) -> DataFrame:
