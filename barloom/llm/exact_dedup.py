@@ -152,22 +152,31 @@ def exact_groups(docs: DataFrame, batch: Column, text: str = "text", digest: Col
     checked = members.join(stays, "digest").select("doc_id", "digest", "content", F.col("content").eqNullSafe(F.col("stay_text")).alias("same"))
     other = stage(checked.filter(~F.col("same")).select("doc_id", "digest", "content"))
     if other.isEmpty():
-        rows = named.select("doc_id", "digest").join(groups, "digest")
+        rows = named.select("doc_id", "digest").join(groups, "digest").withColumn("part", F.lit(""))
     else:  # digests that two texts share: these few groups are formed by the text itself
         mixed = other.select("digest").distinct()
         by_text = members.join(mixed, "digest", "left_semi")
         own = by_text.groupBy("content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        rows = named.select("doc_id", "digest").join(groups, "digest").join(mixed, "digest", "left_anti").unionByName(
-            by_text.select("doc_id", "digest", "content").join(own, "content").drop("content"))
+        rows = named.select("doc_id", "digest").join(groups, "digest").join(mixed, "digest", "left_anti").withColumn("part", F.lit("")).unionByName(
+            by_text.select("doc_id", "digest", "content").join(own, "content").withColumn("part", F.sha2("content", 256)).drop("content"))
     return _one_kept(rows)
 
 
 def _one_kept(rows: DataFrame) -> DataFrame:
     """Mark the row that stays. Rows that repeat an id within a group are counted and dealt out again, the first kept."""
-    each = rows.groupBy("digest", "keep_id", "group_size", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    each = rows.groupBy("digest", "part", "keep_id", "group_size", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
     return each.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
         "digest",
     )
+
+
+def keep_one(docs: DataFrame, batch: Column, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns."""
+    stay = exact_groups(docs, batch, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__stay"))
+    tagged = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    # Joined by digest and id, so that a large group of copies is spread.
+    same = tagged["doc_id"].eqNullSafe(stay["__id"]) & (tagged["__digest"] == stay["__stay"])
+    return tagged.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")

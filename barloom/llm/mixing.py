@@ -124,7 +124,7 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, block_words: int = BLOCK_WORDS,
     shard_blocks: int = SHARD_BLOCKS, seed: int = 42, text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """Two tables: one row per row of ``docs`` (doc_id, source, size, source_size, target, taken words), and the mix.
+    """Two tables: one row per row of ``docs`` (doc_id, tie, source, size, source_size, target, taken words), and the mix.
 
     The mix has one row per slot and document stretch: shard, source, epoch, block, doc_id, word_start and word_end
     (words of the document from 0, end exclusive). Rows of one block lie in one shard.
@@ -143,10 +143,26 @@ def mix(
 
     taken_slots = slots(sources, total, shard_blocks, seed)
     times = taken_slots.groupBy("nth", "block").agg(F.count(F.lit(1)).alias("times"))
-    shown = ["doc_id", "source", "size", "source_size", "target"]
+    shown = ["doc_id", "tie", "source", "size", "source_size", "target"]
     used = stretch.join(times, ["nth", "block"], "left").groupBy("nth", "start", *shown).agg(
         F.coalesce(F.sum((F.col("word_end") - F.col("word_start")) * F.col("times")), F.lit(0)).alias("taken"))
     empty = known.filter("size = 0").select(*shown, F.lit(0).cast("long").alias("taken"))
     per_document = used.select(*shown, "taken").unionByName(empty)
     mixed = taken_slots.join(stretch, ["nth", "block"]).select("shard", "source", "epoch", "block", "doc_id", "word_start", "word_end")
     return per_document, mixed
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 42, **options: object) -> DataFrame:
+    """``docs`` as often as the mix takes them: whole copies, the last one by chance in proportion to the words left.
+
+    The chance is a hash of the row, so reruns agree; over a source the copies' words add up to the words taken.
+    """
+    taken, _ = mix(docs, text=text, seed=seed, **options)
+    share = taken.groupBy("doc_id", "tie").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__share")).withColumnsRenamed({"doc_id": "__id", "tie": "__other"})
+    tagged = docs.withColumn("__tie", F.xxhash64(text))
+    same = tagged["doc_id"].eqNullSafe(share["__id"]) & (tagged["__tie"] == share["__other"])
+    joined = tagged.join(share.filter("__share > 0"), same)
+    chance = F.pmod(F.xxhash64("doc_id", "__tie", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(F.col("__share") + chance).cast("int")
+    out = joined.withColumn("__copies", copies).filter("__copies > 0")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__nth")).drop("__nth")

@@ -56,14 +56,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp), fp the fingerprint's bits as a long."""
+    """(doc_id, tie, fp): a hash of the text that tells rows with one id apart, and the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.fromiter((fingerprint(t) for t in pdf["text"]), np.uint64, len(pdf)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pdf["tie"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    # Ids as text: a null among them would turn a column of longs into doubles.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, tie long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -160,14 +162,24 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of ``docs``."""
+    """(doc_id, tie, fp, root, component_id), one row per row of ``docs``; ``root`` is a fingerprint of the component."""
     prints = stage(fingerprints(docs, text))
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     linked = stars(near_edges(nodes.select("fp"), radius))
     rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component the one with the smallest id (null: last)."""
+    found = near_components(docs, text, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie")
+    stay = found.groupBy("root").agg(F.min(order).alias("stay")).select("stay.doc_id", "stay.tie")
+    tagged = docs.withColumn("__tie", F.xxhash64(text))
+    same = tagged["doc_id"].eqNullSafe(stay["doc_id"]) & (tagged["__tie"] == stay["tie"])
+    return tagged.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__tie"]).drop("__tie")
 
 
 def hex_print(fp: Column) -> Column:

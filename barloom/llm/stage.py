@@ -32,6 +32,11 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """The same stage as a relation of its own, for grouping it together with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._stage_path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a stage that no result reads any more."""
     _delete(df.sparkSession, df._stage_path)
