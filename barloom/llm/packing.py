@@ -30,7 +30,8 @@ MAX_TOKENS = 2048
 MAX_DOCUMENTS = 2048
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_PIECES = 1 << 16
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 19  # in each of two generations
+POINTS = ".,;:!?"
 END_ID = 0
 
 
@@ -38,41 +39,72 @@ class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, with the end id appended.
 
     The tokenizer never joins anything across a space, so the parts between spaces are encoded on their own and
-    remembered; the cache starts anew when it is full.
+    remembered. A new ASCII part of letters with points behind is a word and a run of points to the tokenizer, in lower
+    case; only the word goes to its model. When the cache is full, entries used since then move to a new one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model(word)], "<u4").tobytes()
+
+    def _new(self, part: str) -> bytes:
+        if part.isascii():
+            word = part.rstrip(POINTS)
+            if word.isalpha():
+                return self._word(word.lower()) + (self._found(part[len(word):]) if len(word) < len(part) else b"")
+        return self._whole(part)
+
+    def _found(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self._new(part)
         if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         self.known[part] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        known, miss = self.known, self.__missing__
+        get, find = self.known.get, self._found
         out = []
         for part in (text or "").split(" "):
-            ids = known.get(part)
-            out.append(miss(part) if ids is None else ids)
+            ids = get(part)
+            if ids is None:
+                ids = find(part)
+                get = self.known.get
+            out.append(ids)
         out.append(END_ID.to_bytes(4, "little"))
         return b"".join(out)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that later tasks find the parts that earlier ones met."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32 [, ids]); ``row`` names the row of ``docs`` a piece comes from."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).ids
         for pdf in batches:
             out = []
             for doc_id, body in zip(pdf["doc_id"], pdf["text"]):
-                ids, row = encoder.ids(body), uuid.uuid4().hex
+                ids, row = encode(body), uuid.uuid4().hex
                 for nth, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     piece = ids[at : at + 4 * max_tokens]
                     out.append((row, None if pd.isna(doc_id) else int(doc_id), nth, at // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
