@@ -43,7 +43,8 @@ def visible_events(
     return events.where(F.col("event_bar_id") <= as_of_bar_id)
 
 
-def _applies(field: str) -> Column:
+def applies(field: str) -> Column:
+    """Whether an event sets a field."""
     value = F.col(field)
     given = F.size(value) > 0 if field == "anchor_bar_ids" else value.isNotNull()
     return (F.col("event_type") == "created") | F.array_contains("changed_fields", field) | given
@@ -69,7 +70,7 @@ def reduce_states(events: DataFrame, series: Sequence[str] = schemas.SERIES) ->
     payload = _payload_fields(events)
     reduced = alive.groupBy(*key).agg(
         F.max_by("kind", "pos").alias("kind"), F.max_by("state_after_event", "pos").alias("state"),
-        *[last_set(_applies(f), F.col(f)).alias(f) for f in COMMON_FIELDS],
+        *[last_set(applies(f), F.col(f)).alias(f) for f in COMMON_FIELDS],
         *[
             last_set(F.col("payload_after")[f].isNotNull(), F.col("payload_after")[f]).alias(f"payload_{f}")
             for f in payload
@@ -115,7 +116,7 @@ def states_after_each_event(events: DataFrame, series: Sequence[str] = schemas.S
     g = Window.partitionBy(*key, "generation").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last_set = lambda cond, value: F.last(F.when(cond, F.struct(value.alias("v"))), ignorenulls=True).over(g)["v"]
     payload = _payload_fields(events)
-    fields = {f"now_{f}": last_set(_applies(f), F.col(f)) for f in COMMON_FIELDS}
+    fields = {f"now_{f}": last_set(applies(f), F.col(f)) for f in COMMON_FIELDS}
     fields["now_codes"] = F.coalesce(
         *([last_set(F.col("payload_after.explanation_codes").isNotNull(), F.col("payload_after.explanation_codes"))]
           if "explanation_codes" in payload else []),
@@ -187,8 +188,3 @@ def transition_violations(
         *series, "event_id", "structure_id", "event_type", "state_after_event", "problem"
     )
 
-
-def require_valid(events: DataFrame, series: Sequence[str] = schemas.SERIES) -> DataFrame:
-    """Strict form of L05: the job fails on the first violation."""
-    bad = transition_violations(events, series=series)
-    return bad.select(F.raise_error(F.concat(F.lit("Lifecycle violation: "), F.col("problem"))).alias("problem"))

@@ -1,34 +1,40 @@
 """Structured Streaming twins of the batch operators.
 
-Rows reach a stateful step in no fixed order inside a micro-batch, so each group is sorted by its
-order column first. A row at or before the position already processed is dropped and counted in the
-``late_rows`` column of the state. Bound a micro-batch with ``maxFilesPerTrigger`` or
-``maxOffsetsPerTrigger``.
+Rows may arrive in any order within a declared lateness. Minute bars are a windowed aggregation under a watermark. Tick
+deltas and pivot events depend on the rows before, so rows wait in the state until the watermark has passed them
+(``in_event_order``); later ones come out marked ``late``. Structure states do not depend on the order of arrival.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom import rules, schemas
 from barloom.functions.scalars import NS_PER_MINUTE, floor_div, long
+from barloom.operators import lifecycle
 from barloom.operators.bars import eligible_trade
 
+Work = Callable[[tuple, pd.DataFrame | None, pd.DataFrame], tuple[pd.DataFrame, pd.DataFrame]]
 
-def live_minute_bars(trades: DataFrame, watermark: str = "2 minutes", by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """B01 on a stream, append mode. Trades later than the watermark are dropped."""
+
+def live_minute_bars(trades: DataFrame, lateness: str = "2 minutes", by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """B01 on a stream, append mode. A bar is final once the newest trade is ``lateness`` past its end; trades that
+    arrive after that are left out and counted by Spark (``numRowsDroppedByWatermark`` of the query's progress)."""
     ts = F.timestamp_micros(floor_div(F.col("ts_utc_ns"), 1000))
     first = lambda c: F.min_by(c, "event_order")
     last = lambda c: F.max_by(c, "event_order")
     grouped = (
-        trades.where(eligible_trade()).withColumn("ts", ts).withWatermark("ts", watermark)
+        trades.where(eligible_trade()).withColumn("ts", ts).withWatermark("ts", lateness)
         .groupBy(*by, F.window("ts", "1 minute").alias("w"))
         .agg(
             first("ts_local_ns").alias("first_local"), first("session_id").alias("session_id"),
@@ -46,42 +52,96 @@ def live_minute_bars(trades: DataFrame, watermark: str = "2 minutes", by: Sequen
     )
 
 
-def _in_order(chunks: Iterator[pd.DataFrame], order: str, done: int) -> tuple[pd.DataFrame, int]:
-    rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable")
-    fresh = rows[rows[order] > done]
-    return fresh, len(rows) - len(fresh)
+LATE = "late"
+
+
+def _pack(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def live_tick_deltas(ticks: DataFrame) -> DataFrame:
-    """N06 on a stream of ticks with ``row_no``, keyed by (symbol, TradingDay)."""
+def _unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def in_event_order(
+    rows: DataFrame, keys: Sequence[str], order: str, time: Column, lateness: str, work: Work, schema: str,
+) -> DataFrame:
+    """Feed the rows of each key to ``work`` in the order of a long column, however they arrive.
+
+    Rows wait in the state until the watermark, the newest ``time`` seen less ``lateness``, has passed them; a key whose
+    rows stop is woken by a timer. ``work(key, carry, fresh)`` gets what it kept (None at first) and the rows that became
+    due, and returns output rows and what to keep. ``order`` follows ``time`` up to the lateness. Spark leaves out rows
+    behind the watermark and counts them (``late_rows``); a row ahead of it whose place in the order was passed comes out
+    once with ``late`` true, its keys and its order column.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = [*rows.columns, "__ms"]
 
     def step(key, chunks, state: GroupState):
-        done, volume, turnover, late = state.get if state.exists else (0, None, None, 0)
-        rows, dropped = _in_order(chunks, "row_no", done)
-        if len(rows):
-            for column, target, last in (("Volume", "size", volume), ("Turnover", "turnover_delta", turnover)):
-                current = rows[column]
-                previous = current.shift(1)
-                if last is not None:
-                    previous.iloc[0] = last
-                reset = previous.isna() | (current < previous)
-                rows[target] = current.where(reset, current - previous)
-            volume, turnover = float(rows["Volume"].iloc[-1]), float(rows["Turnover"].iloc[-1])
-            done = int(rows["row_no"].iloc[-1])
-        state.update((done, volume, turnover, late + dropped))
-        kept = rows[rows["LastPrice"].notna() & (rows["size"] > 0)] if len(rows) else rows.assign(size=[], turnover_delta=[])
-        yield pd.DataFrame(
-            {"symbol": key[0], "TradingDay": key[1], "row_no": kept["row_no"], "price": kept["LastPrice"],
-             "size": kept["size"], "turnover_delta": kept["turnover_delta"]}
-        )
+        mark = state.getCurrentWatermarkMs()
+        done, carry, waiting, late_rows = state.get if state.exists else (None, None, None, 0)
+        parts = [] if state.hasTimedOut else [x[columns] for x in chunks if len(x)]
+        missed = [x[x[order] <= done] for x in parts] if done is not None else []
+        parts = [x[x[order] > done] for x in parts] if done is not None else parts
+        parts = [x for x in parts if len(x)] + ([_unpack(waiting)] if waiting else [])
+        queue = pd.concat(parts).sort_values(order, kind="stable", ignore_index=True) if parts else None
+        due = 0
+        if queue is not None:
+            ahead = np.flatnonzero(queue["__ms"].to_numpy() > mark)
+            due = int(ahead[0]) if len(ahead) else len(queue)
+        if due:
+            fresh = queue.iloc[:due].drop(columns="__ms")
+            out, kept = work(key, _unpack(carry) if carry else None, fresh)
+            done, carry, queue = int(fresh[order].iloc[-1]), _pack(kept), queue.iloc[due:]
+            yield out.assign(**{LATE: False})[[*names, LATE]]
+        waiting = _pack(queue) if queue is not None and len(queue) else None
+        state.update((done, carry, waiting, late_rows + sum(map(len, missed))))
+        if waiting:
+            state.setTimeoutTimestamp(int(queue["__ms"].iloc[0]))
+        for x in missed:
+            if len(x):
+                shown = {**dict(zip(keys, key)), order: x[order].to_numpy()}
+                yield pd.DataFrame({n: shown.get(n) for n in names}, index=x.index).assign(**{LATE: True})
+
+    clocked = rows.withColumn("__time", time).withWatermark("__time", lateness).withColumn("__ms", F.unix_millis("__time"))
+    return clocked.groupBy(*keys).applyInPandasWithState(
+        step, f"{schema}, {LATE} boolean", "done long, carry binary, waiting binary, late_rows long", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
-    return (
-        ticks.select("symbol", "TradingDay", "row_no", "LastPrice", "Volume", "Turnover")
-        .groupBy("symbol", "TradingDay")
-        .applyInPandasWithState(
-            step, "symbol string, TradingDay long, row_no long, price double, size double, turnover_delta double",
-            "done long, volume double, turnover double, late_rows long", "append", GroupStateTimeout.NoTimeout,
-        )
+
+def on_time(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col(LATE)).drop(LATE)
+
+
+def tick_clock() -> Column:
+    """The wall clock of a tick as a timestamp; from 18:00 on a tick belongs to the next trading day."""
+    clock = F.to_timestamp(F.concat(F.col("TradingDay").cast("string"), F.lit(" "), F.col("UpdateTime")), "yyyyMMdd HH:mm:ss")
+    return F.when(F.col("UpdateTime") >= "18:00:00", clock - F.expr("INTERVAL 1 DAY")).otherwise(clock)
+
+
+def live_tick_deltas(ticks: DataFrame, time: Column, lateness: str = "2 minutes") -> DataFrame:
+    """N06 and N07 on a stream of ticks with ``row_no``, keyed by (symbol, TradingDay)."""
+
+    def work(key, carry: pd.DataFrame | None, fresh: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        kept = fresh.iloc[-1:][["Volume", "Turnover"]]
+        out = fresh.copy()
+        for column, target in (("Volume", "size"), ("Turnover", "turnover_delta")):
+            before = fresh[column].shift(1)
+            if carry is not None:
+                before.iloc[0] = carry[column].iloc[0]
+            starts = before.isna() | (fresh[column] < before)
+            out[target] = fresh[column].where(starts, fresh[column] - before)
+        return out[out["LastPrice"].notna() & (out["size"] > 0)].rename(columns={"LastPrice": "price"}), kept
+
+    return in_event_order(
+        ticks.select("symbol", "TradingDay", "row_no", "LastPrice", "Volume", "Turnover", time.alias("tick_time")),
+        ("symbol", "TradingDay"), "row_no", F.col("tick_time"), lateness, work,
+        "symbol string, TradingDay long, row_no long, price double, size double, turnover_delta double",
     )
 
 
@@ -95,134 +155,107 @@ def _pivot_id(kind: str, bar: int, tier: rules.PivotTier, scope: str | None) ->
 
 
 def live_pivot_events(
-    bars: DataFrame, tier: rules.PivotTier = rules.PIVOT, series: Sequence[str] = schemas.SERIES, scope: str | None = None
+    bars: DataFrame, tier: rules.PivotTier = rules.PIVOT, series: Sequence[str] = schemas.SERIES, scope: str | None = None,
+    lateness: str = "2 minutes",
 ) -> DataFrame:
-    """T05/T06/T08 on a stream of bars. State: the last ``left`` highs and lows and the open anchors.
+    """T05/T06/T08 on a stream of bars. State: the last ``left + right`` bars and those that wait for their turn.
 
-    The events equal the batch events, but for the payload: the session flag of a created event
-    would need the bars to its right.
+    An event belongs to the bar that causes it. With the kept bars in front, all anchors that a new bar can touch are in
+    view, so the new events are found by shifting columns. The events equal the batch events, but for the payload: the
+    session flag of a created event would need the bars to its right.
     """
     series = list(series)
-    rank = {"replaced": 0, "invalidated": 1, "created": 2, "confirmed": 3}
-
-    def on_bar(memory: dict, bar) -> list[tuple]:
-        events = []
-        for side, sign in (("high", 1.0), ("low", -1.0)):
-            kind, value = f"{tier.kind_group}_{side}", sign * getattr(bar, side)
-            recent, open_anchors = memory[side]["recent"], memory[side]["open"]
-            qualifies = len(recent) == tier.left and all(value > v for v in recent)
-            keep = []
-            for start, anchor, age in open_anchors:
-                ident = _pivot_id(kind, start, tier, scope)
-                if value >= anchor:
-                    name = "replaced" if qualifies else "invalidated"
-                    successor = _pivot_id(kind, bar.bar_id, tier, scope) if qualifies else None
-                    events.append((name, ident, kind, start, None, successor))
-                elif age + 1 == tier.right:
-                    events.append(("confirmed", ident, kind, start, bar.bar_id, None))
-                else:
-                    keep.append([start, anchor, age + 1])
-            if qualifies:
-                events.append(("created", _pivot_id(kind, bar.bar_id, tier, scope), kind, bar.bar_id, None, None))
-                keep.append([bar.bar_id, value, 0])
-            memory[side] = {"recent": (recent + [value])[-tier.left:], "open": keep}
-        return sorted(events, key=lambda e: (rank[e[0]], e[3], e[2], e[1]))
-
-    def step(key, chunks, state: GroupState):
-        if state.exists:
-            done, text, late = state.get
-            memory = json.loads(text)
-        else:
-            done, late = -(1 << 62), 0
-            memory = {s: {"recent": [], "open": []} for s in ("high", "low")}
-        rows, dropped = _in_order(chunks, "bar_id", done)
-        out = []
-        for bar in rows.itertuples(index=False):
-            for order, (name, ident, kind, start, confirm, successor) in enumerate(on_bar(memory, bar)):
-                after = {"created": "candidate", "confirmed": "confirmed"}.get(name, "invalidated")
-                out.append((*key, f"{ident}:{name}:{bar.bar_id}", ident, kind, name, bar.bar_id, order, after, start,
-                            confirm, successor, bar.session_id, bar.session_date))
-            done = int(bar.bar_id)
-        state.update((done, json.dumps(memory), late + dropped))
-        frame = pd.DataFrame(out, columns=names)
-        frame["confirm_bar_id"] = frame["confirm_bar_id"].astype("Int64")
-        yield frame
-
     names = [*series, "event_id", "structure_id", "kind", "event_type", "event_bar_id", "event_order", "state_after_event",
-             "start_bar_id", "confirm_bar_id", "successor_structure_id", "session_id", "session_date"]
-    longs = {"event_bar_id", "event_order", "start_bar_id", "confirm_bar_id", "session_id", "session_date"}
-    schema = ", ".join(f"{n} {'long' if n in longs else 'string'}" for n in names)
-    return (
-        bars.select(*series, "bar_id", "session_id", "session_date", F.col("high"), F.col("low"))
-        .groupBy(*series)
-        .applyInPandasWithState(step, schema, "done long, memory string, late_rows long", "append", GroupStateTimeout.NoTimeout)
-    )
-
-
-_FIELDS = ("start_bar_id", "end_bar_id", "confirm_bar_id", "anchor_bar_ids", "session_id", "session_date",
-           "predecessor_structure_id", "successor_structure_id")
+             "start_bar_id", "confirm_bar_id", "successor_structure_id", "session_id", "session_date", "bar_id"]
+    longs = {"event_bar_id", "event_order", "start_bar_id", "confirm_bar_id", "session_id", "session_date", "bar_id"}
+    first_of_bar = {"replaced": 0, "invalidated": 1, "created": 2, "confirmed": 3}
+    after_event = {"created": "candidate", "confirmed": "confirmed"}
+
+    def side_events(view: pd.DataFrame, new: int, side: str, sign: float) -> pd.DataFrame:
+        kind, value = f"{tier.kind_group}_{side}", sign * view[side]
+        anchor = (value > value.shift(1).rolling(tier.left, min_periods=tier.left).max()).to_numpy()
+        reached = np.stack([(value.shift(-k) >= value).to_numpy() for k in range(1, tier.right + 1)], axis=1)
+        n, at = len(view), np.flatnonzero(anchor)
+        ends = reached[at].any(axis=1)
+        stop = at + np.where(ends, reached[at].argmax(axis=1) + 1, tier.right)
+        closed = stop < n
+        name = np.where(~ends, "confirmed", np.where(anchor[np.minimum(stop, n - 1)], "replaced", "invalidated"))
+        found = pd.concat([
+            pd.DataFrame({"at": at, "by": at, "event_type": "created"}),
+            pd.DataFrame({"at": at[closed], "by": stop[closed], "event_type": name[closed]}),
+        ], ignore_index=True)
+        found = found[found["by"] >= new]
+        bar = view["bar_id"].to_numpy()
+        start, cause = bar[found["at"].to_numpy(int)], bar[found["by"].to_numpy(int)]
+        return found.assign(
+            kind=kind, start_bar_id=start, event_bar_id=cause, structure_id=[_pivot_id(kind, int(x), tier, scope) for x in start],
+            successor_structure_id=[_pivot_id(kind, int(x), tier, scope) if t == "replaced" else None for x, t in zip(cause, found["event_type"])],
+        )
 
+    def work(key, carry: pd.DataFrame | None, fresh: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        view = fresh if carry is None else pd.concat([carry, fresh[carry.columns]], ignore_index=True)
+        new = len(view) - len(fresh)
+        out = pd.concat([side_events(view, new, "high", 1.0), side_events(view, new, "low", -1.0)], ignore_index=True)
+        kept = view.iloc[-(tier.left + tier.right):]
+        if not len(out):
+            return pd.DataFrame(columns=names), kept
+        out = out.assign(rank=out["event_type"].map(first_of_bar)).sort_values(
+            ["event_bar_id", "rank", "start_bar_id", "kind", "structure_id"], ignore_index=True)
+        cause = view.iloc[out["by"].to_numpy(int)]
+        out = out.assign(
+            **dict(zip(series, key)), event_order=out.groupby("event_bar_id").cumcount(),
+            event_id=out["structure_id"] + ":" + out["event_type"] + ":" + out["event_bar_id"].astype(str),
+            state_after_event=out["event_type"].map(after_event).fillna("invalidated"),
+            confirm_bar_id=out["event_bar_id"].where(out["event_type"] == "confirmed").astype("Int64"),
+            session_id=cause["session_id"].to_numpy(), session_date=cause["session_date"].to_numpy(), bar_id=out["event_bar_id"],
+        )
+        return out, kept
 
-def apply_event(current: dict | None, event: dict) -> dict | None:
-    """One event applied to the state of its structure; null once the structure is gone."""
-    if event["event_type"] in ("invalidated", "replaced") or event["state_after_event"] == "invalidated":
-        return None
-    fresh = current is None or event["event_type"] == "created"
-    state = dict(current or {"payload": {}})
-    state.update(kind=event["kind"], state=event["state_after_event"], reason_codes=event["reason_codes"])
-    for field in _FIELDS:
-        value = event[field]
-        given = bool(value) if field == "anchor_bar_ids" else value is not None
-        if fresh or given or field in event["changed_fields"]:
-            state[field] = value
-    state["payload"] = {**state["payload"], **{k: v for k, v in (event["payload_after"] or {}).items() if v is not None}}
-    known = state["payload"].get("explanation_codes")
-    state["explanation_codes"] = known if known is not None else state.get("explanation_codes", event["reason_codes"])
-    return state
+    return in_event_order(
+        bars.select(*series, "bar_id", "session_id", "session_date", "high", "low"), series, "bar_id",
+        F.timestamp_seconds(F.col("bar_id") * 60), lateness, work, ", ".join(f"{n} {'long' if n in longs else 'string'}" for n in names),
+    )
 
 
 def live_states(events: DataFrame, series: Sequence[str] = schemas.SERIES) -> DataFrame:
-    """The state of each structure after the newest events, update mode; ``state`` null means gone.
+    """L01-L04 per structure on a stream, update mode; ``state`` null means gone.
 
-    Events travel as JSON with their position ahead of them, so that the state keeps every field.
+    The events of a structure, a handful by rule, are its state, in a streaming aggregation; every field is the value of
+    the last event that set it after the last terminal one. The order of arrival does not matter, nothing can be late.
     """
-    series = list(series)
-    columns = [c for c in schemas.EVENT_COLUMNS if c != "structure_id"]
-    staged = events.select(
-        *series, "structure_id", "event_bar_id", "event_order", "event_id",
-        F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("event"),
+    key = [*series, "structure_id"]
+    fields = {f: F.col(f) for f in lifecycle.COMMON_FIELDS if f != "anchor_bar_ids"}
+    one = F.struct(
+        lifecycle.position().alias("pos"), lifecycle.is_terminal().alias("ends"), "kind", F.col("state_after_event").alias("state"),
+        "reason_codes", F.col("payload_after.explanation_codes").alias("codes"),
+        *[F.struct(lifecycle.applies(f).alias("set"), c.alias("v")).alias(f) for f, c in fields.items()],
     )
-
-    def step(key, chunks, state: GroupState):
-        done, text, late = state.get if state.exists else ([-(1 << 62), 0, ""], "null", 0)
-        done = (int(done[0]), int(done[1]), str(done[2])) if not isinstance(done, str) else tuple(json.loads(done))
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["event_bar_id", "event_order", "event_id"])
-        current = json.loads(text)
-        for r in rows.itertuples(index=False):
-            at = (int(r.event_bar_id), int(r.event_order), r.event_id)
-            if at <= done:
-                late += 1
-                continue
-            current, done = apply_event(current, json.loads(r.event)), at
-        state.update((json.dumps(done), json.dumps(current), late))
-        s = current or {}
-        yield pd.DataFrame(
-            [(*key, s.get("kind"), s.get("state"), s.get("start_bar_id"), s.get("end_bar_id"), s.get("confirm_bar_id"),
-              s.get("session_id"), ",".join(s.get("explanation_codes") or []) if current else None, done[0])],
-            columns=names,
-        ).astype({n: "Int64" for n in ("start_bar_id", "end_bar_id", "confirm_bar_id", "session_id", "as_of_bar_id")})
-
-    names = [*series, "structure_id", "kind", "state", "start_bar_id", "end_bar_id", "confirm_bar_id", "session_id",
-             "explanation_codes", "as_of_bar_id"]
-    longs = {"start_bar_id", "end_bar_id", "confirm_bar_id", "session_id", "as_of_bar_id"}
-    schema = ", ".join(f"{n} {'long' if n in longs else 'string'}" for n in names)
-    return staged.groupBy(*series, "structure_id").applyInPandasWithState(
-        step, schema, "done string, memory string, late_rows long", "update", GroupStateTimeout.NoTimeout
+    log = events.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("log"))
+    ended = F.try_element_at(F.filter("log", lambda e: e["ends"]), F.lit(-1))["pos"]
+    log = log.withColumns({"ended": ended, "as_of_bar_id": F.element_at("log", -1)["pos"]["event_bar_id"]})
+    log = log.withColumn("alive", F.filter("log", lambda e: F.col("ended").isNull() | (e["pos"] > F.col("ended"))))
+    newest = F.try_element_at("alive", F.lit(-1))
+    value = lambda f: F.try_element_at(F.filter("alive", lambda e: e[f]["set"]), F.lit(-1))[f]["v"].alias(f)
+    codes = F.coalesce(
+        F.try_element_at(F.filter(F.transform("alive", lambda e: e["codes"]), lambda c: c.isNotNull()), F.lit(-1)),
+        F.try_element_at("alive", F.lit(1))["reason_codes"],
+    )
+    return log.select(
+        *key, newest["kind"].alias("kind"), newest["state"].alias("state"), value("start_bar_id"), value("end_bar_id"),
+        value("confirm_bar_id"), value("session_id"), F.array_join(codes, ",").alias("explanation_codes"), "as_of_bar_id",
     )
 
 
-def drain(stream: DataFrame, table: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is available and give the result as a batch DataFrame (tests, backfills)."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark left out, as far as the query remembers its progress."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
+def drain(stream: DataFrame, table: str, mode: str, checkpoint: str, allow_late: bool = False) -> DataFrame:
+    """Run a stream over what is available and give the result as a batch DataFrame (tests, backfills).
+
+    Rows later than the declared lateness are an error unless they are allowed: a backfill is not to lose rows unseen.
+    """
     spark = stream.sparkSession
     folder = f"{checkpoint}/{table}"
 
@@ -236,4 +269,7 @@ def drain(stream: DataFrame, table: str, mode: str, checkpoint: str) -> DataFram
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    late = late_rows(query)
+    if late and not allow_late:
+        raise RuntimeError(f"{late} rows arrived later than declared.")
     return spark.read.parquet(f"{folder}/out").drop("batch")

@@ -899,40 +899,58 @@ def W13_objects_in_window(spark, d):
 # --- Streams -----------------------------------------------------------------------------------
 
 
-def streamed(spark, df, files=3):
-    """Write ``df`` and read it back as a stream of a few ordered files."""
+BATCHES = 6
+
+
+def streamed(spark, df, place, end=None):
+    """``df`` as a stream of at least ``BATCHES`` micro-batches, and the lateness of its rows in units of ``place``.
+
+    Files follow each other by ``place`` (a long), but about half of the rows of a file stray into the next one. ``end``
+    changes the columns of one more row, far ahead of all: it comes last and moves the watermark past every real row.
+    """
+    df = cut_lineage(df.withColumn("__place", place))
+    low, high = df.agg(F.min("__place"), F.max("__place")).first()
+    span = max(1, -(-(high - low + 1) // BATCHES))
+    slot = floor_div(F.col("__place") - low + F.pmod(F.xxhash64(*df.columns), long(span)), span)
     path = scratch(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path), path
+    for i in range(BATCHES + 1):
+        df.where(slot == i).drop("__place").write.mode("append").parquet(path)
+    if end:
+        df.limit(1).withColumns(end(df)).drop("__place").write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    schema = df.drop("__place").schema
+    per_batch = max(1, files // (BATCHES + 1))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path), path, 3 * span
 
 
 @query
 def X01_live_minute_bars(spark, d):
-    # A closing trade far ahead lets the watermark pass every real bar; its own bar stays open.
-    trades = feed.dense_trades(spark, d)
-    end = trades.where(F.col("event_order") == 1).withColumn("ts_utc_ns", F.col("ts_utc_ns") + long(400 * NS_PER_DAY))
-    stream, path = streamed(spark, trades.unionByName(end))
-    return flat(live.drain(live.live_minute_bars(stream), "bars", "append", path + "-run"), *BAR)
+    far = lambda df: {"ts_utc_ns": F.col("ts_utc_ns") + long(4000 * NS_PER_DAY), "symbol": F.lit("~end")}
+    stream, path, late = streamed(spark, feed.dense_trades(spark, d), floor_div(F.col("ts_utc_ns"), 1_000_000_000), far)
+    return flat(live.drain(live.live_minute_bars(stream, f"{late} seconds"), "bars", "append", path + "-run"), *BAR)
 
 
 @query
 def X02_live_tick_deltas(spark, d):
-    stream, path = streamed(spark, feed.ticks(spark, d))
-    return flat(live.drain(live.live_tick_deltas(stream), "deltas", "append", path + "-run"),
-                "symbol", "TradingDay", "row_no", "price", "size", "turnover_delta")
+    far = lambda df: {"TradingDay": long(20990101), "symbol": F.lit("~end")}
+    stream, path, late = streamed(spark, feed.ticks(spark, d), F.unix_seconds(live.tick_clock()), far)
+    rows = live.drain(live.live_tick_deltas(stream, live.tick_clock(), f"{late} seconds"), "deltas", "append", path + "-run")
+    return flat(live.on_time(rows), "symbol", "TradingDay", "row_no", "price", "size", "turnover_delta")
 
 
 @query
 def X03_live_pivot_events(spark, d):
-    stream, path = streamed(spark, feed.dense_bars(spark, d))
-    return flat(live.drain(live.live_pivot_events(stream), "pivots", "append", path + "-run"),
+    far = lambda df: {"bar_id": F.col("bar_id") + long(4000 * 1440), "symbol": F.lit("~end")}
+    stream, path, late = streamed(spark, feed.dense_bars(spark, d), F.col("bar_id"), far)
+    rows = live.drain(live.live_pivot_events(stream, lateness=f"{late} minutes"), "pivots", "append", path + "-run")
+    return flat(live.on_time(rows),
                 "symbol", "event_id", "structure_id", "kind", "event_type", "event_bar_id", "event_order", "state_after_event",
                 "start_bar_id", "confirm_bar_id", "successor_structure_id", "session_id", "session_date")
 
 
 @query
 def X04_live_states(spark, d):
-    stream, path = streamed(spark, pivot_log(spark, d))
+    stream, path, _ = streamed(spark, pivot_log(spark, d), F.col("event_bar_id"))
     rows = live.drain(live.live_states(stream), "states", "update", path + "-run")
     # The newest row per structure is its state.
     last = rows.groupBy("symbol", "structure_id").agg(F.max_by(F.struct("state", "kind", "start_bar_id", "confirm_bar_id", "session_id", "explanation_codes"), "batch_id").alias("s"))

@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +7,7 @@ from barloom.plans import chart
 from barloom.plans.chain import structure_chain
 from barloom.session import cut_lineage
 from barloom.streaming import live
-from tests.helpers import SERIES, bars_frame, random_bars
+from tests.helpers import SERIES, bars_frame, brute_state, random_bars
 
 EVENT_SCHEMA = (
     "symbol string, session_profile string, timeframe string, event_id string, structure_id string, kind string, event_type string, "
@@ -55,23 +53,21 @@ def test_reducer_matches_one_by_one_application(spark):
         ev("b", "created", 4, 1, "confirmed", reasons=["again"]), ev("c", "created", 2, 3, "candidate"), ev("c", "replaced", 7, 1, "invalidated"),
     ]
     log = spark.createDataFrame(rows, EVENT_SCHEMA)
-    events = [json.loads(j) for j in log.orderBy("event_bar_id", "event_order").toJSON().collect()]
+    events = [r.asDict(recursive=True) for r in log.collect()]
     for cursor in range(1, 8):
-        want = {}
+        logs = {}
         for e in events:
             if e["event_bar_id"] <= cursor:
-                full = {f.name: e.get(f.name) for f in log.schema}
-                s = live.apply_event(want.get(e["structure_id"]), full)
-                want.pop(e["structure_id"], None)
-                if s:
-                    want[e["structure_id"]] = s
-        got = {r.structure_id: r for r in lifecycle.states_as_of(log, as_of_bar_id=cursor).collect()}
-        assert got.keys() == want.keys()
-        for k, r in got.items():
-            w = want[k]
-            assert (r.state, r.end_bar_id, r.confirm_bar_id, r.session_id, list(r.anchor_bar_ids or [])) == (
-                w["state"], w.get("end_bar_id"), w.get("confirm_bar_id"), w.get("session_id"), list(w.get("anchor_bar_ids") or []))
-            assert list(r.explanation_codes) == list(w["explanation_codes"]) and r.payload.note == w["payload"].get("note")
+                logs.setdefault(e["structure_id"], []).append(e)
+        want = {k: s for k, s in ((k, brute_state(v)) for k, v in logs.items()) if s}
+        got = {
+            r.structure_id: {
+                "state": r.state, "note": r.payload.note, "codes": list(r.explanation_codes), "end_bar_id": r.end_bar_id,
+                "confirm_bar_id": r.confirm_bar_id, "session_id": r.session_id, "anchor_bar_ids": r.anchor_bar_ids,
+            }
+            for r in lifecycle.states_as_of(log, as_of_bar_id=cursor).collect()
+        }
+        assert got == want
 
 
 def test_transition_violations(spark):
@@ -133,26 +129,55 @@ def test_overlay_guards(spark):
         overlays.project_structures(objects, bars.where("bar_id <> 102"), "d", "v").collect()
 
 
-def feed(spark, df, tmp_path, order):
-    """Three files that arrive one after another."""
+def feed(spark, df, tmp_path, order, stray, end=None):
+    """Six files and more, one per micro-batch; a row strays by up to ``stray`` units of ``order``."""
     path = str(tmp_path / "in")
-    cuts = df.approxQuantile(order, [0.4, 0.7], 0.0)
-    for i, (lo, hi) in enumerate(zip([-1e18, *cuts], [*cuts, 1e18])):
-        df.where((F.col(order) > lo) & (F.col(order) <= hi)).coalesce(1).write.mode("append").parquet(path)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    placed = cut_lineage(df.withColumn("at", F.col(order) - low + F.pmod(F.xxhash64(*df.columns), F.lit(stray))))
+    step = (high - low + stray) // 6 + 1
+    for i in range(6):
+        placed.where(F.floor(F.col("at") / step) == i).drop("at").coalesce(1).write.mode("append").parquet(path)
+    if end is not None:
+        end.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_live_pivots_equal_batch(spark, tmp_path):
+def pivot_rows(df):
+    return {(r.event_id, r.event_order, r.successor_structure_id, r.session_id) for r in df.collect()}
+
+
+@pytest.mark.parametrize("stray", [1, 60])
+def test_live_pivots_equal_batch(spark, tmp_path, stray):
+    bars = bars_frame(spark, random_bars(120, 31)).unionByName(bars_frame(spark, random_bars(90, 32, "Y")))
+    end = bars_frame(spark, [{"bar_id": 10_000_000}], "~")
+    stream = feed(spark, bars, tmp_path, "bar_id", stray, end)
+    got = live.drain(live.live_pivot_events(stream, rules.PIVOT, lateness="100 minutes"), "p", "append", str(tmp_path))
+    assert got.where("late").count() == 0
+    assert pivot_rows(live.on_time(got)) == pivot_rows(pivots.pivot_events(pivots.pivot_anchors(bars, [rules.PIVOT])))
+
+
+def test_rows_later_than_declared_are_an_error(spark, tmp_path):
     bars = bars_frame(spark, random_bars(120, 31))
-    stream = feed(spark, bars, tmp_path, "bar_id")
-    pick = lambda df: {(r.event_id, r.event_order, r.successor_structure_id, r.session_id) for r in df.collect()}
-    got = live.drain(live.live_pivot_events(stream, rules.PIVOT), "p", "append", str(tmp_path))
-    assert pick(got) == pick(pivots.pivot_events(pivots.pivot_anchors(bars, [rules.PIVOT])))
+    stream = feed(spark, bars, tmp_path, "bar_id", 150)
+    with pytest.raises(RuntimeError, match="later than declared"):
+        live.drain(live.live_pivot_events(stream, rules.PIVOT, lateness="1 minute"), "p", "append", str(tmp_path))
+
+
+def test_live_deltas_in_any_order(spark, tmp_path):
+    rows = [("S", 20240102, i, f"09:{i // 60:02d}:{i % 60:02d}", 1.0, float(i if i < 300 else i - 300), float(i)) for i in range(1, 500)]
+    schema = "symbol string, TradingDay long, row_no long, UpdateTime string, LastPrice double, Volume double, Turnover double"
+    ticks = spark.createDataFrame(rows, schema)
+    end = spark.createDataFrame([("~", 20990101, 1, "09:00:00", 1.0, 1.0, 1.0)], schema)
+    stream = feed(spark, ticks, tmp_path, "row_no", 90, end)
+    got = live.on_time(live.drain(live.live_tick_deltas(stream, live.tick_clock(), "120 seconds"), "d", "append", str(tmp_path)))
+    sizes = {r.row_no: (r["size"], r.turnover_delta) for r in got.collect()}
+    # Row 300 starts again from zero: its size is zero, so it is no trade.
+    assert sizes == {i: (1.0, 1.0) for i in range(1, 500) if i != 300}
 
 
 def test_live_states_equal_batch(spark, tmp_path, chain):
     log = chain.events["leg"]
-    stream = feed(spark, log, tmp_path, "event_bar_id")
+    stream = feed(spark, log, tmp_path, "event_bar_id", 10_000)
     rows = live.drain(live.live_states(stream), "s", "update", str(tmp_path))
     last = rows.groupBy("structure_id").agg(F.max_by(F.struct("state", "confirm_bar_id", "session_id"), "batch_id").alias("s"))
     got = {(r.structure_id, *r.s) for r in last.where("s.state is not null").collect()}
