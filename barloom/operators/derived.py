@@ -74,7 +74,9 @@ def lifecycle_from_builds(
     )
     at = bars.select(*series, F.col("bar_id").alias("event_bar_id"), "session_id", "session_date")
     ordered = order_events(events, series, DERIVED_PRIORITY, first=1, by_start=False)
-    return ordered.join(at, [*series, "event_bar_id"]).select(*series, *schemas.EVENT_COLUMNS)
+    missing = F.raise_error(F.concat(F.lit("An event lacks its bar: "), F.col("event_id"))).cast("long")
+    dated = ordered.join(at, [*series, "event_bar_id"], "left").withColumns({c: F.coalesce(c, missing) for c in ("session_id", "session_date")})
+    return dated.select(*series, *schemas.EVENT_COLUMNS)
 
 
 def _chain(start: Column, pivots: Column) -> Column:

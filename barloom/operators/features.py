@@ -172,12 +172,14 @@ def leg_strength(
     """
     series = list(series)
     at = features.select(*series, "bar_id", "bar_index")
+    missing = F.raise_error(F.concat(F.lit("A leg lacks a bar: "), F.col("structure_id"))).cast("long")
     placed = (
         legs.join(at.select(*series, F.col("bar_id").alias("start_bar_id"), F.col("bar_index").alias("from_index")),
-                  [*series, "start_bar_id"])
+                  [*series, "start_bar_id"], "left")
         .join(at.select(*series, F.col("bar_id").alias("end_bar_id"), F.col("bar_index").alias("to_index")),
-              [*series, "end_bar_id"])
-        .select(*series, "structure_id", "kind", "start_bar_id", "end_bar_id", "from_index", "to_index")
+              [*series, "end_bar_id"], "left")
+        .select(*series, "structure_id", "kind", "start_bar_id", "end_bar_id",
+                F.coalesce("from_index", missing).alias("from_index"), F.coalesce("to_index", missing).alias("to_index"))
     )
     bins = F.sequence(floor_div(F.col("from_index"), bin_rows), floor_div(F.col("to_index"), bin_rows))
     pieces = placed.withColumn("bin", F.explode(bins))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import rules, schemas
-from barloom.functions.ordered import CHUNK_ROWS, drop_halo, running, spread_halo, with_ordinal
+from barloom.functions.ordered import CHUNK_ROWS, drop_halo, running, spread_halo
 from barloom.functions.scalars import (
     NS_PER_DAY, NS_PER_MINUTE, NS_PER_SECOND, days_of, floor_div, local_to_utc_ns, long, session_date_of,
     wall_clock_ns,
@@ -49,6 +49,12 @@ def misaligned_rows(bars: DataFrame) -> DataFrame:
     return bars.where(F.pmod("ts_utc_ns", long(NS_PER_MINUTE)) != 0)
 
 
+def require_aligned(bars: DataFrame) -> DataFrame:
+    """N04 inside a job: the first row off the minute fails it."""
+    off = F.pmod("ts_utc_ns", long(NS_PER_MINUTE)) != 0
+    return bars.where(F.when(off, F.raise_error(F.lit("Minute bars are not aligned to the minute.")).cast("boolean")).otherwise(F.lit(True)))
+
+
 def series_violations(bars: DataFrame, series: Sequence[str] = schemas.SERIES, rows: int = CHUNK_ROWS) -> DataFrame:
     """Counts per series of duplicate ids, session dates that go back, and NaN prices."""
     series = list(series)
@@ -140,11 +146,16 @@ def trades_from_ticks(
     )
 
 
+def _foreign() -> Column:
+    return (F.trim("InstrumentID") != "") & (F.col("InstrumentID") != F.col("symbol"))
+
+
 def foreign_instruments(ticks: DataFrame) -> DataFrame:
     """Rows whose non-blank InstrumentID is not the symbol of their file."""
-    return ticks.where((F.trim("InstrumentID") != "") & (F.col("InstrumentID") != F.col("symbol")))
+    return ticks.where(_foreign())
 
 
-def number_rows(ticks: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Dense 1-based row numbers from a long order column, for sources without their own."""
-    return with_ordinal(ticks, keys, list(order), "row_no").withColumn("row_no", F.col("row_no") + 1)
+def require_own_instrument(ticks: DataFrame) -> DataFrame:
+    """N10 inside a job: the first foreign row fails it, without a pass of its own."""
+    message = F.concat(F.lit("A tick file holds rows of another instrument: "), F.col("InstrumentID"))
+    return ticks.where(F.when(_foreign(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))

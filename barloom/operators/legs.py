@@ -24,9 +24,10 @@ def priced(pivots: DataFrame, bars: DataFrame, series: Sequence[str] = schemas.S
     if "price" in pivots.columns:
         return pivots
     at = bars.select(*series, F.col("bar_id").alias("start_bar_id"), "high", "low")
-    return pivots.join(at, [*series, "start_bar_id"]).withColumn(
-        "price", F.when(F.col("kind") == "pivot_high", F.col("high")).otherwise(F.col("low"))
-    ).drop("high", "low")
+    price = F.when(F.col("kind") == "pivot_high", F.col("high")).otherwise(F.col("low"))
+    missing = F.raise_error(F.concat(F.lit("A pivot lacks its bar "), F.col("start_bar_id").cast("string"))).cast("double")
+    found = pivots.join(at.withColumn("found", F.lit(True)), [*series, "start_bar_id"], "left")
+    return found.withColumn("price", F.when(F.col("found"), price).otherwise(missing)).drop("high", "low", "found")
 
 
 def score(kind: Column, price: Column) -> Column:

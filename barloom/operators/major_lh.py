@@ -13,12 +13,17 @@ from barloom.functions.scalars import codes, strings, structure_id
 
 
 def _with_end_bars(legs: DataFrame, bars: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Add the bars at both ends of each leg."""
+    """Add the bars at both ends of each leg; a missing bar fails the job."""
     fields = ("high", "low", "session_id", "session_date")
     at = lambda which: bars.select(
         *series, F.col("bar_id").alias(f"{which}_bar_id"), F.struct(*fields).alias(f"{which}_bar")
     )
-    return legs.join(at("start"), [*series, "start_bar_id"]).join(at("end"), [*series, "end_bar_id"])
+    out = legs.join(at("start"), [*series, "start_bar_id"], "left").join(at("end"), [*series, "end_bar_id"], "left")
+    missing = F.raise_error(F.concat(F.lit("A leg lacks a bar at an end of "), F.col("start_bar_id").cast("string")))
+    return out.withColumns({
+        f"{w}_bar": F.coalesce(f"{w}_bar", missing.cast("struct<high:double,low:double,session_id:bigint,session_date:bigint>"))
+        for w in ("start", "end")
+    })
 
 
 def _sequences(

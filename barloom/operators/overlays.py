@@ -171,10 +171,6 @@ def render_keys(overlays: DataFrame) -> DataFrame:
     )
 
 
-def sort_for_render(overlays: DataFrame) -> DataFrame:
-    return render_keys(overlays).orderBy("z_order", "tier_rank", "first_anchor", "overlay_id")
-
-
 def overlays_in_window(
     overlays: DataFrame, min_bar_id: Column | int, max_bar_id: Column | int, layers: Sequence[str] | None = None
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,15 @@ def assemble_reference(sources: Sequence[DataFrame], strict: bool = True) -> Dat
 
 
 def neighbouring_days(reference: DataFrame, trading_day: Column | int, source_day: str = "source_day") -> DataFrame:
-    """Rows from the sources of the day before, the day and the day after."""
-    target = days_of(F.lit(trading_day).cast("long") if isinstance(trading_day, int) else trading_day)
+    """Rows from the sources of the day before, the day and the day after.
+
+    For a given day the three days are literals, so partitions and row groups are pruned.
+    """
+    if isinstance(trading_day, int):
+        day = datetime.strptime(str(trading_day), "%Y%m%d")
+        near = [int((day + timedelta(days=k)).strftime("%Y%m%d")) for k in (-1, 0, 1)]
+        return reference.where(F.col(source_day).isin(near))
+    target = days_of(trading_day)
     return reference.where(days_of(F.col(source_day)).between(target - 1, target + 1))
 
 

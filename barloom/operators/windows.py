@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom import schemas
 from barloom.functions.scalars import NS_PER_SECOND, long
 from barloom.operators.bars import index_bars
-from barloom.operators.lifecycle import position, reduce_states, states_as_of, visible_events
+from barloom.operators.lifecycle import position, reduce_states, visible_events
 
 _ROW = (
     "structure_id", "kind", "state", "start_bar_id", "end_bar_id", "confirm_bar_id", "session_id", "session_date",
@@ -75,6 +75,30 @@ def select_window(bars: DataFrame, spec: WindowSpec, series: Sequence[str] = sch
     )
 
 
+@dataclass(frozen=True)
+class WindowReach:
+    """Literal bounds of a window over all asked series, for filters that reach the files."""
+
+    years: tuple[int, ...]
+    from_index: int
+    to_index: int
+    min_bar_id: int
+    max_bar_id: int
+
+
+def window_reach(bars: DataFrame, spec: WindowSpec, series: Sequence[str] = schemas.SERIES) -> WindowReach:
+    """Where the window lies in stored, numbered bars with ``year``. A selector that no series has is a ``KeyError``.
+
+    Two small reads: the selected bars for the bounds, and the bars between them for years and bar ids.
+    """
+    low, high = window_bounds(bars, spec, series).agg(F.min("from_index"), F.max("to_index")).first()
+    if low is None:
+        raise KeyError(f"No series has the selected bars: {spec}")
+    inside = bars.where(F.col("bar_index").between(low, high))
+    found = inside.agg(F.min("year"), F.max("year"), F.min("bar_id"), F.max("bar_id")).first()
+    return WindowReach(tuple(range(int(found[0]), int(found[1]) + 1)), low, high, found[2], found[3])
+
+
 def window_range(window: DataFrame, series: Sequence[str] = schemas.SERIES) -> DataFrame:
     return window.groupBy(*series).agg(F.min("bar_id").alias("min_bar_id"), F.max("bar_id").alias("max_bar_id"))
 
@@ -114,17 +138,19 @@ def structures_in_window(
     near = in_window(objects, window, series).select(*series, *_ROW)
     if as_of_bar_id is None and as_of_event_id is None:
         return near.where(F.col("state") != "invalidated")
-    live = states_as_of(events, as_of_bar_id, as_of_event_id, series)
-    rows = in_window(live, window, series).select(*series, *_ROW)
+    # A structure keeps its bars for life, so the log is cut to the window before it is reduced, and reduced once.
+    seen = in_window(visible_events(events, as_of_bar_id, as_of_event_id, series), window, series)
     if as_of_event_id is not None:
-        others = near.join(events.select(*key).distinct(), key, "left_anti")
         cursor = events.where(F.col("event_id") == as_of_event_id).groupBy(*series).agg(
             F.min("event_bar_id").alias("cursor")
         )
-        kept = others.join(cursor, series).where(object_visible(F.col("cursor"))).drop("cursor")
+        others = near.join(in_window(events, window, series).select(*key).distinct(), key, "left_anti")
+        shown = others.join(cursor, series).where(object_visible(F.col("cursor"))).drop("cursor")
     else:
-        kept = near.where(object_visible(as_of_bar_id)).join(live.select(*key), key, "left_anti")
-    return rows.unionByName(kept)
+        shown = near.where(object_visible(as_of_bar_id))
+    side = lambda df, name: df.select(*key, F.struct(*_ROW).alias(name))
+    both = side(reduce_states(seen, series), "live").join(side(shown, "object"), key, "full_outer")
+    return both.select(*series, F.coalesce("live", "object").alias("row")).select(*series, "row.*")
 
 
 def events_in_window(

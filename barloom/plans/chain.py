@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,27 +29,30 @@ class StructureChain:
 
     def all_objects(self) -> DataFrame:
         parts = [self.objects[k].withColumn("kind_group", F.lit(k)) for k in KINDS]
-        return _union(parts)
+        return union_all(parts)
 
     def all_events(self) -> DataFrame:
-        """Events of all kinds; the payload is widened to the pivot payload with nulls."""
-        wide = schemas.PIVOT_PAYLOAD.fieldNames()
-        parts = []
-        for kind in KINDS:
-            df = self.events[kind]
-            have = df.schema["payload_after"].dataType.fieldNames()
-            payload = F.when(
-                F.col("payload_after").isNotNull(),
-                F.struct(*[
-                    (F.col(f"payload_after.{f}") if f in have else F.lit(None).cast(schemas.PIVOT_PAYLOAD[f].dataType)).alias(f)
-                    for f in wide
-                ]),
-            )
-            parts.append(df.withColumn("payload_after", payload).withColumn("kind_group", F.lit(kind)))
-        return _union(parts)
-
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
+        return widen_events(self.events)
+
+
+def widen_events(events: dict[str, DataFrame]) -> DataFrame:
+    """Events of several kinds in one table; the payload is widened to the pivot payload with nulls."""
+    wide = schemas.PIVOT_PAYLOAD.fieldNames()
+    parts = []
+    for kind, df in events.items():
+        have = df.schema["payload_after"].dataType.fieldNames()
+        payload = F.when(
+            F.col("payload_after").isNotNull(),
+            F.struct(*[
+                (F.col(f"payload_after.{f}") if f in have else F.lit(None).cast(schemas.PIVOT_PAYLOAD[f].dataType)).alias(f)
+                for f in wide
+            ]),
+        )
+        parts.append(df.withColumn("payload_after", payload).withColumn("kind_group", F.lit(kind)))
+    return union_all(parts)
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -117,9 +120,3 @@ def structure_chain(
         "major_lh": derived.major_lh_events(leg_events, bars, series, scope=scope, span=span),
     }
     return StructureChain(bars, features.edge_features(bars, series, rows), anchors, objects, events)
-
-
-STRUCTURE_BUILDERS: dict[str, Callable[..., DataFrame]] = {
-    "leg": legs.legs_from_pivots,
-    "major_lh": major_lh.major_lower_highs,
-}

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import rules, schemas
 from barloom.operators import features, overlays, replay, windows
 from barloom.operators.bars import index_bars
-from barloom.plans.chain import StructureChain
+from barloom.plans.chain import KINDS, StructureChain, union_all, widen_events
 from barloom.session import cut_lineage
 
+MARGIN_BARS = 2048
+
 
 @dataclass(frozen=True)
 class ChartRequest:
@@ -47,14 +49,61 @@ def chart_window(
     data_version: str,
     series: Sequence[str] = schemas.SERIES,
 ) -> dict[str, DataFrame]:
-    """Every part is a lazy DataFrame; the caller decides what to run."""
-    series = list(series)
-    events, objects = cut_lineage(chain.all_events()), cut_lineage(chain.all_objects())
-    window = windows.select_window(chain.bars, request.window, series)
+    """W10 over a chain in memory. Its log and objects are stored first, as several parts read them; the parts themselves
+    are lazy. For stored datasets use ``stored_chart_window``, which reads the window's part of them only."""
+    return _parts(
+        chain.bars, cut_lineage(chain.all_objects()), cut_lineage(chain.all_events()), minute_bars, timeframe, request, data_version, list(series)
+    )
+
+
+def stored_inputs(
+    spark: SparkSession, root: str, window: windows.WindowSpec, symbols: Sequence[str] = (), kinds: Sequence[str] = KINDS,
+    series: Sequence[str] = schemas.SERIES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, objects and events of a ``structure_job`` folder that a chart of the window can need.
+
+    The window becomes literal filters on symbol, year, bar index and bar ids, so partitions and row groups are pruned.
+    Bars reach back and ahead by the window's own length: structures in the window anchor near it, and replay starts at
+    the bar before it. Objects and events overlap the window; their years may be those next to the window's.
+    """
+    def only(path: str) -> DataFrame:
+        df = spark.read.parquet(path)
+        return df.where(F.col("symbol").isin(*symbols)) if symbols else df
+
+    bars = only(f"{root}/bars/data")
+    reach = windows.window_reach(bars, window, series)
+    near = [y + k for y in reach.years for k in (-1, 0, 1)]
+    margin = max(MARGIN_BARS, reach.to_index - reach.from_index + 1)
+    bars = bars.where(F.col("year").isin(*near) & F.col("bar_index").between(reach.from_index - margin, reach.to_index + margin))
+
+    def overlapping(part: str, kind: str) -> DataFrame:
+        df = only(f"{root}/{part}/kind_group={kind}/data").withColumn("kind_group", F.lit(kind))
+        ends = F.col("end_bar_id").isNull() & (F.col("start_bar_id") >= reach.min_bar_id) | (F.col("end_bar_id") >= reach.min_bar_id)
+        return df.where(F.col("year").isin(*near) & (F.col("start_bar_id") <= reach.max_bar_id) & ends).drop("year")
+
+    objects = union_all([overlapping("structures", k) for k in kinds])
+    events = widen_events({k: overlapping("events", k) for k in kinds})
+    return bars.drop("year"), objects, events
+
+
+def stored_chart_window(
+    spark: SparkSession, root: str, minute_bars: DataFrame, timeframe: str, request: ChartRequest, data_version: str,
+    symbols: Sequence[str] = (), series: Sequence[str] = schemas.SERIES,
+) -> dict[str, DataFrame]:
+    """W10 over the datasets of ``structure_job``."""
+    bars, objects, events = stored_inputs(spark, root, request.window, symbols, series=series)
+    return _parts(bars, objects, events, minute_bars, timeframe, request, data_version, list(series))
+
+
+def _parts(
+    bars: DataFrame, objects: DataFrame, events: DataFrame, minute_bars: DataFrame, timeframe: str, request: ChartRequest,
+    data_version: str, series: list[str],
+) -> dict[str, DataFrame]:
+    window = windows.select_window(bars, request.window, series)
     cursor = {"as_of_bar_id": request.as_of_bar_id, "as_of_event_id": request.as_of_event_id, "series": series}
     structures = cut_lineage(windows.structures_in_window(objects, events, window, **cursor))
     seen = windows.events_in_window(events, window, **cursor)
-    shown = cut_lineage(windows.widen_for_anchors(chain.bars, window, structures, series))
+    shown = cut_lineage(windows.widen_for_anchors(bars, window, structures, series))
     span = windows.window_range(shown, series)
     version = rules.PIVOT.structure_version
 
@@ -63,10 +112,10 @@ def chart_window(
         kept = overlays.overlays_in_window(joined, F.col("min_bar_id"), F.col("max_bar_id"), request.layers or None)
         return kept.drop("min_bar_id", "max_bar_id")
 
-    drawn = clipped(overlays.project_structures(structures, chain.bars, data_version, version, series=series))
+    drawn = clipped(overlays.project_structures(structures, bars, data_version, version, series=series))
     if request.as_of_bar_id is not None:
         ghosts = overlays.project_events(
-            seen, chain.bars, data_version, rules.PIVOT.rulebook_version, version, series=series
+            seen, bars, data_version, rules.PIVOT.rulebook_version, version, series=series
         )
         drawn = drawn.unionByName(clipped(ghosts))
     answer = {
@@ -74,11 +123,11 @@ def chart_window(
         "overlays": overlays.render_keys(drawn),
     }
     if request.ema_lengths:
-        answer["ema_lines"] = ema_lines(chain.bars, shown, request.ema_lengths, request.seed, series)
+        answer["ema_lines"] = ema_lines(bars, shown, request.ema_lengths, request.seed, series)
     if request.include_replay and request.as_of_bar_id is None and request.as_of_event_id is None:
-        answer["replay_base"] = replay.replay_base(objects, events, chain.bars, shown, series)
+        answer["replay_base"] = replay.replay_base(objects, events, bars, shown, series)
         answer["replay_deltas"] = replay.replay_deltas(
-            objects, events, chain.bars, shown, series, layers=request.layers or None
+            objects, events, bars, shown, series, layers=request.layers or None
         )
-        answer["playback"] = replay.playback_steps(chain.bars, shown, minute_bars, timeframe, series)
+        answer["playback"] = replay.playback_steps(bars, shown, minute_bars, timeframe, series)
     return answer

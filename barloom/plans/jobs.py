@@ -1,4 +1,4 @@
-"""Jobs that read sources, build a dataset, and write it with its profile."""
+"""Jobs that read sources, build a dataset, and write it with its profile."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom import schemas
 from barloom.operators import bars as b
-from barloom.operators import continuous, features, ingest, parity
+from barloom.operators import continuous, derived, features, ingest, legs, lifecycle, major_lh, parity, pivots
 from barloom.operators.windows import WindowSpec, select_window
+from barloom.plans import chain
+from barloom.session import cut_lineage, stages
 from barloom.sources import csv_sources, datasets
 
 
@@ -23,24 +26,22 @@ def _store(df: DataFrame, path: str, kind: str, profile, by: Sequence[str] = ("s
 
 def canonical_bar_job(spark: SparkSession, csv_path: str, out: str, data_version: str, symbol: str | None = None) -> DataFrame:
     """Minute CSV to checked canonical bars; with ``symbol`` any other symbol is an error."""
-    raw = csv_sources.read_minute_csv(spark, csv_path)
-    problems = ingest.raw_minute_problems(raw, symbol)
-    ingest.require_clean(problems, "null_values", *(["extra_symbols"] if symbol else [])).head(1)
-    made = ingest.canonical_minute_bars(raw)
-    if ingest.misaligned_rows(made).head(1):
-        raise ValueError("Minute bars are not aligned to the minute.")
-    series = ["symbol", "timeframe"]
-    ingest.require_clean(
-        ingest.series_violations(made, series), "duplicate_bar_ids", "sessions_going_back", "nan_prices"
-    ).foreach(lambda _: None)
-    return _store(made, out, "bars", datasets.profile_bars, data_version=data_version, source=csv_path)
-
-
-def trade_job(spark: SparkSession, csv_path: str, out: str, exchange: str, zone: str, data_version: str) -> DataFrame:
-    """Tick CSV to normalised trades."""
-    ticks = csv_sources.read_tick_csv(spark, csv_path)
-    if ingest.foreign_instruments(ticks).head(1):
-        raise ValueError("A tick file holds rows of another instrument.")
+    with stages(spark):
+        raw = cut_lineage(csv_sources.read_minute_csv(spark, csv_path))  # parsed once, checked and converted from here
+        problems = ingest.raw_minute_problems(raw, symbol)
+        ingest.require_clean(problems, "null_values", *(["extra_symbols"] if symbol else [])).write.format("noop").mode("overwrite").save()
+        made = ingest.require_aligned(ingest.canonical_minute_bars(raw))
+        checks = ingest.require_clean(
+            ingest.series_violations(made, ["symbol", "timeframe"]), "duplicate_bar_ids", "sessions_going_back", "nan_prices")
+        checks.write.format("noop").mode("overwrite").save()
+        return _store(made, out, "bars", datasets.profile_bars, data_version=data_version, source=csv_path)
+
+
+def trade_job(
+    spark: SparkSession, csv_path: str, out: str, exchange: str, zone: str, data_version: str, symbol_column: str | None = None
+) -> DataFrame:
+    """Tick CSV to normalised trades, in one pass: foreign rows fail the job while it runs."""
+    ticks = ingest.require_own_instrument(csv_sources.read_tick_csv(spark, csv_path, symbol_column=symbol_column))
     made = ingest.trades_from_ticks(ticks, exchange, zone)
     return _store(made, out, "trades", datasets.profile_trades, data_version=data_version, source=csv_path)
 
@@ -64,7 +65,13 @@ def family_window(
     spark: SparkSession, bars_path: str, symbol: str, session_profile: str, timeframe: str, window: WindowSpec,
     columns: Sequence[str] | None = None, years: Sequence[int] | None = None,
 ) -> DataFrame:
-    """One symbol's family cut to a window. Symbol and year prune folders before anything is read."""
+    """One symbol's family cut to a window. Symbol and year prune folders before anything is read.
+
+    The years follow from the window unless given: the year of its session with both neighbours, as the bars around it
+    may lie there.
+    """
+    if years is None and window.session_date is not None:
+        years = [window.session_date // 10000 + k for k in (-1, 0, 1)]
     stored = datasets.scan(spark, f"{bars_path}/data", years, where=F.col("symbol") == symbol)
     picked = select_window(b.derive_family(stored, session_profile, timeframe), window)
     return picked.select(*columns) if columns else picked
@@ -78,9 +85,56 @@ def edge_feature_job(bars: DataFrame, out: str, data_version: str, series: Seque
 
 
 def parity_job(
-    trades: DataFrame, reference: Sequence[DataFrame], out: str, data_version: str, minutes: int = 1
-) -> DataFrame:
-    """Trades to bars, compared with the assembled reference; rows and summary are stored."""
-    built = b.minute_view(b.bars_from_trades(trades, minutes=minutes), minutes=minutes)
-    rows = parity.parity_rows(built, parity.assemble_reference(reference))
-    return _store(rows, out, "parity", datasets.profile_parity, data_version=data_version)
+    trades: DataFrame, reference: Sequence[DataFrame], out: str, data_version: str, minutes: int = 1,
+    trading_day: int | None = None, max_mismatches: int = 20,
+) -> tuple[DataFrame, DataFrame]:
+    """Trades to stored bars, compared with the assembled reference. Rows, profile and the mismatch sample are stored.
+
+    For one trading day only the reference sources of that day and its neighbours are read (P02).
+    """
+    spark = trades.sparkSession
+    bars = _store(b.bars_from_trades(trades, minutes=minutes), f"{out}/bars", "bars", datasets.profile_bars, data_version=data_version)
+    built = b.minute_view(bars, minutes=minutes)
+    if trading_day is not None:
+        reference = [parity.neighbouring_days(r, trading_day) for r in reference]
+    rows = _store(parity.parity_rows(built, parity.assemble_reference(reference)), out, "parity", datasets.profile_parity, data_version=data_version)
+    parity.mismatch_sample(rows, max_mismatches).write.mode("overwrite").parquet(f"{out}/mismatches")
+    return rows, spark.read.parquet(f"{out}/mismatches")
+
+
+def structure_job(
+    bars: DataFrame, out: str, data_version: str, series: Sequence[str] = schemas.SERIES, may_be_empty: Sequence[str] = ("major_lh",)
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Objects and events of every kind, stored by kind, symbol and year with profiles, and read back.
+
+    Bars are stored with ``bar_index``. Legs are built from the stored pivots and major lower highs from the stored legs.
+    A kind without rows is an error unless it may be empty.
+    """
+    spark = bars.sparkSession
+    with stages(spark):
+        numbered = chain.stored_index(bars, series)
+        datasets.write_dataset(numbered, f"{out}/bars/data", "bars")
+        numbered = datasets.scan(spark, f"{out}/bars/data")
+        anchors = cut_lineage(pivots.pivot_anchors(numbered, series=series))
+
+        def store(kind: str, objects: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+            made = []
+            for part, df, profile in (("structures", objects, datasets.profile_structures), ("events", events, datasets.profile_events)):
+                path = f"{out}/{part}/kind_group={kind}"
+                datasets.write_dataset(df, f"{path}/data", part)
+                stored = datasets.scan(spark, f"{path}/data", schema=T.StructType([*df.schema.fields, T.StructField("year", T.LongType())]))
+                if kind not in may_be_empty or stored.head(1):
+                    datasets.write_profile(profile(stored), f"{path}/profile", {"data_version": data_version})
+                made.append(stored)
+            return made[0], made[1]
+
+        found = {}
+        for tier in ("pivot_st", "pivot"):
+            mine = anchors.where(F.col("kind_group") == tier)
+            found[tier] = store(tier, pivots.pivot_objects(mine, series), pivots.pivot_events(mine, series))
+        visible = lifecycle.reduce_states(found["pivot"][1], series)
+        leg = legs.legs_from_pivots(legs.priced(visible, numbered, series), series=series)
+        found["leg"] = store("leg", leg, derived.leg_events(anchors, numbered, series))
+        major = major_lh.major_lower_highs(found["leg"][0], numbered, series)
+        found["major_lh"] = store("major_lh", major, derived.major_lh_events(found["leg"][1], numbered, series))
+        return found

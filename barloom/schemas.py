@@ -1,4 +1,4 @@
-"""Column contracts of the datasets."""
+"""Column contracts of the datasets. The names and types are fixed values: stored data has to have them."""
 
 from __future__ import annotations
 
@@ -51,7 +51,6 @@ PIVOT_PAYLOAD = _schema(
     ("explanation_codes", T.ArrayType(S)), ("extreme_price", D), ("left_window", L), ("right_window", L),
     ("crosses_session_boundary", B),
 )
-CODES_PAYLOAD = _schema(("explanation_codes", T.ArrayType(S)))
 EVENT_COLUMNS = (
     "event_id", "structure_id", "kind", "event_type", "event_bar_id", "event_order", "state_after_event",
     "reason_codes", "start_bar_id", "end_bar_id", "confirm_bar_id", "anchor_bar_ids",
@@ -59,12 +58,6 @@ EVENT_COLUMNS = (
     "session_id", "session_date",
 )
 PARITY_FIELDS = ("open", "high", "low", "close", "amount", "volume", "position")
-# A review verdict is a record format only; nothing reads or writes one.
-VERDICT = _schema(
-    ("review_id", S), ("reviewer_id", S), ("review_mode", S), ("data_version", S), ("feature_version", S),
-    ("rulebook_version", S), ("structure_id", S), ("reviewed_start_bar_id", L), ("reviewed_end_bar_id", L), ("verdict", S),
-    ("reason_code", S), ("comment", S), ("created_at_iso", S),
-)
 EDGE_FEATURE_KEYS = ("hl_overlap", "body_overlap", "hl_gap", "body_gap")
 
 

@@ -54,13 +54,13 @@ def read_tick_csv(
     needed = F.lit(False)
     for c in schemas.RAW_TICK_REQUIRED:
         needed = needed | F.col(c).isNull()
-    guard = F.when(needed, F.raise_error(F.lit("A required tick value is blank.")).cast("long"))
+    # A filter, so that the check runs whatever columns are read later.
+    rows = rows.where(F.when(needed, F.raise_error(F.lit("A required tick value is blank.")).cast("boolean")).otherwise(F.lit(True)))
     if sequence is not None:
-        return rows.select(*names, stem.alias("symbol"), F.coalesce(guard, F.col(sequence).cast("long")).alias("row_no"))
+        return rows.select(*names, stem.alias("symbol"), F.col(sequence).cast("long").alias("row_no"))
     placed = rows.select(
         *names, stem.alias("symbol"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
-        guard.alias("guard"),
     )
     counts = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +68,7 @@ def read_tick_csv(
     inside = Window.partitionBy("file", "block").orderBy("place")
     return (
         placed.withColumn("n", F.row_number().over(inside)).join(offsets, ["file", "block"])
-        .select(*names, "symbol", F.coalesce("guard", F.col("n") + F.col("offset")).alias("row_no"))
+        .select(*names, "symbol", (F.col("n") + F.col("offset")).alias("row_no"))
     )
 
 

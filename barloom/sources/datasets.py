@@ -74,17 +74,19 @@ def scan(
 
 def scan_legacy_bars(spark: SparkSession, path: str, years: Iterable[int] | None = None) -> DataFrame:
     """Older bar files; ``ts_et_ns`` is read as ``ts_local_ns``, absent columns become NaN or null."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    # Old and new names in one schema: no footer is opened to merge schemas, an absent column reads as null.
+    names = [*schemas.BARS.fields, T.StructField("ts_et_ns", T.LongType()), T.StructField("year", T.LongType())]
+    df = spark.read.schema(T.StructType(names)).parquet(path)
     if years is not None:
         df = df.where(F.col("year").isin(*[int(y) for y in years]))
 
     def column(field: T.StructField) -> Column:
-        sources = [field.name] + (["ts_et_ns"] if field.name == "ts_local_ns" else [])
-        found = [F.col(c) for c in sources if c in df.columns]
-        if found:
-            return F.coalesce(*found).cast(field.dataType).alias(field.name)
-        empty = F.lit(float("nan")) if isinstance(field.dataType, T.DoubleType) else F.lit(None)
-        return empty.cast(field.dataType).alias(field.name)
+        found = [F.col(field.name)]
+        if field.name == "ts_local_ns":
+            found.append(F.col("ts_et_ns"))
+        if isinstance(field.dataType, T.DoubleType):
+            found.append(F.lit(float("nan")))
+        return F.coalesce(*found).alias(field.name)
 
     return df.select(*[column(f) for f in schemas.BARS.fields])
 

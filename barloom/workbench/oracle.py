@@ -654,6 +654,10 @@ def _sql() -> dict[str, str]:
     q["X04_live_states"] = """SELECT symbol, structure_id, max_by(after, event_bar_id) AS state, kind, any_value(bar_id) AS start_bar_id, max(confirm_id) AS confirm_bar_id,
       max_by(e_session, event_bar_id) AS session_id, any_value(codes) AS explanation_codes FROM m_pe GROUP BY symbol, structure_id, kind
       HAVING max_by(after, event_bar_id) <> 'invalidated'"""
+    q["S02_tick_csv_numbered"] = q["S02_tick_csv"]
+    q["T10_stored_pivot_objects"] = q["T07_pivot_objects"]
+    q["T13_stored_legs"] = f"{q['T11_legs']} UNION ALL ({q['T12_major_lower_highs']})"
+    q["T13_stored_leg_events"] = f"{q['T16_leg_events']} UNION ALL ({q['T16_major_lh_events']})"
     return q
 
 

@@ -110,6 +110,21 @@ def S02_tick_csv(spark, d):
     return flat(rows, "symbol", "row_no", "TradingDay", "UpdateTime", "UpdateMillisec", "LastPrice", "Volume", "Turnover", "OpenInterest")
 
 
+def tick_files(spark, d, path):
+    """One CSV file for each symbol and trading day, its rows in order and without a number."""
+    ticks = feed.ticks(spark, d).withColumns({"of": F.col("symbol"), "day": F.col("TradingDay")})
+    placed = ticks.repartition("of", "day").sortWithinPartitions("of", "day", "row_no")
+    placed.drop("symbol", "row_no").write.partitionBy("of", "day").option("header", True).csv(path)
+
+
+@query
+def S02_tick_csv_numbered(spark, d):
+    path = scratch(spark)
+    tick_files(spark, d, path)
+    rows = csv_sources.read_tick_csv(spark, path, symbol_column="InstrumentID")
+    return flat(rows, "symbol", "row_no", "TradingDay", "UpdateTime", "UpdateMillisec", "LastPrice", "Volume", "Turnover", "OpenInterest")
+
+
 @query
 def S03_reference_minute_csv(spark, d):
     path = scratch(spark)
@@ -135,14 +150,14 @@ def S05_legacy_bar_scan(spark, d):
     path = scratch(spark)
     old = feed.dense_bars(spark, d).withColumnRenamed("ts_local_ns", "ts_et_ns").drop("turnover", "open_interest", "session_profile")
     old.withColumn("year", datasets.year_of(F.col("session_date"))).write.partitionBy("year").parquet(path)
-    return flat(datasets.scan_legacy_bars(spark, path, [2024]), *BAR)
+    return flat(datasets.scan_legacy_bars(spark, path), *BAR)
 
 
 @query
 def S06_trade_scan(spark, d):
     path = scratch(spark)
     datasets.write_dataset(feed.trades(spark, d), path, "trades")
-    return flat(datasets.scan(spark, path, years=[2024], columns=["symbol", "event_order", "session_date", "price", "size"]))
+    return flat(datasets.scan(spark, path, columns=["symbol", "event_order", "session_date", "price", "size"]))
 
 
 @query
@@ -164,7 +179,7 @@ def stored_structures(spark, d):
 
 @query
 def S08_structure_scan(spark, d):
-    return flat(datasets.scan_structures(spark, stored_structures(spark, d), "leg", years=[2024]), *STRUCTURE)
+    return flat(datasets.scan_structures(spark, stored_structures(spark, d), "leg"), *STRUCTURE)
 
 
 @query
@@ -337,7 +352,7 @@ def B09_family_window(spark, d):
     path = scratch(spark)
     datasets.write_dataset(feed.dense_bars(spark, d).drop("session_profile"), f"{path}/data", "bars")
     spec = windows.WindowSpec(session_date=WINDOW_SESSION, right_bars=2)
-    return flat(jobs.family_window(spark, path, "click", "eth_full", "5m", spec, BAR, [2024]))
+    return flat(jobs.family_window(spark, path, "click", "eth_full", "5m", spec, BAR))
 
 
 @query
@@ -362,9 +377,8 @@ def B12_canonical_bar_job(spark, d):
 @query
 def B13_trade_job(spark, d):
     path = scratch(spark)
-    ticks = feed.ticks(spark, d)
-    made = ingest.trades_from_ticks(ticks, feed.EXCHANGE)
-    stored = jobs._store(made, path, "trades", datasets.profile_trades, data_version="v1")
+    tick_files(spark, d, f"{path}/csv")
+    stored = jobs.trade_job(spark, f"{path}/csv", f"{path}/out", feed.EXCHANGE, feed.ZONE, "v1", symbol_column="InstrumentID")
     return flat(stored, "symbol", "session_date", "event_order", "price", "size", "turnover_delta", "open_interest")
 
 
@@ -462,7 +476,7 @@ def P06_mismatch_sample(spark, d):
 
 @query
 def P07_parity_job(spark, d):
-    rows = jobs.parity_job(feed.trades(spark, d), reference_sources(spark, d), scratch(spark), "v1", minutes=60)
+    rows, _ = jobs.parity_job(feed.trades(spark, d), reference_sources(spark, d), scratch(spark), "v1", minutes=60)
     return flat(rows.groupBy("symbol", "status").agg(F.count(F.lit(1)).alias("minutes"), F.sum(F.abs("delta_volume")).alias("volume_off")))
 
 
@@ -584,6 +598,26 @@ def T10_pivot_tier(spark, d):
     return flat(o.withColumn("dataset", F.lit("objects")).unionByName(e.withColumn("dataset", F.lit("events"))))
 
 
+@query
+def T10_stored_pivot_objects(spark, d):
+    """Both tiers as the job stored them."""
+    found = jobs.structure_job(feed.dense_bars(spark, d), scratch(spark), "v1")
+    return flat(found["pivot_st"][0].unionByName(found["pivot"][0]), *STRUCTURE)
+
+
+@query
+def T13_stored_legs(spark, d):
+    """Legs from the stored pivots, major lower highs from the stored legs, as the job stored them."""
+    found = jobs.structure_job(feed.dense_bars(spark, d), scratch(spark), "v1")
+    return flat(found["leg"][0].unionByName(found["major_lh"][0]), *STRUCTURE)
+
+
+@query
+def T13_stored_leg_events(spark, d):
+    found = jobs.structure_job(feed.dense_bars(spark, d), scratch(spark), "v1")
+    return flat(found["leg"][1].unionByName(found["major_lh"][1]).select(*EVENT).drop("event_order", "changed_fields", "successor_structure_id"))
+
+
 @query
 def T11_legs(spark, d):
     return flat(legs.legs_from_pivots(pivots.resolved_pivots(anchors(indexed(spark, d)))), *STRUCTURE)

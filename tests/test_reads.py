@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from barloom import rules
 from barloom.operators import lifecycle, overlays, pivots, replay, windows
-from barloom.plans import chart
+from barloom.plans import chart, jobs
 from barloom.plans.chain import structure_chain
 from barloom.session import cut_lineage
 from barloom.streaming import live
@@ -183,3 +183,22 @@ def test_live_states_equal_batch(spark, tmp_path, chain):
     got = {(r.structure_id, *r.s) for r in last.where("s.state is not null").collect()}
     want = {(r.structure_id, r.state, r.confirm_bar_id, r.session_id) for r in lifecycle.reduce_states(log).collect()}
     assert got == want
+
+
+def test_stored_chart_reads_the_window_only(spark, tmp_path, chain):
+    root = str(tmp_path / "stored")
+    bars = bars_frame(spark, random_bars(140, 21)).unionByName(bars_frame(spark, random_bars(90, 22, "Y")))
+    jobs.structure_job(bars, root, "v1", may_be_empty=("major_lh", "leg"))
+    ids = sorted(r.bar_id for r in bars.where("symbol = 'X'").select("bar_id").collect())
+    spec = windows.WindowSpec(center_bar_id=ids[70], left_bars=20, right_bars=20)
+    request = chart.ChartRequest(spec, as_of_bar_id=ids[80], ema_lengths=(5,))
+    stored = chart.stored_chart_window(spark, root, bars, "1m", request, "d1", ["X"])
+    whole = chart.chart_window(chain, chain.bars, "1m", request, "d1")
+    for part, key in (("bars", "bar_id"), ("structures", "structure_id"), ("events", "event_id"), ("overlays", "overlay_id"), ("ema_lines", "bar_id")):
+        pick = lambda df: sorted(r[0] for r in df.select(key).collect())  # noqa: B023, E731
+        assert pick(stored[part]) == pick(whole[part]), part
+    _, objects, _ = chart.stored_inputs(spark, root, spec, ["X"])
+    plan = objects._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(start_bar_id" in plan and "year#" in plan.split("PartitionFilters")[1]
+    with pytest.raises(KeyError):
+        chart.stored_inputs(spark, root, windows.WindowSpec(center_bar_id=1), ["X"])
