@@ -31,6 +31,7 @@ SHARD_BLOCKS = 1024
 MAX_EPOCHS = 2
 CHUNK_ROWS = 1 << 15
 CELLS = 1 << 12
+SLOTS_PER_TASK = 1 << 17
 SWAP_ROUNDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,7 +103,8 @@ def slots(sources: DataFrame, total: int, shard_blocks: int, seed: int) -> DataF
     counts = stage(drawn.groupBy("shard", "nth").agg(F.count(F.lit(1)).alias("n")))
 
     numbered = _running(counts, ["nth"], F.expr(f"shard div {CHUNK_ROWS}"), ["shard"], "n", "first")
-    numbered = numbered.select("shard", "nth", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    # A count stands for many slots: the counts are dealt out by the slots they stand for before these become rows.
+    numbered = numbered.repartition(groups_for(total, SLOTS_PER_TASK), "shard").select("shard", "nth", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
 
     # Surplus draws of one source become the missing ones of another, matched by their running numbers.
     came = counts.groupBy("nth").agg(F.sum("n").alias("came"))

@@ -111,3 +111,24 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+ORACLE["op8_suffix_array_dedup"] = """
+WITH d AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS raw, lower(hex(encode(coalesce(text, '')))) AS digits, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+    SELECT doc_id, i, substr(digits, 2 * i + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS t(i)
+), least_id AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+gone AS (SELECT doc_id, i FROM w JOIN least_id USING (s) WHERE m < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM gone),
+islands AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY doc_id, run),
+parts AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+    UNION ALL SELECT d.doc_id, n, n, coalesce((SELECT max(b) FROM spans s WHERE s.doc_id = d.doc_id), 0) FROM d
+), kept AS (
+    SELECT p.doc_id, string_agg(substr(digits, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS digits, CAST(sum(b - a) AS BIGINT) AS n_removed,
+           count(*) - 1 AS n_spans FROM parts p JOIN d USING (doc_id) GROUP BY p.doc_id
+)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept.digits)) AS kept_sha256 FROM kept JOIN d USING (doc_id)
+"""
