@@ -654,6 +654,26 @@ def _sql() -> dict[str, str]:
     q["X04_live_states"] = """SELECT symbol, structure_id, max_by(after, event_bar_id) AS state, kind, any_value(bar_id) AS start_bar_id, max(confirm_id) AS confirm_bar_id,
       max_by(e_session, event_bar_id) AS session_id, any_value(codes) AS explanation_codes FROM m_pe GROUP BY symbol, structure_id, kind
       HAVING max_by(after, event_bar_id) <> 'invalidated'"""
+    derived_rows = " UNION ALL ".join(
+        f"""SELECT e.symbol, event_id, structure_id, kind, event_type, event_bar_id, state_after_event, start_bar_id, end_bar_id,
+        coalesce(confirm_bar_id, -1) AS confirm_bar_id, b.session_id FROM {v} e JOIN m_bars b ON b.symbol = e.symbol AND b.bar_id = e.event_bar_id"""
+        for v in ("m_leg_events", "m_major_events"))
+    all_events = f"""(SELECT symbol, event_id, structure_id, kind, event_type, event_bar_id, after AS state_after_event, bar_id AS start_bar_id,
+      CAST(-1 AS BIGINT) AS end_bar_id, confirm_id AS confirm_bar_id, e_session AS session_id FROM m_pevents UNION ALL {derived_rows})"""
+    near = "r.symbol = x.symbol AND greatest(x.start_bar_id, x.end_bar_id) >= lo AND x.start_bar_id <= hi"
+    q["W10_chart_events"] = f"SELECT x.* FROM {all_events} x JOIN m_range r ON {near} WHERE event_bar_id <= {CURSOR_BAR}"
+    all_objects = f"(SELECT {PIVOT_OBJECT} FROM m_anchors UNION ALL SELECT {LEG_OBJECT} FROM m_legs UNION ALL SELECT {MAJOR_OBJECT} FROM m_major)"
+    shown = "symbol, structure_id, kind, state, start_bar_id, end_bar_id, confirm_bar_id"
+    live = f"""(SELECT symbol, structure_id, kind, max_by(state_after_event, event_bar_id) AS state, any_value(start_bar_id) AS start_bar_id,
+      any_value(end_bar_id) AS end_bar_id, max(confirm_bar_id) AS confirm_bar_id FROM {all_events} WHERE event_bar_id <= {CURSOR_BAR}
+      GROUP BY symbol, structure_id, kind HAVING max_by(state_after_event, event_bar_id) <> 'invalidated')"""
+    visible = f"""(SELECT {shown} FROM {live} UNION ALL SELECT {shown} FROM {all_objects} o WHERE start_bar_id <= {CURSOR_BAR}
+      AND (state = 'candidate' OR (state = 'confirmed' AND CASE WHEN confirm_bar_id = -1 THEN start_bar_id ELSE confirm_bar_id END <= {CURSOR_BAR}))
+      AND NOT EXISTS (SELECT 1 FROM {live} l WHERE l.symbol = o.symbol AND l.structure_id = o.structure_id))"""
+    structures = f"SELECT x.* FROM {visible} x JOIN m_range r ON {near}"
+    q["W10_chart_structures"] = structures
+    q["W10_chart_bars"] = f"""SELECT {BAR} FROM m_bars b JOIN (SELECT r.symbol AS s, least(min(lo), min(start_bar_id)) AS a, greatest(max(hi), max(greatest(start_bar_id, end_bar_id))) AS z
+      FROM m_range r LEFT JOIN ({structures}) t ON t.symbol = r.symbol GROUP BY r.symbol) ON s = b.symbol AND bar_id BETWEEN a AND z"""
     q["S02_tick_csv_numbered"] = q["S02_tick_csv"]
     q["T10_stored_pivot_objects"] = q["T07_pivot_objects"]
     q["T13_stored_legs"] = f"{q['T11_legs']} UNION ALL ({q['T12_major_lower_highs']})"

@@ -915,6 +915,30 @@ def W10_chart_window(spark, d):
     return flat(out)
 
 
+def stored_chart(spark, d):
+    """The answer of the chart window over the datasets that the structure job stored."""
+    root = scratch(spark)
+    minute = cut_lineage(feed.dense_bars(spark, d))
+    jobs.structure_job(minute, root, "d1")
+    return chart.stored_chart_window(spark, root, minute, "1m", chart.ChartRequest(WINDOW, as_of_bar_id=CURSOR_BAR), "d1")
+
+
+@query
+def W10_chart_bars(spark, d):
+    return flat(stored_chart(spark, d)["bars"], *BAR)
+
+
+@query
+def W10_chart_structures(spark, d):
+    return flat(stored_chart(spark, d)["structures"], *STRUCTURE[:7])
+
+
+@query
+def W10_chart_events(spark, d):
+    rows = stored_chart(spark, d)["events"]
+    return flat(rows, "symbol", "event_id", "structure_id", "kind", "event_type", "event_bar_id", "state_after_event", "start_bar_id", "end_bar_id", "confirm_bar_id", "session_id")
+
+
 @query
 def W11_ema_lines(spark, d):
     bars = indexed(spark, d)
