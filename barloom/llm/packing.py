@@ -39,8 +39,9 @@ class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, with the end id appended.
 
     The tokenizer never joins anything across a space, so the parts between spaces are encoded on their own and
-    remembered. A new ASCII part of letters with points behind is a word and a run of points to the tokenizer, in lower
-    case; only the word goes to its model. When the cache is full, entries used since then move to a new one.
+    remembered. It lowers letters, so ASCII texts are lowered as a whole first, unless they may hold a special token. A new
+    ASCII part of letters with points behind is a word and a run of points to the tokenizer; only the word goes to its
+    model. When the cache is full, entries used since then move to a new one.
     """
 
     def __init__(self, path: str):
@@ -61,11 +62,11 @@ class Encoder:
         if part.isascii():
             word = part.rstrip(POINTS)
             if word.isalpha():
-                return self._word(word.lower()) + (self._found(part[len(word):]) if len(word) < len(part) else b"")
+                return self._word(word.lower()) if len(word) == len(part) else self._found(word) + self._found(part[len(word):])
         return self._whole(part)
 
     def _found(self, part: str) -> bytes:
-        ids = self.older.get(part)
+        ids = self.known.get(part) or self.older.get(part)
         if ids is None:
             ids = self._new(part)
         if len(self.known) >= CACHE_ENTRIES:
@@ -74,9 +75,9 @@ class Encoder:
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        get, find = self.known.get, self._found
+        get, find, text = self.known.get, self._found, text or ""
         out = []
-        for part in (text or "").split(" "):
+        for part in (text.lower() if text.isascii() and "<|" not in text else text).split(" "):
             ids = get(part)
             if ids is None:
                 ids = find(part)
