@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom import schemas
 from barloom.functions.scalars import NS_PER_SECOND, long
@@ -18,6 +19,15 @@ _ROW = (
     "anchor_bar_ids", "explanation_codes",
 )
 
+# The datasets that the structures of a kind were built from.
+STRUCTURE_REFS = {"leg_up": ["pivot"], "leg_down": ["pivot"], "major_lh": ["leg"]}
+
+
+def structure_rows(df: DataFrame, series: Sequence[str], payload: T.DataType) -> DataFrame:
+    """Structure rows with links and payload; rows of an object dataset carry neither, so they are null there."""
+    extra = {"predecessor_structure_id": T.StringType(), "successor_structure_id": T.StringType(), "payload": payload}
+    return df.select(*series, *_ROW, *[(F.col(c) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in extra.items()])
+
 
 @dataclass(frozen=True)
 class WindowSpec:
@@ -135,7 +145,8 @@ def structures_in_window(
     """Structures visible at the cursor. Rows from the event log win over object rows."""
     series = list(series)
     key = [*series, "structure_id"]
-    near = in_window(objects, window, series).select(*series, *_ROW)
+    payload = events.schema["payload_after"].dataType
+    near = structure_rows(in_window(objects, window, series), series, payload)
     if as_of_bar_id is None and as_of_event_id is None:
         return near.where(F.col("state") != "invalidated")
     # A structure keeps its bars for life, so the log is cut to the window before it is reduced, and reduced once.
@@ -148,8 +159,12 @@ def structures_in_window(
         shown = others.join(cursor, series).where(object_visible(F.col("cursor"))).drop("cursor")
     else:
         shown = near.where(object_visible(as_of_bar_id))
-    side = lambda df, name: df.select(*key, F.struct(*_ROW).alias(name))
-    both = side(reduce_states(seen, series), "live").join(side(shown, "object"), key, "full_outer")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, F.struct(*[c for c in df.columns if c not in series]).alias(name))
+
+    live = structure_rows(reduce_states(seen, series), series, payload)
+    both = side(live, "live").join(side(shown.select(*live.columns), "object"), key, "full_outer")
     return both.select(*series, F.coalesce("live", "object").alias("row")).select(*series, "row.*")
 
 
@@ -205,7 +220,10 @@ def structure_detail(
             plain.where(object_visible(as_of_bar_id)) if bound is None
             else plain.join(bound, series).where(object_visible(F.col("as_of"))).drop("as_of")
         )
-    rows = live.select(*series, *_ROW).unionByName(fallback.select(*series, *_ROW))
+    payload = events.schema["payload_after"].dataType
+    rows = structure_rows(live, series, payload).unionByName(structure_rows(fallback, series, payload))
+    built_from = F.coalesce(*[F.when(F.col("kind") == k, F.array(*map(F.lit, v))) for k, v in STRUCTURE_REFS.items()], F.array().cast("array<string>"))
+    rows = rows.withColumn("structure_refs", built_from)
     bar = F.struct("bar_id", "ts_utc_ns", "session_id", "session_date", "open", "high", "low", "close")
     at = bars.select(*series, F.col("bar_id").alias("anchor"), bar.alias("bar"))
     refs = own_objects.select(*key, "feature_refs", "rulebook_version")

@@ -654,6 +654,10 @@ def _sql() -> dict[str, str]:
     q["X04_live_states"] = """SELECT symbol, structure_id, max_by(after, event_bar_id) AS state, kind, any_value(bar_id) AS start_bar_id, max(confirm_id) AS confirm_bar_id,
       max_by(e_session, event_bar_id) AS session_id, any_value(codes) AS explanation_codes FROM m_pe GROUP BY symbol, structure_id, kind
       HAVING max_by(after, event_bar_id) <> 'invalidated'"""
+    q["W03_structure_payload"] = """SELECT s.symbol, structure_id, round(price, 6) AS extreme_price, CAST(3 AS BIGINT) AS left_window
+      FROM m_state s JOIN m_range r ON r.symbol = s.symbol AND start_bar_id BETWEEN lo AND hi"""
+    q["W06_leg_detail"] = f"""SELECT x.symbol, structure_id, state, CAST(2 AS BIGINT) AS n_anchors, a.high AS first_high, z.low AS last_low, 'pivot' AS structure_refs
+      FROM ({q['L03_leg_states_as_of_bar']}) x JOIN m_bars a ON a.symbol = x.symbol AND a.bar_id = start_bar_id JOIN m_bars z ON z.symbol = x.symbol AND z.bar_id = end_bar_id"""
     derived_rows = " UNION ALL ".join(
         f"""SELECT e.symbol, event_id, structure_id, kind, event_type, event_bar_id, state_after_event, start_bar_id, end_bar_id,
         coalesce(confirm_bar_id, -1) AS confirm_bar_id, b.session_id FROM {v} e JOIN m_bars b ON b.symbol = e.symbol AND b.bar_id = e.event_bar_id"""

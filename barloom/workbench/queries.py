@@ -846,6 +846,13 @@ def W03_structures_in_window(spark, d):
     return flat(windows.structures_in_window(objects, log, window, as_of_bar_id=CURSOR_BAR), *STRUCTURE)
 
 
+@query
+def W03_structure_payload(spark, d):
+    _, objects, log, window = read_inputs(spark, d)
+    rows = windows.structures_in_window(objects, log, window, as_of_bar_id=CURSOR_BAR).where(F.col("payload").isNotNull())
+    return flat(rows.select("symbol", "structure_id", "payload.extreme_price", "payload.left_window"))
+
+
 @query
 def W04_object_visibility(spark, d):
     _, objects, _, _ = read_inputs(spark, d)
@@ -867,6 +874,17 @@ def W06_structure_detail(spark, d):
                             F.col("anchor_bars")[0]["low"].alias("anchor_low"), F.col("confirm_bar.close").alias("confirm_close")))
 
 
+@query
+def W06_leg_detail(spark, d):
+    """Every anchor of every leg, and what legs are built from."""
+    bars, log = leg_log(spark, d)
+    objects = cut_lineage(legs.legs_from_pivots(pivots.resolved_pivots(anchors(bars))))
+    wanted = log.select(*SERIES, "structure_id").distinct()
+    rows = windows.structure_detail(wanted, objects, log, bars, as_of_bar_id=CURSOR_BAR)
+    return flat(rows.select("symbol", "structure_id", "state", F.size("anchor_bars").alias("n_anchors"), F.col("anchor_bars")[0]["high"].alias("first_high"),
+                            F.col("anchor_bars")[1]["low"].alias("last_low"), "structure_refs"))
+
+
 @query
 def W07_anchor_widening(spark, d):
     bars = indexed(spark, d)
