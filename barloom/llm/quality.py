@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-COUNTED = 18
+COUNTED = 19
 
 
 def features(text: str | None) -> np.ndarray:
@@ -67,6 +68,7 @@ def features(text: str | None) -> np.ndarray:
         len(set(sentences)) / max(1, len(sentences)), len(set(lines)) / max(1, len(lines)),
         len(words) / max(1, len(sentences)), starts / max(1, len(sentences)),
         len(zlib.compress(raw, 1)) / size if raw else 1.0,
+        sum(map(eq, words, words[1:])) / n,
     ]
     moves = np.bincount(kind[:-1] * 8 + kind[1:], minlength=64) if len(kind) > 1 else np.zeros(64)
     return np.concatenate([np.array(counted, float), np.sqrt(moves / size)])
