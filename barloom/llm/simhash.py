@@ -35,19 +35,27 @@ _SPACES = bytes(range(9, 14))
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + _SPACES, bytes(range(97, 123)) + b" " * len(_SPACES))
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The majority bits over the XXH64 of all shingles, as an unsigned number."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The XXH64 of all word shingles in their order; none without words."""
     parts = (text or "").encode().translate(_LOWER).split(b" ")
     parts = [p for p in parts if p]
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, length = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     start = np.concatenate([[0], np.cumsum(length)[:-1]])
     n = max(1, len(parts) - words + 1)
     first = start[:n].tolist()
     last = (start + length - 1)[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The majority bits over the XXH64 of all shingles, as an unsigned number."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         block = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -55,12 +63,12 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, tie, fp): a hash of the text that tells rows with one id apart, and the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = np.fromiter((fingerprint(t) for t in pdf["text"]), np.uint64, len(pdf)).view(np.int64)
+            fp = np.fromiter((fingerprint(t, words) for t in pdf["text"]), np.uint64, len(pdf)).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pdf["tie"], "fp": fp})
 
     # Ids as text: a null among them would turn a column of longs into doubles.
@@ -161,9 +169,9 @@ def stars(edges: DataFrame) -> DataFrame:
         now = after
 
 
-def near_components(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, tie, fp, root, component_id), one row per row of ``docs``; ``root`` is a fingerprint of the component."""
-    prints = stage(fingerprints(docs, text))
+    prints = stage(fingerprints(docs, text, words))
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     linked = stars(near_edges(nodes.select("fp"), radius))
     rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -172,9 +180,8 @@ def near_components(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
     return prints.join(by_print, "fp").select("doc_id", "tie", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the one with the smallest id (null: last)."""
-    found = near_components(docs, text, radius)
+def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id (null: last) of every ``root`` of ``found`` (doc_id, tie, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie")
     stay = found.groupBy("root").agg(F.min(order).alias("stay")).select("stay.doc_id", "stay.tie")
     tagged = docs.withColumn("__tie", F.xxhash64(text))
@@ -182,5 +189,10 @@ def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataF
     return tagged.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__tie"]).drop("__tie")
 
 
+def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component the one with the smallest id (null: last)."""
+    return one_of_each(docs, near_components(docs, text, radius, words), text)
+
+
 def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, simhash, substring_dedup
+from barloom.llm import exact_dedup, simhash, similar, substring_dedup
 
 from .fixtures import frame, rows
 
@@ -152,3 +152,65 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(none, F.lit(0)).count() == 0
     assert simhash.near_components(none).count() == 0
     assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def shingles(text, k=5):
+    words = WORD.findall((text or "").encode().translate(LOWER))
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited_texts():
+    """Texts and copies with words changed here and there, and one boilerplate sentence in many others."""
+    draw = np.random.default_rng(12)
+    word = lambda: f"w{draw.integers(0, 3000)}"
+    notice = " ".join(word() for _ in range(12))
+    out = []
+    for k in range(40):
+        base = [word() for _ in range(int(draw.integers(3, 260)))]
+        out.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(int(draw.integers(0, 6))):
+                copy[int(draw.integers(0, len(copy)))] = word()
+            out.append(" ".join(copy))
+        out.append(" ".join(word() for _ in range(30)) + " " + notice)
+        out.append(notice + f" {k}")
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_similar_components_miss_no_pair(spark, monkeypatch, hot):
+    monkeypatch.setattr(similar, "HOT_TEXTS", hot)
+    data = rows() + [(1000 + i, t, *[None] * 7) for i, t in enumerate(edited_texts())]
+    sets = [shingles(r[1]) for r in data]
+    label, changed = list(range(len(data))), True
+    links = [(i, j) for i in range(len(data)) for j in range(i) if alike(sets[i], sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            if label[i] != label[j]:
+                label[i] = label[j] = low
+                changed = True
+    prints = [brute_print(r[1]) for r in data]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in links) > 50
+    least = {}
+    for r, part in zip(data, label):
+        least[part] = min(least.get(part, 1 << 60), 1 << 60 if r[0] is None else r[0])
+    got = similar.keep_one(frame(spark, data)).collect()
+    assert sorted(1 << 60 if r.doc_id is None else r.doc_id for r in got) == sorted(least.values())
+    assert similar.keep_one(frame(spark, [])).count() == 0
+
+
+def test_near_copies_of_the_pipeline_reach_the_similarity(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join("changed" if i in (50, 100, 150) else w for i, w in enumerate(words))
+    docs = frame(spark, [(1, " ".join(words), *[None] * 7), (2, near, *[None] * 7)])
+    assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()] == [1]
+    assert (brute_print(" ".join(words)) ^ brute_print(near)).bit_count() > 4
