@@ -67,11 +67,8 @@ def family_window(
 ) -> DataFrame:
     """One symbol's family cut to a window. Symbol and year prune folders before anything is read.
 
-    The years follow from the window unless given: the year of its session with both neighbours, as the bars around it
-    may lie there.
+    All years are read unless given: the bars around a session may lie in any of them, few as a family may have in a year.
     """
-    if years is None and window.session_date is not None:
-        years = [window.session_date // 10000 + k for k in (-1, 0, 1)]
     stored = datasets.scan(spark, f"{bars_path}/data", years, where=F.col("symbol") == symbol)
     picked = select_window(b.derive_family(stored, session_profile, timeframe), window)
     return picked.select(*columns) if columns else picked
