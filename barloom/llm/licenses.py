@@ -31,7 +31,7 @@ NAMES = (
     ("x11", "x11", "x11 licen[sc]e"), ("bsd-2-clause", "bsd", "(?:2|two) clause(?: simplified)? bsd(?: licen[sc]e)?"), ("bsd-2-clause", "bsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:3|three) clause(?: new| modified)? bsd(?: licen[sc]e)?"), ("bsd-3-clause", "bsd", "bsd 3 clause"), ("bsd-4-clause", "bsd", "(?:4|four) clause bsd(?: licen[sc]e)?"),
     ("bsd", "bsd", "bsd(?: style)? licen[sc]e"), ("mpl-1.1", "mozilla", "mozilla public licen[sc]e (?:version |v )?1 1"), ("mpl-2.0", "mozilla", "mozilla public licen[sc]e (?:version |v )?2(?: 0)?"),
-    ("epl-1.0", "eclipse", "eclipse public licen[sc]e (?:version |v )?1(?: 0)?"), ("epl-2.0", "eclipse", "eclipse public licen[sc]e (?:version |v )?2(?: 0)?"), ("cddl-1.0", "cddl", "common development and distribution licen[sc]e|cddl"),
+    ("epl-1.0", "eclipse", "eclipse public licen[sc]e (?:version |v )?1(?: 0)?"), ("epl-2.0", "eclipse", "eclipse public licen[sc]e (?:version |v )?2(?: 0)?"), ("cddl-1.0", "distribution", "common development and distribution licen[sc]e"), ("cddl-1.0", "cddl", "cddl"),
     ("cc-by-4.0", "cc", "cc by 4 0"), ("cc-by-3.0", "cc", "cc by 3 0"), ("cc-by-sa", "cc", "cc by sa(?: [1234] [05])?"), ("cc-by-nc", "cc", "cc by nc(?: [1234] [05])?"),
     ("cc-by-nd", "cc", "cc by nd(?: [1234] [05])?"), ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1234] [05])?"), ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1234] [05])?"), ("cc0-1.0", "cc0", "cc0(?: 1 0)?"),
     ("cc-by", "commons", "creative commons attribution(?: licen[sc]e)?"), ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: licen[sc]e)?"),

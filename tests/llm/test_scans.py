@@ -94,6 +94,28 @@ def test_contained_detections_are_suppressed(spark):
     assert sum(len(r) for _, r in licenses.rules()) > 200
 
 
+def spelled(name):
+    """The shortest text of every alternative of a name."""
+    out = []
+    for text in name.split("|") if "(" not in name else [name]:
+        while "(" in text:  # the innermost group: left out if optional, else its first form
+            text = re.sub(r"\(\?:([^()|]*)[^()]*\)(\??)", lambda m: "" if m[2] else m[1], text, count=1)
+        out.append(re.sub(r".\?", "", re.sub(r"\[(.)[^]]*\]", r"\1", text)).replace("  ", " ").strip())
+    return out
+
+
+def test_every_rule_finds_its_own_name(spark):
+    # A gate that a name does not hold would silence its rule.
+    data = [(n, label, name, text) for n, (label, _, name) in enumerate(licenses.NAMES) for text in spelled(name)]
+    assert all(re.fullmatch(name, text) for _, _, name, text in data)
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, label string, name string, text string")).collect()
+    assert len(got) >= len(licenses.NAMES)
+    # The name of a special form may hold a longer one's; some rule of its own label finds it.
+    assert [r.text for r in got if r.label not in {d.label for d in r.detections}] == []
+    (row,) = licenses.digest(licenses.scan(spark.createDataFrame([(1, "Under the Common Development and Distribution License.")], "doc_id long, text string"))).collect()
+    assert row.labels == "cddl-1.0" and row.score == 0.8
+
+
 def test_scans_keep_all_rows(spark):
     docs = frame(spark)
     assert pii.find_personal_data(docs).count() == licenses.scan(docs).count() == len(rows())
