@@ -14,8 +14,6 @@ from barloom.operators.bars import index_bars
 from barloom.plans.chain import KINDS, StructureChain, union_all, widen_events
 from barloom.session import cut_lineage
 
-MARGIN_BARS = 2048
-
 
 @dataclass(frozen=True)
 class ChartRequest:
@@ -58,31 +56,46 @@ def chart_window(
 
 def stored_inputs(
     spark: SparkSession, root: str, window: windows.WindowSpec, symbols: Sequence[str] = (), kinds: Sequence[str] = KINDS,
-    series: Sequence[str] = schemas.SERIES,
+    series: Sequence[str] = schemas.SERIES, from_start: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bars, objects and events of a ``structure_job`` folder that a chart of the window can need.
 
     The window becomes literal filters on symbol, year, bar index and bar ids, so partitions and row groups are pruned.
-    Bars reach back and ahead by the window's own length: structures in the window anchor near it, and replay starts at
-    the bar before it. Objects and events overlap the window; their years may be those next to the window's.
+    The chart shows bars out to the anchors of what overlaps the window; objects and events overlap those bars, as replay
+    plays over them, and bars reach out to their anchors and one further, where replay starts. With ``from_start`` bars
+    begin with the series. The years are those of the rows found, read in small aggregates first.
     """
     def only(path: str) -> DataFrame:
         df = spark.read.parquet(path)
         return df.where(F.col("symbol").isin(*symbols)) if symbols else df
 
-    bars = only(f"{root}/bars/data")
-    reach = windows.window_reach(bars, window, series)
-    near = [y + k for y in reach.years for k in (-1, 0, 1)]
-    margin = max(MARGIN_BARS, reach.to_index - reach.from_index + 1)
-    bars = bars.where(F.col("year").isin(*near) & F.col("bar_index").between(reach.from_index - margin, reach.to_index + margin))
-
-    def overlapping(part: str, kind: str) -> DataFrame:
+    def overlapping(part: str, kind: str, low: int, high: int) -> DataFrame:
         df = only(f"{root}/{part}/kind_group={kind}/data").withColumn("kind_group", F.lit(kind))
-        ends = F.col("end_bar_id").isNull() & (F.col("start_bar_id") >= reach.min_bar_id) | (F.col("end_bar_id") >= reach.min_bar_id)
-        return df.where(F.col("year").isin(*near) & (F.col("start_bar_id") <= reach.max_bar_id) & ends).drop("year")
+        ends = F.col("end_bar_id").isNull() & (F.col("start_bar_id") >= low) | (F.col("end_bar_id") >= low)
+        return df.where((F.col("start_bar_id") <= high) & ends)
+
+    def anchored(low: int, high: int) -> tuple[int, int, int | None, int | None]:
+        """First and last anchor of what overlaps the bars, these included, and first and last year of its rows."""
+        reached = union_all([
+            overlapping(part, kind, low, high).select("year", F.array_min("anchor_bar_ids").alias("a"), F.array_max("anchor_bar_ids").alias("z"))
+            for part in ("structures", "events") for kind in kinds])
+        first, last, *found = reached.agg(F.min("a"), F.max("z"), F.min("year"), F.max("year")).first()
+        return min(low, low if first is None else first), max(high, high if last is None else last), *found
 
-    objects = union_all([overlapping("structures", k) for k in kinds])
-    events = widen_events({k: overlapping("events", k) for k in kinds})
+    bars = only(f"{root}/bars/data")
+    reach = windows.window_reach(bars, window, series)
+    low, high, *_ = anchored(reach.min_bar_id, reach.max_bar_id)
+    far_low, far_high, first_year, last_year = anchored(low, high)
+    near = F.col("year").between(*((first_year, last_year) if first_year is not None else (reach.years[0], reach.years[-1])))
+
+    low_index, high_index = bars.where(F.col("bar_id").between(far_low, far_high)).agg(F.min("bar_index"), F.max("bar_index")).first()
+    bars = bars.where(F.col("bar_index") <= max(high_index, reach.to_index) + 1)
+    if not from_start:
+        bars = bars.where(F.col("bar_index") >= min(low_index, reach.from_index) - 1)
+    bars = bars.where(F.col("year").between(*bars.agg(F.min("year"), F.max("year")).first()))
+
+    objects = union_all([overlapping("structures", k, low, high).where(near).drop("year") for k in kinds])
+    events = widen_events({k: overlapping("events", k, low, high).where(near).drop("year") for k in kinds})
     return bars.drop("year"), objects, events
 
 
@@ -91,7 +104,8 @@ def stored_chart_window(
     symbols: Sequence[str] = (), series: Sequence[str] = schemas.SERIES,
 ) -> dict[str, DataFrame]:
     """W10 over the datasets of ``structure_job``."""
-    bars, objects, events = stored_inputs(spark, root, request.window, symbols, series=series)
+    from_start = bool(request.ema_lengths) and request.seed == "history"
+    bars, objects, events = stored_inputs(spark, root, request.window, symbols, series=series, from_start=from_start)
     return _parts(bars, objects, events, minute_bars, timeframe, request, data_version, list(series))
 
 

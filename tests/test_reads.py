@@ -202,3 +202,32 @@ def test_stored_chart_reads_the_window_only(spark, tmp_path, chain):
     assert "LessThanOrEqual(start_bar_id" in plan and "year#" in plan.split("PartitionFilters")[1]
     with pytest.raises(KeyError):
         chart.stored_inputs(spark, root, windows.WindowSpec(center_bar_id=1), ["X"])
+
+
+def test_stored_chart_reaches_far_anchors_and_the_start(spark, tmp_path):
+    """A leg of 5000 bars around the window, lines seeded with the history."""
+    start = random_bars(140, 21)
+    top, at = start[-1]["high"], start[-1]["bar_id"]
+    levels = [top + 0.5 * k for k in range(1, 5001)] + [top + 2500 - 2 * k for k in range(1, 15)] + [top + 2472 + 2 * k for k in range(1, 15)]
+    far = [{"bar_id": at + 1 + i, "high": v + 0.1, "low": v - 0.1, "open": v, "close": v + (i % 7) / 100} for i, v in enumerate(levels)]
+    bars = bars_frame(spark, [{**r, "session_id": 20200101 + 10000 * (i // 1300)} for i, r in enumerate(start + far)])
+    root = str(tmp_path / "far")
+    jobs.structure_job(bars, root, "v1")
+    spec = windows.WindowSpec(center_bar_id=at + 2500, left_bars=5, right_bars=5)
+    request = chart.ChartRequest(spec, ema_lengths=(1000,), seed="history", include_replay=True)
+    stored = chart.stored_chart_window(spark, root, bars, "1m", request, "d1", ["X"])
+    whole = chart.chart_window(structure_chain(bars, SERIES), bars, "1m", request, "d1")
+    for part, keys in (("bars", ["bar_id"]), ("structures", ["structure_id"]), ("overlays", ["overlay_id"]), ("ema_lines", None),
+                       ("replay_base", ["structure_id"]), ("replay_deltas", ["event_id"])):
+        keys = keys or whole[part].columns
+        pick = lambda df: sorted(map(str, (tuple(r) for r in df.select(*keys).collect())))  # noqa: B023, E731
+        assert pick(stored[part]) == pick(whole[part]), part
+    assert stored["bars"].count() > 5000
+
+
+def test_family_window_reaches_over_years(spark, tmp_path):
+    bars = bars_frame(spark, [{"bar_id": 1000 + 10 * i, "session_id": 20150105 + 10000 * i} for i in range(8)]).drop("session_profile")
+    jobs.datasets.write_dataset(bars, f"{tmp_path}/data", "bars")
+    spec = windows.WindowSpec(session_date=20190105, left_bars=4, right_bars=3)
+    got = jobs.family_window(spark, str(tmp_path), "X", "eth_full", "1m", spec)
+    assert got.count() == 8
