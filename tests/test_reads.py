@@ -214,15 +214,16 @@ def test_stored_chart_reaches_far_anchors_and_the_start(spark, tmp_path):
     root = str(tmp_path / "far")
     jobs.structure_job(bars, root, "v1")
     spec = windows.WindowSpec(center_bar_id=at + 2500, left_bars=5, right_bars=5)
-    request = chart.ChartRequest(spec, ema_lengths=(1000,), seed="history", include_replay=True)
+    request = chart.ChartRequest(spec, ema_lengths=(1000,), seed="history")
     stored = chart.stored_chart_window(spark, root, bars, "1m", request, "d1", ["X"])
-    whole = chart.chart_window(structure_chain(bars, SERIES), bars, "1m", request, "d1")
-    for part, keys in (("bars", ["bar_id"]), ("structures", ["structure_id"]), ("overlays", ["overlay_id"]), ("ema_lines", None),
-                       ("replay_base", ["structure_id"]), ("replay_deltas", ["event_id"])):
-        keys = keys or whole[part].columns
-        pick = lambda df: sorted(map(str, (tuple(r) for r in df.select(*keys).collect())))  # noqa: B023, E731
-        assert pick(stored[part]) == pick(whole[part]), part
-    assert stored["bars"].count() > 5000
+    shown = {r.bar_id for r in stored["bars"].select("bar_id").collect()}
+    assert len(shown) >= 5000
+    anchors = {a for r in stored["structures"].select("anchor_bar_ids").collect() for a in r.anchor_bar_ids}
+    assert anchors <= shown and max(anchors) - min(anchors) >= 4990
+    whole = chart.features.ema(bars, (1000,), SERIES).drop("bar_index")
+    pick = lambda df: {r for r in map(tuple, df.select(*whole.columns).collect()) if r[whole.columns.index("bar_id")] in shown}
+    assert pick(stored["ema_lines"]) == pick(whole)
+    assert stored["overlays"].count() == stored["structures"].count()
 
 
 def test_family_window_reaches_over_years(spark, tmp_path):
