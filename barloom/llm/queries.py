@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, licenses, mixing, ngram_lm, packing, pii, quality, simhash, substring_dedup, topk
+from barloom.llm import exact_dedup, licenses, mixing, ngram_lm, packing, pii, quality, simhash, spelling, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,3 +132,43 @@ parts AS (
 )
 SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept.digits)) AS kept_sha256 FROM kept JOIN d USING (doc_id)
 """
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+#: CRC-32 of a list of byte values, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bytes}), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+ORACLE["op11_spelling_variants"] = """
+WITH RECURSIVE seen AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM documents, unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')) AS u(r) GROUP BY 1, 2
+), hashed AS (
+    SELECT run, n, {crc} AS h
+    FROM seen WHERE length(run) >= 7
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS p(i)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest
+    UNION SELECT b.word, a.word, a.n FROM words a JOIN cut b ON a.word = b.rest
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), led AS (
+    SELECT word, form AS root, 1 AS steps FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT l.word, f.form, steps + 1 FROM led l JOIN formed f ON f.word = l.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, coalesce((SELECT arg_max(root, steps) FROM led WHERE led.word = formed.word), word) AS root, n, n_near, form_n FROM formed
+""".replace("{crc}", CRC32.replace("{bytes}", """flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))"""))
