@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, licenses, mixing, ngram_lm, packing, pii, quality, simhash, spelling, substring_dedup, topk
+from barloom.llm import chat, exact_dedup, licenses, mixing, ngram_lm, packing, pii, quality, simhash, spelling, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -172,3 +172,26 @@ WITH RECURSIVE seen AS (
 SELECT word, form, coalesce((SELECT arg_max(root, steps) FROM led WHERE led.word = formed.word), word) AS root, n, n_near, form_n FROM formed
 """.replace("{crc}", CRC32.replace("{bytes}", """flatten(list_transform(string_split(id || ':' || run, ''),
     lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))"""))
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a chain of replies, beside one whose texts look like the template's own marks."""
+    odd = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(chat.conversations(chat.chain(turns), "conv_id"))
+
+
+ORACLE["op12_chat_formatting"] = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+           coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learnt,
+           CAST(sum(15 + length(role) + length(text) + len(regexp_extract_all(text, '###|</turn>'))) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM g
+"""
