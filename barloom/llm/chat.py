@@ -149,9 +149,9 @@ def conversations(messages: DataFrame, tree: str = "tree", branches: int | None
     rows, texts = paths(messages, tree, branches)
     turns = rows.join(texts.select("tree", "of", "node", "role", "text"), ["tree", "node"])
     turn = F.struct((-F.col("back")).alias("at"), "role", "text")
-    whole = turns.groupBy("tree", "leaf").agg(F.first("of").alias(tree), F.first("branch").alias("branch"), F.first("branch_score").alias("branch_score"), F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = turns.groupBy("tree", "leaf").agg(F.first("of").alias("of"), F.first("branch").alias("branch"), F.first("branch_score").alias("branch_score"), F.sort_array(F.collect_list(turn)).alias("turns"))
     # The tree travels beside the text as JSON: a null among longs would turn them into doubles.
-    sent = whole.select(F.to_json(F.struct(tree, "branch", "branch_score")).alias("row"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    sent = whole.select(F.to_json(F.struct(F.col("of").alias(tree), "branch", "branch_score")).alias("row"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

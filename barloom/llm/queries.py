@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, exact_dedup, licenses, mixing, ngram_lm, packing, pii, quality, simhash, spelling, substring_dedup, topk
+from barloom.llm import chat, exact_dedup, licenses, mixing, ngram_lm, packing, pii, prefix_trie, quality, simhash, spelling, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -195,3 +195,41 @@ WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM g
 """
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE["op13_conversation_trie"] = """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS nth
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, {crc} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), turned AS (
+    SELECT c.conv_id, 0 AS part, nth, role, text FROM c JOIN t ON t.conv_id = base AND nth < h
+    UNION ALL SELECT c.conv_id, 1, nth, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND nth >= h
+), numbered AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, nth) AS depth,
+           len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, sha256(length(role) || ':' || role || text) AS digest FROM turned
+), prefixes AS (
+    SELECT conv_id, depth, words, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM numbered
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), ended AS (
+    SELECT conv_id, max(depth) AS depth, max(node) AS node FROM prefixes GROUP BY conv_id
+), nodes AS (
+    SELECT node, depth, max(words) AS words, count(*) AS n_convs, min(conv_id) AS least FROM prefixes GROUP BY node, depth
+), kids AS (
+    SELECT left(node, 64 * (depth - 1)) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), under AS (
+    SELECT left(d.node, 64 * up) AS node, (n_convs - 1) * words AS saved, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf
+    FROM nodes d LEFT JOIN kids k USING (node), unnest(range(0, d.depth + 1)) AS u(up)
+), summed AS (SELECT node, CAST(sum(saved) AS BIGINT) AS saved_tokens, CAST(sum(leaf) AS BIGINT) AS n_leaves FROM under GROUP BY node),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM ended GROUP BY node)
+SELECT n.least AS conv_id, n.depth, p.least AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN summed s USING (node) LEFT JOIN kids k USING (node) LEFT JOIN ends e USING (node)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = left(n.node, 64 * (n.depth - 1))
+""".replace("{crc}", CRC32.replace("{bytes}", "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: unicode(c)::BIGINT)"))
