@@ -108,18 +108,30 @@ def _messages(messages: DataFrame, tree: str) -> DataFrame:
     return stage(one.join(known, ["tree", "up"], "left").withColumn("up", F.when(F.col("known"), F.col("up"))).drop("known"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The ancestors 1, 2, 4, ... steps up (tree, node, up), and (tree, node, depth, total) of all that reach a root."""
+    """The ancestors 1, 2, 4, ... steps up (tree, node, up), and (tree, node, depth, total) of all that reach a root.
+
+    Only messages that have not reached their root take part in a round, so a few deep trees cost the others nothing.
+    """
     largest = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     level = stage(messages.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
-    jumps = []
+    jumps, settled = [], [level.filter("up IS NULL")]
     # More steps than a tree has messages are left on a cycle only.
     while 1 << len(jumps) < 2 * largest and not level.filter("up IS NOT NULL").isEmpty():
         jumps.append(level.filter("up IS NOT NULL").select("tree", "node", "up"))
-        above = again(level).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("add"))
-        joined = level.join(above, ["tree", "up"], "left")
-        level = stage(joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("add", F.lit(0.0))).alias("total")))
-    return jumps, level.filter("up IS NULL").select("tree", "node", "depth", "total")
+        known = _union([again(level).filter("up IS NOT NULL"), *settled])
+        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("add"))
+        joined = level.filter("up IS NOT NULL").join(above, ["tree", "up"])
+        level = stage(joined.select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("add")).alias("total")))
+        settled.append(level.filter("up IS NULL"))
+    return jumps, _union(settled).select("tree", "node", "depth", "total")
 
 
 def paths(messages: DataFrame, tree: str = "tree", branches: int | None = 1) -> tuple[DataFrame, DataFrame]:
@@ -132,13 +144,16 @@ def paths(messages: DataFrame, tree: str = "tree", branches: int | None = 1) ->
     ranked = leaves.withColumn("branch", F.row_number().over(best))
     if branches is not None:
         ranked = ranked.filter(F.col("branch") <= branches)
-    rows = ranked.select("tree", F.col("node").alias("leaf"), "branch", "branch_score", "depth", "node", F.lit(0).cast("long").alias("back"))
+    chosen = stage(ranked.select("tree", F.col("node").alias("leaf"), "branch", "branch_score", "depth", "node", F.lit(0).cast("long").alias("back")))
+    rows = None
     for k in reversed(range(len(jumps))):
-        far = rows.join(jumps[k], ["tree", "node"], "left")
+        # A path comes in at its longest jump; from there on every jump halves the gaps between its rows.
+        entering = again(chosen).filter((F.col("depth") > 1 << k) & (F.col("depth") <= 2 << k))
+        rows = (entering if rows is None else rows.unionByName(entering)).join(jumps[k], ["tree", "node"], "left")
         steps = F.array(F.struct("node", "back"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))))
-        far = far.select("tree", "leaf", "branch", "branch_score", "depth", F.explode(F.array_compact(steps)).alias("s"))
-        rows = far.select("tree", "leaf", "branch", "branch_score", "depth", "s.*")
-    return rows, again(kept)
+        rows = rows.select("tree", "leaf", "branch", "branch_score", "depth", F.explode(F.array_compact(steps)).alias("s")).select("tree", "leaf", "branch", "branch_score", "depth", "s.*")
+    single = again(chosen).filter("depth = 1")
+    return (single if rows is None else rows.unionByName(single)), again(kept)
 
 
 def conversations(messages: DataFrame, tree: str = "tree", branches: int | None = 1, loss_roles: Sequence[str] = LOSS_ROLES) -> DataFrame:
