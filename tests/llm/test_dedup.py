@@ -214,3 +214,21 @@ def test_near_copies_of_the_pipeline_reach_the_similarity(spark):
     docs = frame(spark, [(1, " ".join(words), *[None] * 7), (2, near, *[None] * 7)])
     assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()] == [1]
     assert (brute_print(" ".join(words)) ^ brute_print(near)).bit_count() > 4
+
+
+def test_texts_of_one_passage_are_no_candidates(spark, monkeypatch):
+    """Texts with a long passage in common and more than a ninth of their own cost no pairs, however many they are."""
+    from barloom.llm.stage import stage
+
+    monkeypatch.setattr(similar, "HOT_TEXTS", 64)
+    met = []
+    inner = similar.candidate_pairs
+    monkeypatch.setattr(similar, "candidate_pairs", lambda placed, s: met.append(stage(inner(placed, s))) or met[-1])
+    passage = " ".join(f"shared{i}" for i in range(150))
+    for n, pure in ((300, 0), (600, 0), (600, 6)):
+        data = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(22)), *[None] * 7) for i in range(n)]
+        # The passage alone is as much as 0.86 of each of them, and links them all.
+        data += [(n + i, passage + f" tail{i % 3}", *[None] * 7) for i in range(pure)]
+        kept = {r.doc_id for r in similar.keep_one(frame(spark, data)).collect()}
+        assert kept == ({0} if pure else {*range(n)})
+        assert met[-1].count() <= 20
