@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,19 @@ MAX_DOCUMENTS = 2048
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_PIECES = 1 << 16
 CACHE_ENTRIES = 1 << 19  # in each of two generations
+TURN_CHARS = 1 << 23
 POINTS = ".,;:!?"
 END_ID = 0
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit numbers, with the end id appended.
+    """Token ids of texts as little-endian unsigned 32-bit numbers, with the end id appended.
 
     The tokenizer never joins anything across a space, so the parts between spaces are encoded on their own and
     remembered. It lowers letters, so ASCII texts are lowered as a whole first, unless they may hold a special token. A new
     ASCII part of letters with points behind is a word and a run of points to the tokenizer; only the word goes to its
-    model. When the cache is full, entries used since then move to a new one.
+    model. A batch of texts is split and its parts are numbered by Arrow; ids are then gathered by number, with no step of
+    Python per word. When the cache is full, entries used since then move to a new one.
     """
 
     def __init__(self, path: str):
@@ -74,17 +78,26 @@ class Encoder:
         self.known[part] = ids
         return ids
 
-    def ids(self, text: str | None) -> bytes:
-        get, find, text = self.known.get, self._found, text or ""
-        out = []
-        for part in (text.lower() if text.isascii() and "<|" not in text else text).split(" "):
-            ids = get(part)
-            if ids is None:
-                ids = find(part)
-                get = self.known.get
-            out.append(ids)
-        out.append(END_ID.to_bytes(4, "little"))
-        return b"".join(out)
+    def _known(self, part: str) -> bytes:
+        ids = self.known.get(part)
+        return self._found(part) if ids is None else ids
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text ends. Every distinct part is looked up once."""
+        lowered = [t.lower() if t.isascii() and "<|" not in t else t for t in (t or "" for t in texts)]
+        parts = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        found = [self._known(p) for p in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = np.r_[size, 1]  # the end id is one more part
+        table = np.r_[np.frombuffer(b"".join(found), "<u4"), np.uint32(END_ID)]
+        last = parts.offsets.to_numpy()[1:]
+        codes = np.insert(coded.indices.to_numpy(), last, len(found))
+        count = size[codes]
+        after = np.cumsum(count)
+        shift = (np.cumsum(size) - size)[codes] - (after - count)
+        ids = table[np.repeat(shift, count) + np.arange(after[-1] if len(after) else 0)]
+        return ids.astype("<u4", copy=False), after[last + np.arange(len(last))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -100,21 +113,33 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32 [, ids]); ``row`` names the row of ``docs`` a piece comes from."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).ids
-        for pdf in batches:
-            out = []
-            for doc_id, body in zip(pdf["doc_id"], pdf["text"]):
-                ids, row = encode(body), uuid.uuid4().hex
-                for nth, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    piece = ids[at : at + 4 * max_tokens]
-                    out.append((row, None if pd.isna(doc_id) else int(doc_id), nth, at // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
-            frame = pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, at, named = batch.column(1), 0, uuid.uuid4().hex
+            # Batches of long texts are taken in turns, so that the ids of few of them are in memory together.
+            size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            turn = np.cumsum(size) // TURN_CHARS
+            for stop in [*(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows] if batch.num_rows else []:
+                ids, ends = encoder(tokenizer_path).batch(column.slice(at, stop - at).to_pylist())
+                length = np.diff(ends, prepend=0)
+                pieces = -(-length // max_tokens)
+                doc = np.repeat(np.arange(stop - at), pieces)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = nth * max_tokens
+                kept = np.minimum(length[doc] - start, max_tokens)
+                first = (ends - length)[doc] + start
+                raw = memoryview(ids.tobytes())
+                cut = [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + kept).tolist())]
+                columns = [
+                    pa.array([f"{named}-{at + i}" for i in doc.tolist()], pa.string()), batch.column(0).slice(at, stop - at).take(pa.array(doc)),
+                    pa.array(nth.astype(np.int32)), pa.array(start), pa.array(kept), pa.array([zlib.crc32(c) for c in cut], pa.int64()),
+                    *([pa.array([bytes(c) for c in cut], pa.binary())] if with_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                at = stop
 
     schema = "row string, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def pack_lengths(
