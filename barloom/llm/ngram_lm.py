@@ -59,7 +59,7 @@ def chunks(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
             for key, out, body in zip(pdf["doc_id"], pdf["held"], pdf["text"]):
                 found = tokens(body)
                 numbers.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
-                doc_id.append(None if pd.isna(key) else int(key))
+                doc_id.append(key)
                 held.append(bool(out))
                 size.append(len(found))
                 n += len(found)
@@ -69,8 +69,9 @@ def chunks(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
         if size:
             yield pack(doc_id, held, size, numbers, words)
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "chunk string, doc_id array<long>, held_out array<boolean>, size binary, tokens binary, words binary")
+    # Ids as text: a null among them would turn a column of longs into doubles.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), held_out.alias("held"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "chunk string, doc_id array<string>, held_out array<boolean>, size binary, tokens binary, words binary")
 
 
 class Reading:
@@ -181,7 +182,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", prior: float =
         root = np.log10(p1)
         sequences = [s.tolist() for s in np.split(r.tokens, r.starts[1:])]
         return pd.DataFrame({
-            "doc_id": pd.array(row.doc_id, dtype="Int64"), "held_out": list(row.held_out), "n_tokens": r.size.astype(np.int64),
+            "doc_id": pd.array([None if x is None else int(x) for x in row.doc_id], dtype="Int64"), "held_out": list(row.held_out), "n_tokens": r.size.astype(np.int64),
             "n_known": np.add.reduceat((n1 > 0)[r.tokens].astype(np.int64), r.starts), "train_tokens": n_train,
             "base_score": np.add.reduceat(root[r.tokens], r.starts),
             "score": traverse(sequences, len(r.words), arcs, np.log10(prior / (n1 + prior)).tolist(), root.tolist(), r.end),

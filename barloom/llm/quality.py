@@ -26,6 +26,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,21 +137,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text"
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "good": pdf["good"], "x": [features(t) for t in pdf["text"]]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    table = rows.mapInPandas(run, "doc_id long, good boolean, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    # A labelled id counts once, whatever its repeats, so no more than ``max_labelled`` rows come to the driver.
+    table = rows.groupBy("doc_id").agg(F.first("good").alias("good"), F.min("text").alias("text")).mapInPandas(run, "doc_id long, good boolean, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(table["x"].tolist(), float).reshape(len(table), COUNTED + 64)
     return fit(x[:max_labelled], table["good"].to_numpy(bool)[:max_labelled])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``, of the texts alone; no other column is read."""
-    columns = docs.columns
+    """``docs`` with ``quality_score`` (in place of a column of that name), of the texts alone.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [features(t) for t in pdf[text]]
-            pdf["quality_score"] = model.score(np.array(found, float).reshape(len(pdf), COUNTED + 64))
-            yield pdf[[*columns, "quality_score"]]
+    The other columns travel as one struct that Arrow passes through, so that no value changes on the way.
+    """
+    kept = [c for c in docs.columns if c != "quality_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column(1).to_pylist()]
+            scores = model.score(np.array(found, float).reshape(batch.num_rows, COUNTED + 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "quality_score"])
 
     from pyspark.sql import types as T
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    row = F.struct(*kept)
+    fields = T.StructType([docs.schema[c] for c in kept])
+    schema = T.StructType([T.StructField("row", fields), T.StructField("quality_score", T.DoubleType())])
+    return docs.select(row.alias("row"), F.col(text).alias("text")).mapInArrow(run, schema).select("row.*", "quality_score")
