@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from barloom import rules, schemas
 from barloom.functions.scalars import NS_PER_MINUTE, floor_div, long
@@ -55,63 +54,115 @@ def live_minute_bars(trades: DataFrame, lateness: str = "2 minutes", by: Sequenc
 LATE = "late"
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _tuples(rows: pd.DataFrame, schema: T.StructType) -> list[tuple]:
+    """Rows as tuples of plain values; pandas holds nulls of a long column as NaN."""
+    columns = []
+    for field in schema.fields:
+        values = rows[field.name].astype(object).where(rows[field.name].notna(), None).tolist()
+        columns.append([None if v is None else int(v) for v in values] if isinstance(field.dataType, T.LongType) else values)
+    return list(zip(*columns))
+
+
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait one by one in a list state until the watermark has passed them; what ``work`` keeps is another
+    list, the place reached and the first waiting time are values. A batch appends its rows and reads the waiting ones only
+    when some are due."""
+
+    def __init__(self, keys: Sequence[str], order: str, work: Work, names: list[str], waiting: T.StructType, kept: T.StructType, over: str | None, own: str | None):
+        self.keys, self.order, self.work, self.names, self.waiting_schema, self.kept_schema, self.over, self.own = keys, order, work, names, waiting, kept, over, own
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.kept = handle.getListState("kept", self.kept_schema)
+        self.place = handle.getValueState("place", "done long, next_ms long, over_ms long")
+
+    def _frame(self, state, schema: T.StructType) -> pd.DataFrame:
+        return pd.DataFrame(list(state.get()), columns=schema.names)
+
+    def _wake(self, at: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def _advance(self, key, fresh: pd.DataFrame | None, mark: int) -> Iterator[pd.DataFrame]:
+        done, next_ms, over_ms = self.place.get() if self.place.exists() else (None, None, None)
+        if fresh is not None and self.over:
+            over_ms = max(over_ms or 0, int(fresh[self.over].max()))
+        if fresh is not None and done is not None:
+            missed = fresh[fresh[self.order] <= done]
+            fresh = fresh[fresh[self.order] > done]
+            missed = missed[missed[self.own]] if self.own else missed  # a copy is told where it is at home
+            if len(missed):
+                shown = {**dict(zip(self.keys, key)), self.order: missed[self.order].to_numpy()}
+                yield pd.DataFrame({n: shown.get(n) for n in self.names}, index=missed.index).assign(**{LATE: True})[[*self.names, LATE]]
+        if fresh is not None and len(fresh):
+            first = int(fresh["clock_ms"].min())
+            if next_ms is None and first <= mark and int(fresh["clock_ms"].max()) <= mark:
+                queue = fresh[self.waiting_schema.names]  # nothing waits and all are due: the state is not touched
+            else:
+                self.waiting.appendList(_tuples(fresh, self.waiting_schema))
+                queue, next_ms = None, first if next_ms is None else min(first, next_ms)
+        else:
+            queue = None
+        if queue is None and next_ms is not None and next_ms <= mark:
+            queue = self._frame(self.waiting, self.waiting_schema)
+            ahead = queue[queue["clock_ms"] > mark]
+            self.waiting.clear()
+            if len(ahead):
+                self.waiting.appendList(_tuples(ahead, self.waiting_schema))
+            next_ms = int(ahead["clock_ms"].min()) if len(ahead) else None
+            queue = queue[queue["clock_ms"] <= mark]
+        if queue is not None and len(queue):
+            due = queue.drop(columns="clock_ms").sort_values(self.order, kind="stable", ignore_index=True)
+            carry = self._frame(self.kept, self.kept_schema) if self.kept.exists() else None
+            out, kept = self.work(key, carry, due)
+            self.kept.put(_tuples(kept, self.kept_schema))
+            done = int(due[self.order].iloc[-1])
+            yield out.assign(**{LATE: False})[[*self.names, LATE]]
+        if over_ms is not None and next_ms is None and mark >= over_ms:
+            # All later rows of this key would be behind the watermark, which Spark leaves out.
+            for state in (self.waiting, self.kept, self.place):
+                state.clear()
+            return self._wake(None)
+        self.place.update((done, next_ms, over_ms))
+        self._wake(next_ms if next_ms is not None else over_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, pd.concat(list(rows), ignore_index=True), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, None, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
 
 
 def in_event_order(
-    rows: DataFrame, keys: Sequence[str], order: str, time: Column, lateness: str, work: Work, schema: str,
+    rows: DataFrame, keys: Sequence[str], order: str, time: Column, lateness: str, work: Work, schema: str, kept: str,
+    over: str | None = None, own: str | None = None,
 ) -> DataFrame:
     """Feed the rows of each key to ``work`` in the order of a long column, however they arrive.
 
     Rows wait in the state until the watermark, the newest ``time`` seen less ``lateness``, has passed them; a key whose
     rows stop is woken by a timer. ``work(key, carry, fresh)`` gets what it kept (None at first) and the rows that became
-    due, and returns output rows and what to keep. ``order`` follows ``time`` up to the lateness. Spark leaves out rows
-    behind the watermark and counts them (``late_rows``); a row ahead of it whose place in the order was passed comes out
-    once with ``late`` true, its keys and its order column.
+    due, and returns output rows and what to keep, rows of the columns ``kept``. ``order`` follows ``time`` up to the
+    lateness. Spark leaves out rows behind the watermark and counts them (``late_rows``); a row ahead of it whose place in
+    the order was passed comes out once with ``late`` true, its keys and its order column. ``over`` names a column of
+    milliseconds after which a key has no more rows, so that its state can go; ``own`` one that is false for copies.
+
+    Columns must not begin with an underscore, as Spark renames those in the state. The query needs the state store ``ROCKS``, as ``drain`` sets it.
     """
     names = [f.split()[0] for f in schema.split(", ")]
-    columns = [*rows.columns, "__ms"]
-
-    def step(key, chunks, state: GroupState):
-        mark = state.getCurrentWatermarkMs()
-        done, carry, waiting, late_rows = state.get if state.exists else (None, None, None, 0)
-        parts = [] if state.hasTimedOut else [x[columns] for x in chunks if len(x)]
-        missed = [x[x[order] <= done] for x in parts] if done is not None else []
-        parts = [x[x[order] > done] for x in parts] if done is not None else parts
-        parts = [x for x in parts if len(x)] + ([_unpack(waiting)] if waiting else [])
-        queue = pd.concat(parts).sort_values(order, kind="stable", ignore_index=True) if parts else None
-        due = 0
-        if queue is not None:
-            ahead = np.flatnonzero(queue["__ms"].to_numpy() > mark)
-            due = int(ahead[0]) if len(ahead) else len(queue)
-        if due:
-            fresh = queue.iloc[:due].drop(columns="__ms")
-            out, kept = work(key, _unpack(carry) if carry else None, fresh)
-            done, carry, queue = int(fresh[order].iloc[-1]), _pack(kept), queue.iloc[due:]
-            yield out.assign(**{LATE: False})[[*names, LATE]]
-        waiting = _pack(queue) if queue is not None and len(queue) else None
-        state.update((done, carry, waiting, late_rows + sum(map(len, missed))))
-        if waiting:
-            state.setTimeoutTimestamp(int(queue["__ms"].iloc[0]))
-        for x in missed:
-            if len(x):
-                shown = {**dict(zip(keys, key)), order: x[order].to_numpy()}
-                yield pd.DataFrame({n: shown.get(n) for n in names}, index=x.index).assign(**{LATE: True})
-
-    clocked = rows.withColumn("__time", time).withWatermark("__time", lateness).withColumn("__ms", F.unix_millis("__time"))
-    return clocked.groupBy(*keys).applyInPandasWithState(
-        step, f"{schema}, {LATE} boolean", "done long, carry binary, waiting binary, late_rows long", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    clocked = rows.withColumn("clock_time", time).withWatermark("clock_time", lateness).withColumn("clock_ms", F.unix_millis("clock_time"))
+    waiting = T.StructType([f for f in clocked.schema.fields if f.name not in (*keys, "clock_time", over)])
+    processor = _InOrder(list(keys), order, work, names, waiting, T.StructType([clocked.schema[c] for c in kept.split(", ")]), over, own)
+    return clocked.groupBy(*keys).transformWithStateInPandas(processor, f"{schema}, {LATE} boolean", "append", "EventTime")
 
 
 def on_time(rows: DataFrame) -> DataFrame:
@@ -129,7 +180,7 @@ def live_tick_deltas(ticks: DataFrame, time: Column, lateness: str = "2 minutes"
 
     def work(key, carry: pd.DataFrame | None, fresh: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         kept = fresh.iloc[-1:][["Volume", "Turnover"]]
-        out = fresh.copy()
+        out = fresh.assign(symbol=key[0], TradingDay=key[1])
         for column, target in (("Volume", "size"), ("Turnover", "turnover_delta")):
             before = fresh[column].shift(1)
             if carry is not None:
@@ -139,9 +190,9 @@ def live_tick_deltas(ticks: DataFrame, time: Column, lateness: str = "2 minutes"
         return out[out["LastPrice"].notna() & (out["size"] > 0)].rename(columns={"LastPrice": "price"}), kept
 
     return in_event_order(
-        ticks.select("symbol", "TradingDay", "row_no", "LastPrice", "Volume", "Turnover", time.alias("tick_time")),
-        ("symbol", "TradingDay"), "row_no", F.col("tick_time"), lateness, work,
-        "symbol string, TradingDay long, row_no long, price double, size double, turnover_delta double",
+        ticks.select("symbol", "TradingDay", "row_no", "LastPrice", "Volume", "Turnover", time.alias("clock_time")),
+        ("symbol", "TradingDay"), "row_no", F.col("clock_time"), lateness, work,
+        "symbol string, TradingDay long, row_no long, price double, size double, turnover_delta double", "Volume, Turnover",
     )
 
 
@@ -156,14 +207,21 @@ def _pivot_id(kind: str, bar: int, tier: rules.PivotTier, scope: str | None) ->
 
 def live_pivot_events(
     bars: DataFrame, tier: rules.PivotTier = rules.PIVOT, series: Sequence[str] = schemas.SERIES, scope: str | None = None,
-    lateness: str = "2 minutes",
+    lateness: str = "2 minutes", stretch: int = 40 * 1440, reach: int = 10 * 1440,
 ) -> DataFrame:
     """T05/T06/T08 on a stream of bars. State: the last ``left + right`` bars and those that wait for their turn.
 
     An event belongs to the bar that causes it. With the kept bars in front, all anchors that a new bar can touch are in
     view, so the new events are found by shifting columns. The events equal the batch events, but for the payload: the
     session flag of a created event would need the bars to its right.
+
+    The state is keyed by series and a stretch of ``stretch`` minutes of ``bar_id``, so a backfill of one symbol runs in as
+    many groups as it has stretches. The bars of the last ``reach`` minutes of a stretch also go to the next, which looks back
+    to them and tells no events of theirs. ``left + right`` bars around the end of a stretch must lie within ``reach`` minutes:
+    a longer pause of trading there counts as the start of the series.
     """
+    if not 0 < reach <= stretch:
+        raise ValueError("The reach must be positive and not longer than a stretch.")
     series = list(series)
     names = [*series, "event_id", "structure_id", "kind", "event_type", "event_bar_id", "event_order", "state_after_event",
              "start_bar_id", "confirm_bar_id", "successor_structure_id", "session_id", "session_date", "bar_id"]
@@ -184,7 +242,7 @@ def live_pivot_events(
             pd.DataFrame({"at": at, "by": at, "event_type": "created"}),
             pd.DataFrame({"at": at[closed], "by": stop[closed], "event_type": name[closed]}),
         ], ignore_index=True)
-        found = found[found["by"] >= new]
+        found = found[(found["by"] >= new) & view["own"].to_numpy(bool)[np.minimum(found["by"].to_numpy(int), n - 1)]]
         bar = view["bar_id"].to_numpy()
         start, cause = bar[found["at"].to_numpy(int)], bar[found["by"].to_numpy(int)]
         return found.assign(
@@ -211,9 +269,15 @@ def live_pivot_events(
         )
         return out, kept
 
+    home = F.col("bar_id") - F.pmod(F.col("bar_id"), long(stretch))
+    copied = F.pmod(F.col("bar_id"), long(stretch)) >= stretch - reach
+    places = F.array_compact(F.array(F.struct(home.alias("at"), F.lit(True).alias("own")), F.when(copied, F.struct((home + long(stretch)).alias("at"), F.lit(False).alias("own")))))
+    spread = bars.select(*series, "bar_id", "session_id", "session_date", "high", "low", F.explode(places).alias("p")).select(
+        *series, F.col("p.at").alias("stretch_at"), "bar_id", "session_id", "session_date", "high", "low", F.col("p.own").alias("own"),
+        ((F.col("p.at") + long(stretch)) * 60_000).alias("stretch_over"))
     return in_event_order(
-        bars.select(*series, "bar_id", "session_id", "session_date", "high", "low"), series, "bar_id",
-        F.timestamp_seconds(F.col("bar_id") * 60), lateness, work, ", ".join(f"{n} {'long' if n in longs else 'string'}" for n in names),
+        spread, [*series, "stretch_at"], "bar_id", F.timestamp_seconds(F.col("bar_id") * 60), lateness, work,
+        ", ".join(f"{n} {'long' if n in longs else 'string'}" for n in names), "bar_id, session_id, session_date, high, low, own", "stretch_over", "own",
     )
 
 
@@ -264,10 +328,15 @@ def drain(stream: DataFrame, table: str, mode: str, checkpoint: str, allow_late:
             f"{folder}/out/batch={batch_id}"
         )
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(save)
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
+    provider = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKS)  # a query keeps the setting that it was started with
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).foreachBatch(save)
+            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, provider)
     query.awaitTermination()
     late = late_rows(query)
     if late and not allow_late:

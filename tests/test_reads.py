@@ -146,12 +146,12 @@ def pivot_rows(df):
     return {(r.event_id, r.event_order, r.successor_structure_id, r.session_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("stray", [1, 60])
-def test_live_pivots_equal_batch(spark, tmp_path, stray):
+@pytest.mark.parametrize(("stray", "stretch", "reach"), [(1, 57_600, 14_400), (60, 57_600, 14_400), (60, 40, 40), (1, 64, 16)])
+def test_live_pivots_equal_batch(spark, tmp_path, stray, stretch, reach):
     bars = bars_frame(spark, random_bars(120, 31)).unionByName(bars_frame(spark, random_bars(90, 32, "Y")))
     end = bars_frame(spark, [{"bar_id": 10_000_000}], "~")
     stream = feed(spark, bars, tmp_path, "bar_id", stray, end)
-    got = live.drain(live.live_pivot_events(stream, rules.PIVOT, lateness="100 minutes"), "p", "append", str(tmp_path))
+    got = live.drain(live.live_pivot_events(stream, rules.PIVOT, lateness="100 minutes", stretch=stretch, reach=reach), "p", "append", str(tmp_path))
     assert got.where("late").count() == 0
     assert pivot_rows(live.on_time(got)) == pivot_rows(pivots.pivot_events(pivots.pivot_anchors(bars, [rules.PIVOT])))
 
