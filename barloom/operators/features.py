@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom import rules, schemas
-from barloom.functions.ordered import CHUNK_ROWS, chunk_of, drop_halo, spread_halo
+from barloom.functions.ordered import CHUNK_ROWS, drop_halo, running, spread_halo
 from barloom.functions.scalars import floor_div, long
 from barloom.operators.bars import index_bars
 
+SCAN_ROWS = 128
 FEATURE_BASE = ("bar_id", "prev_bar_id", "session_id", "session_date", "edge_valid")
 
 
@@ -91,70 +90,72 @@ def misaligned_features(
     return both.select(*on, problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
+def _composed(maps: Column) -> Column:
+    """The affine map (a, b), x to a * x + b, that applies ``maps`` in their order."""
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(maps, one, lambda done, m: F.struct((m["a"] * done["a"]).alias("a"), (m["a"] * done["b"] + m["b"]).alias("b")))
+
+
+def _carries(maps: DataFrame, series: list[str], names: Sequence[str], rows: int, levels: int) -> DataFrame:
+    """What comes into each block (series, block, carry_<name>) of blocks with an affine map per name.
+
+    Blocks are composed in groups of ``rows``, the groups are blocks of the next level, and the last level is ordered per
+    series: a row per ``rows ** (levels + 1)`` bars.
+    """
+    group = [*series, "group"] if levels else series
+    placed = maps.withColumn("group", floor_div(F.col("block"), rows)) if levels else maps
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    led = placed.select(*group, "block", *[_composed(F.collect_list(n).over(before)).alias(n) for n in names])
+    if not levels:
+        return led.select(*series, "block", *[F.col(n)["b"].alias(f"carry_{n}") for n in names])
+    whole = placed.groupBy(*group).agg(*[F.sort_array(F.collect_list(F.struct("block", F.col(n).alias("m")))).alias(n) for n in names])
+    whole = whole.select(*series, F.col("group").alias("block"), *[_composed(F.col(n)["m"]).alias(n) for n in names])
+    above = _carries(whole, series, names, rows, levels - 1).withColumnRenamed("block", "group")
+    into = [(F.col(n)["a"] * F.col(f"carry_{n}") + F.col(n)["b"]).alias(f"carry_{n}") for n in names]
+    return led.join(above, group).select(*series, "block", *into)
+
+
 def ema(
     bars: DataFrame,
     lengths: Sequence[int],
     series: Sequence[str] = schemas.SERIES,
     column: str = "close",
-    rows: int = CHUNK_ROWS,
+    rows: int = SCAN_ROWS,
+    levels: int = 2,
 ) -> DataFrame:
     """exponential moving averages, alpha = 2 / (length + 1), seeded with the first value.
 
-    The recurrence is linear, so each block of ``rows`` bars is smoothed on its own from its first
-    value, one summary row per block is folded in order, and each bar is corrected by
-    ``(1 - alpha)^(i + 1) * (carry - first)``. No task sees more than a block.
+    The recurrence x to keep * x + alpha * value is an affine map, and maps compose: a block of ``rows`` bars is one map,
+    found with a running sum of values over powers of ``keep`` (short blocks keep these in range), and a scan over the maps
+    gives what comes into each block. No task sees more than a block, and no Python runs.
     """
     lengths = list(dict.fromkeys(int(n) for n in lengths))
     if not lengths or any(n <= 0 for n in lengths):
         raise ValueError("EMA lengths must be positive.")
+    if not 1 <= rows <= SCAN_ROWS:
+        raise ValueError(f"Blocks have 1 to {SCAN_ROWS} bars.")
     series = list(series)
-    names = [f"ema_{n}" for n in lengths]
+    names = {f"ema_{n}": 1.0 - 2.0 / (n + 1.0) for n in lengths}
+    scanned = {name: keep for name, keep in names.items() if keep > 0.0}  # the average over one bar is the bar
+    value = F.when(F.isnan(column) | F.col(column).isNull(), F.raise_error(F.lit("EMA input holds NaN.")).cast("double")).otherwise(F.col(column))
     keyed = index_bars(bars, series).select(
-        *series, "bar_index", "bar_id",
-        F.when(F.isnan(column) | F.col(column).isNull(), F.raise_error(F.lit("EMA input holds NaN.")).cast("double"))
-        .otherwise(F.col(column)).alias("value"),
-        chunk_of(F.col("bar_index"), rows).alias("block"),
-    )
-    key_fields = [keyed.schema[c] for c in series]
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_index")
-        for n, name in zip(lengths, names):
-            pdf[name] = pdf["value"].ewm(alpha=2.0 / (n + 1.0), adjust=False).mean()
-        return pdf
-
-    block_schema = T.StructType(
-        [*keyed.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]]
-    )
-    local = keyed.groupBy(*series, "block").applyInPandas(smooth, block_schema)
-
-    ends = local.groupBy(*series, "block").agg(
-        F.min_by("value", "bar_index").alias("first"), F.count(F.lit(1)).alias("n"),
-        *[F.max_by(name, "bar_index").alias(name) for name in names],
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        for n, name in zip(lengths, names):
-            keep, last, carries = 1.0 - 2.0 / (n + 1.0), None, []
-            for first, size, end in zip(pdf["first"], pdf["n"], pdf[name]):
-                carry = first if last is None else last
-                carries.append(carry)
-                last = end + keep ** size * (carry - first)
-            pdf[name] = carries
-        return pdf
-
-    carry_schema = T.StructType(
-        [*key_fields, T.StructField("block", T.LongType()), T.StructField("first", T.DoubleType()),
-         T.StructField("n", T.LongType()), *[T.StructField(name, T.DoubleType()) for name in names]]
+        *series, "bar_index", "bar_id", value.alias("value"), floor_div(F.col("bar_index"), rows).alias("block"),
+        F.pmod(F.col("bar_index"), long(rows)).alias("step"),
     )
-    carries = ends.groupBy(*series).applyInPandas(fold, carry_schema)
-    carries = carries.select(*series, "block", "first", *[F.col(m).alias(f"carry_{m}") for m in names])
-    steps = F.col("bar_index") - F.col("block") + 1
-    fixed = [
-        (F.col(m) + F.pow(F.lit(1.0 - 2.0 / (n + 1.0)), steps) * (F.col(f"carry_{m}") - F.col("first"))).alias(m)
-        for n, m in zip(lengths, names)
-    ]
+    so_far = Window.partitionBy(*series, "block").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def within(keep: float) -> Column:
+        weight = F.when(F.col("bar_index") == 0, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
+        return F.pow(F.lit(keep), F.col("step")) * F.sum(weight * F.col("value") * F.pow(F.lit(1.0 / keep), F.col("step"))).over(so_far)
+
+    local = keyed.select(*series, "bar_index", "bar_id", "block", "step", "value", *[within(keep).alias(n) for n, keep in scanned.items()])
+    single = [F.col("value").alias(n) for n in names if n not in scanned]
+    if not scanned:
+        return local.select(*series, "bar_index", "bar_id", *single)
+    maps = local.groupBy(*series, "block").agg(*[
+        F.struct(F.pow(F.lit(keep), F.count(F.lit(1))).alias("a"), F.max_by(n, "bar_index").alias("b")).alias(n) for n, keep in scanned.items()])
+    fixed = [F.col("value").alias(n) if n not in scanned else (F.col(n) + F.pow(F.lit(keep), F.col("step") + 1) * F.col(f"carry_{n}")).alias(n) for n, keep in names.items()]
+    carries = _carries(maps, series, list(scanned), rows, levels)
     return local.join(carries, [*series, "block"]).select(*series, "bar_index", "bar_id", *fixed)
 
 
@@ -163,41 +164,32 @@ def leg_strength(
     features: DataFrame,
     series: Sequence[str] = schemas.SERIES,
     threshold: float = rules.LEG_STRENGTH_THRESHOLD,
-    bin_rows: int = 128,
 ) -> DataFrame:
     """gap balance of a leg minus its mean overlap, over the valid edges after its start.
 
-    Legs are looked up by bar position, cut into bins of ``bin_rows`` bars, and joined to the edges
-    on (series, bin): work is proportional to leg length, whatever the series size.
+    Running totals over the valid edges stand at every bar; a leg is the total at its end less that at its start. Each leg
+    asks for two bars, whatever its length.
     """
     series = list(series)
-    at = features.select(*series, "bar_id", "bar_index")
+    valid = lambda c: F.when(F.col("edge_valid"), c).otherwise(F.lit(0.0))
+    part = lambda sign: F.greatest(sign * F.col("hl_gap"), F.lit(0.0)) + F.greatest(sign * F.col("body_gap"), F.lit(0.0))
+    totals = running(
+        features.select(*series, "bar_index", "bar_id", "edge_valid", "hl_gap", "body_gap", "hl_overlap", "body_overlap"), series, ["bar_index"],
+        {
+            "edges": ("sum", F.when(F.col("edge_valid"), long(1)).otherwise(long(0))),
+            "rise": ("sum", valid(part(F.lit(1.0)))), "fall": ("sum", valid(part(F.lit(-1.0)))),
+            "overlap": ("sum", valid(F.col("hl_overlap") + F.col("body_overlap"))),
+        },
+    ).select(*series, "bar_id", "edges", "rise", "fall", "overlap")
+    ends = F.array(F.struct(F.col("start_bar_id").alias("bar_id"), F.lit(-1).alias("sign")), F.struct(F.col("end_bar_id").alias("bar_id"), F.lit(1).alias("sign")))
+    asks = legs.select(*series, "structure_id", "kind", "start_bar_id", "end_bar_id", F.explode(ends).alias("e")).select(
+        *series, "structure_id", "kind", "start_bar_id", "end_bar_id", "e.*")
     missing = F.raise_error(F.concat(F.lit("A leg lacks a bar: "), F.col("structure_id"))).cast("long")
-    placed = (
-        legs.join(at.select(*series, F.col("bar_id").alias("start_bar_id"), F.col("bar_index").alias("from_index")),
-                  [*series, "start_bar_id"], "left")
-        .join(at.select(*series, F.col("bar_id").alias("end_bar_id"), F.col("bar_index").alias("to_index")),
-              [*series, "end_bar_id"], "left")
-        .select(*series, "structure_id", "kind", "start_bar_id", "end_bar_id",
-                F.coalesce("from_index", missing).alias("from_index"), F.coalesce("to_index", missing).alias("to_index"))
-    )
-    bins = F.sequence(floor_div(F.col("from_index"), bin_rows), floor_div(F.col("to_index"), bin_rows))
-    pieces = placed.withColumn("bin", F.explode(bins))
-    edges = features.where("edge_valid").select(
-        *series, floor_div(F.col("bar_index"), bin_rows).alias("bin"), F.col("bar_index").alias("edge_index"),
-        (F.greatest("hl_gap", F.lit(0.0)) + F.greatest("body_gap", F.lit(0.0))).alias("rise"),
-        (F.greatest(-F.col("hl_gap"), F.lit(0.0)) + F.greatest(-F.col("body_gap"), F.lit(0.0))).alias("fall"),
-        (F.col("hl_overlap") + F.col("body_overlap")).alias("overlap"),
-    )
-    inside = (F.col("edge_index") > F.col("from_index")) & (F.col("edge_index") <= F.col("to_index"))
-    hits = pieces.join(edges, [*series, "bin"], "left")
-    edge = lambda c: F.when(inside, F.col(c))
-    sums = hits.groupBy(*series, "structure_id", "kind", "start_bar_id", "end_bar_id").agg(
-        F.count(edge("edge_index")).alias("edge_count"),
-        F.coalesce(F.sum(edge("rise")), F.lit(0.0)).alias("rise"),
-        F.coalesce(F.sum(edge("fall")), F.lit(0.0)).alias("fall"),
-        F.coalesce(F.avg(edge("overlap")), F.lit(0.0)).alias("penalty"),
-    )
+    told = asks.join(totals, [*series, "bar_id"], "left").withColumn("edges", F.coalesce("edges", missing))
+    between = lambda c: F.sum(F.col("sign") * F.col(c))
+    sums = told.groupBy(*series, "structure_id", "kind", "start_bar_id", "end_bar_id").agg(
+        between("edges").alias("edge_count"), between("rise").alias("rise"), between("fall").alias("fall"), between("overlap").alias("overlap"))
+    sums = sums.withColumn("penalty", F.when(F.col("edge_count") > 0, F.col("overlap") / F.col("edge_count")))
     balance = F.when(F.col("kind") == "leg_up", F.col("rise") - F.col("fall")).otherwise(F.col("fall") - F.col("rise"))
     score = F.when(F.col("edge_count") == 0, F.lit(0.0)).otherwise(balance - F.col("penalty"))
     return sums.select(

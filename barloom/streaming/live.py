@@ -55,7 +55,10 @@ LATE = "late"
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a batch stores its changes, not the state
+}
 
 
 def _tuples(rows: pd.DataFrame, schema: T.StructType) -> list[tuple]:
@@ -156,7 +159,7 @@ def in_event_order(
     the order was passed comes out once with ``late`` true, its keys and its order column. ``over`` names a column of
     milliseconds after which a key has no more rows, so that its state can go; ``own`` one that is false for copies.
 
-    Columns must not begin with an underscore, as Spark renames those in the state. The query needs the state store ``ROCKS``, as ``drain`` sets it.
+    Columns must not begin with an underscore, as Spark renames those in the state. The query needs the state store of ``STATE_CONF``, as ``drain`` sets it.
     """
     names = [f.split()[0] for f in schema.split(", ")]
     clocked = rows.withColumn("clock_time", time).withWatermark("clock_time", lateness).withColumn("clock_ms", F.unix_millis("clock_time"))
@@ -328,15 +331,17 @@ def drain(stream: DataFrame, table: str, mode: str, checkpoint: str, allow_late:
             f"{folder}/out/batch={batch_id}"
         )
 
-    provider = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKS)  # a query keeps the setting that it was started with
+    before = {k: spark.conf.get(k) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():  # a query keeps the settings that it was started with
+        spark.conf.set(k, v)
     try:
         query = (
             stream.writeStream.outputMode(mode).foreachBatch(save)
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         )
     finally:
-        spark.conf.set(_PROVIDER, provider)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     query.awaitTermination()
     late = late_rows(query)
     if late and not allow_late:

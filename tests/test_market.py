@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,45 @@ def test_ema_blocks_equal_recursion(spark):
     with pytest.raises(ValueError):
         features.ema(bars, [0])
 
+def test_ema_scan_over_any_blocks(spark):
+    """Blocks of blocks of blocks give the recursion, for short and long averages, over several series."""
+    draw = random.Random(7)
+    data = {s: [draw.uniform(90, 110) for _ in range(n)] for s, n in (("A", 700), ("B", 1), ("C", 130))}
+    bars = bars_frame(spark, [{"bar_id": 1000 + 3 * i, "close": c} for i, c in enumerate(data["A"])], "A")
+    for s in "BC":
+        bars = bars.unionByName(bars_frame(spark, [{"bar_id": 1000 + 3 * i, "close": c} for i, c in enumerate(data[s])], s))
+    for rows, levels in ((2, 3), (5, 2), (128, 2), (128, 0)):
+        df = features.ema(bars, [1, 2, 9, 300], rows=rows, levels=levels)
+        assert "Pandas" not in df._jdf.queryExecution().toString() and "Python" not in df._jdf.queryExecution().toString()
+        got = {(r.symbol, r.bar_index): r for r in df.collect()}
+        for s, values in data.items():
+            y = dict.fromkeys((2, 9, 300), values[0])
+            for i, c in enumerate(values):
+                y = {n: y[n] + 2 / (n + 1) * (c - y[n]) for n in y}
+                r = got[s, i]
+                assert (r.ema_1, r.ema_2, r.ema_9, r.ema_300) == pytest.approx((c, y[2], y[9], y[300]), rel=1e-12)
+
+
+def test_leg_strength_against_edges_one_by_one(spark):
+    draw = random.Random(3)
+    n = 60
+    edges = [(i, 500 + 2 * i, draw.random() < 0.8, *[round(draw.uniform(-1, 1), 2) for _ in range(2)], *[round(draw.uniform(0, 1), 2) for _ in range(2)]) for i in range(n)]
+    edges = [e if e[2] else (*e[:3], None, None, None, None) for e in edges]
+    df = spark.createDataFrame([("S", "p", "1m", *e) for e in edges], "symbol string, session_profile string, timeframe string, bar_index long, bar_id long, edge_valid boolean, hl_gap double, body_gap double, hl_overlap double, body_overlap double")
+    legs = [(f"leg{k}", draw.choice(["leg_up", "leg_down"]), a, draw.randint(a, n - 1)) for k, a in enumerate(draw.randrange(n) for _ in range(25))]
+    asked = spark.createDataFrame([("S", "p", "1m", s, k, 500 + 2 * a, 500 + 2 * b) for s, k, a, b in legs], "symbol string, session_profile string, timeframe string, structure_id string, kind string, start_bar_id long, end_bar_id long")
+    out = features.leg_strength(asked, df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r.structure_id: r for r in out.collect()}
+    for s, kind, a, b in legs:
+        inside = [e for e in edges[a + 1 : b + 1] if e[2]]
+        rise = sum(max(e[3], 0) + max(e[4], 0) for e in inside)
+        fall = sum(max(-e[3], 0) + max(-e[4], 0) for e in inside)
+        want = ((rise - fall) * (1 if kind == "leg_up" else -1) - sum(e[5] + e[6] for e in inside) / len(inside)) if inside else 0.0
+        assert got[s].edge_count == len(inside) and got[s].score == pytest.approx(want, abs=1e-9)
+    with pytest.raises(Exception, match="lacks a bar"):
+        features.leg_strength(asked.withColumn("end_bar_id", asked.end_bar_id + 1), df).collect()
 
 def test_dataset_round_trip(spark, tmp_path):
     bars = bars_frame(spark, random_bars(40, 1, "A") + random_bars(40, 2, "B"))
