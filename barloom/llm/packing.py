@@ -33,7 +33,7 @@ MAX_DOCUMENTS = 2048
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_PIECES = 1 << 16
 CACHE_ENTRIES = 1 << 19  # in each of two generations
-TURN_CHARS = 1 << 23
+TURN_CHARS = 1 << 22
 POINTS = ".,;:!?"
 END_ID = 0
 
@@ -87,7 +87,8 @@ class Encoder:
         lowered = [t.lower() if t.isascii() and "<|" not in t else t for t in (t or "" for t in texts)]
         parts = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
         coded = parts.flatten().dictionary_encode()
-        found = [self._known(p) for p in coded.dictionary.to_pylist()]
+        get = self.known.get
+        found = [get(p) or self._known(p) for p in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         size = np.r_[size, 1]  # the end id is one more part
         table = np.r_[np.frombuffer(b"".join(found), "<u4"), np.uint32(END_ID)]
