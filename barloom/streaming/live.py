@@ -331,7 +331,7 @@ def drain(stream: DataFrame, table: str, mode: str, checkpoint: str, allow_late:
             f"{folder}/out/batch={batch_id}"
         )
 
-    before = {k: spark.conf.get(k) for k in STATE_CONF}
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():  # a query keeps the settings that it was started with
         spark.conf.set(k, v)
     try:
@@ -341,7 +341,7 @@ def drain(stream: DataFrame, table: str, mode: str, checkpoint: str, allow_late:
         )
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     late = late_rows(query)
     if late and not allow_late:
