@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,30 +23,51 @@ _META = (
 )
 
 
+@dataclass(frozen=True)
+class Drawing:
+    """How a kind of the caller's own is drawn: a marker at its start, or with ``last_price`` a line from start to end."""
+
+    overlay_kind: str
+    label: str
+    layer: str
+    first_price: str = "high"
+    last_price: str | None = None
+    z_order: int = 2
+
+
+Drawings = Mapping[str, Drawing]
+
+
 def _lookup(key: Column, table: dict) -> Column:
-    return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in table.items()])
+    return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in table.items()], F.lit(None))
+
+
+def _own(kind: Column, drawings: Drawings | None, field: str) -> Column:
+    return _lookup(kind, {k: getattr(d, field) for k, d in (drawings or {}).items() if getattr(d, field) is not None})
 
 
-def display_label(kind: Column, state: Column, event_type: Column) -> Column:
+def display_label(kind: Column, state: Column, event_type: Column, drawings: Drawings | None = None) -> Column:
     mark = (
         F.when(event_type == "replaced", "~").when(event_type == "invalidated", "x")
         .when(state == "candidate", "?").otherwise("")
     )
-    return F.concat(_lookup(kind, LABELS), mark)
+    return F.concat(F.coalesce(_own(kind, drawings, "label"), _lookup(kind, LABELS)), mark)
 
 
-def overlay_kind(kind: Column) -> Column:
-    return (
+def overlay_kind(kind: Column, drawings: Drawings | None = None) -> Column:
+    return F.coalesce(
+        _own(kind, drawings, "overlay_kind"),
         F.when(kind.isin(*_PIVOT_KINDS), "pivot-marker").when(kind.startswith("leg_"), "leg-line")
-        .when(kind == "major_lh", "major-lh-marker")
+        .when(kind == "major_lh", "major-lh-marker"),
     )
 
 
-def overlay_layer(source_kind: Column) -> Column:
+def overlay_layer(source_kind: Column, drawings: Drawings | None = None) -> Column:
     """O05."""
-    return (
+    return F.coalesce(
+        _own(source_kind, drawings, "layer"),
         F.when(source_kind.startswith("pivot_st_"), "pivot_st").when(source_kind.startswith("pivot_"), "pivot")
-        .when(source_kind.startswith("leg_"), "leg").when(source_kind == "major_lh", "major_lh")
+        .when(source_kind.startswith("leg_"), "leg").when(source_kind == "major_lh", "major_lh"),
     )
 
 
@@ -84,38 +106,45 @@ def project_structures(
     structure_version: str,
     overlay_version: str = rules.OVERLAY_VERSION,
     series: Sequence[str] = schemas.SERIES,
+    drawings: Drawings | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """O01/O03."""
+    """O01/O03. ``drawings`` shows kinds of the caller's own; ``keep`` names further columns to carry along."""
     series = list(series)
     kind, state = F.col("kind"), F.col("state")
-    shape = overlay_kind(kind)
+    shape = overlay_kind(kind, drawings)
+    own_last = _own(kind, drawings, "last_price")
+    is_line = (shape == "leg-line") | own_last.isNotNull()
     unknown = F.raise_error(F.concat(F.lit("Unsupported structure kind "), kind)).cast("string")
     open_leg = F.raise_error(F.lit("A leg overlay needs an end bar.")).cast("long")
     first = F.when(kind == "major_lh", F.element_at("anchor_bar_ids", -1)).otherwise(F.col("start_bar_id"))
-    last = F.when(shape == "leg-line", F.coalesce("end_bar_id", open_leg)).otherwise(first)
+    last = F.when(is_line, F.coalesce("end_bar_id", open_leg)).otherwise(first)
     live = structures.where(state != "invalidated").withColumns(
         {"first_anchor": first, "last_anchor": last, "overlay_kind": F.coalesce(shape, unknown)}
     )
     b = _prices(live, bars, series)
+    priced = lambda bar, side: F.when(side == "high", F.col(f"{bar}_bar.high")).when(side == "low", F.col(f"{bar}_bar.low"))
     first_price = F.when(kind.isin("pivot_high", "pivot_st_high", "leg_down", "major_lh"), F.col("first_bar.high")).otherwise(
         F.col("first_bar.low")
     )
     last_price = F.when(kind == "leg_up", F.col("last_bar.high")).otherwise(F.col("last_bar.low"))
-    line = F.col("overlay_kind") == "leg-line"
+    first_price = F.coalesce(priced("first", _own(kind, drawings, "first_price")), first_price)
+    last_price = F.coalesce(priced("last", own_last), last_price)
+    style = F.coalesce(F.when(_own(kind, drawings, "overlay_kind").isNotNull(), kind), _family(kind))
     rulebook = F.col("rulebook_version") if "rulebook_version" in structures.columns else F.lit(rules.PIVOT.rulebook_version)
     return b.select(
         *series, F.concat_ws(":", "overlay_kind", F.lit(overlay_version), "structure_id").alias("overlay_id"),
         F.col("overlay_kind").alias("kind"), F.col("structure_id").alias("source_structure_id"),
-        F.when(line, F.array("first_anchor", "last_anchor")).otherwise(F.array("first_anchor")).alias("anchor_bars"),
-        F.when(line, F.array(first_price, last_price)).otherwise(F.array(first_price)).alias("anchor_prices"),
-        F.concat_ws(".", _family(kind), state).alias("style_key"), F.lit(data_version).alias("data_version"),
+        F.when(is_line, F.array("first_anchor", "last_anchor")).otherwise(F.array("first_anchor")).alias("anchor_bars"),
+        F.when(is_line, F.array(first_price, last_price)).otherwise(F.array(first_price)).alias("anchor_prices"),
+        F.concat_ws(".", style, state).alias("style_key"), F.lit(data_version).alias("data_version"),
         rulebook.alias("rulebook_version"), F.lit(structure_version).alias("structure_version"),
         F.lit(overlay_version).alias("overlay_version"),
         _meta(b, {
             "source_kind": kind, "source_state": state, "session_id": F.col("session_id"),
             "session_date": F.col("session_date"), "explanation_codes": F.col("explanation_codes"),
-            "display_label": display_label(kind, state, F.lit("")), "confirm_bar_id": F.col("confirm_bar_id"),
-        }).alias("meta"),
+            "display_label": display_label(kind, state, F.lit(""), drawings), "confirm_bar_id": F.col("confirm_bar_id"),
+        }).alias("meta"), *keep,
     )
 
 
@@ -127,6 +156,7 @@ def project_events(
     structure_version: str,
     overlay_version: str = rules.OVERLAY_VERSION,
     series: Sequence[str] = schemas.SERIES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ghosts of pivots that were replaced or invalidated."""
     series = list(series)
@@ -153,11 +183,11 @@ def project_events(
             "display_label": display_label(kind, F.lit("invalidated"), event_type),
             "replay_event_type": event_type, "event_bar_id": F.col("event_bar_id"),
             "reason_codes": F.col("reason_codes"), "successor_structure_id": F.col("successor_structure_id"),
-        }).alias("meta"),
+        }).alias("meta"), *keep,
     )
 
 
-def render_keys(overlays: DataFrame) -> DataFrame:
+def render_keys(overlays: DataFrame, drawings: Drawings | None = None) -> DataFrame:
     """The columns overlays are drawn and hit-tested by."""
     tier = (
         F.when(F.col("meta.replay_event_type").isNotNull(), -1)
@@ -165,17 +195,18 @@ def render_keys(overlays: DataFrame) -> DataFrame:
     )
     return overlays.withColumns(
         {
-            "z_order": _lookup(F.col("kind"), Z_ORDER).cast("long"), "tier_rank": tier.cast("long"),
+            "z_order": _lookup(F.col("kind"), {**Z_ORDER, **{d.overlay_kind: d.z_order for d in (drawings or {}).values()}}).cast("long"), "tier_rank": tier.cast("long"),
             "first_anchor": F.coalesce(F.get("anchor_bars", F.lit(0)), F.lit(-1)),
         }
     )
 
 
 def overlays_in_window(
-    overlays: DataFrame, min_bar_id: Column | int, max_bar_id: Column | int, layers: Sequence[str] | None = None
+    overlays: DataFrame, min_bar_id: Column | int, max_bar_id: Column | int, layers: Sequence[str] | None = None,
+    drawings: Drawings | None = None,
 ) -> DataFrame:
     """O05."""
-    kept = overlays.withColumn("layer", overlay_layer(F.col("meta.source_kind")))
+    kept = overlays.withColumn("layer", overlay_layer(F.col("meta.source_kind"), drawings))
     if layers:
         kept = kept.where(F.col("layer").isin(*layers))
     return kept.where((F.array_max("anchor_bars") >= min_bar_id) & (F.array_min("anchor_bars") <= max_bar_id))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom import schemas
+from barloom import rules, schemas
 from barloom.functions.ordered import running
 from barloom.functions.scalars import NS_PER_MINUTE, long
 from barloom.operators import overlays as ov
@@ -25,10 +25,10 @@ def base_cursor(bars: DataFrame, window: DataFrame, series: Sequence[str] = sche
     return span.join(last, series, "left")
 
 
-def replay_base(
-    objects: DataFrame, events: DataFrame, bars: DataFrame, window: DataFrame, series: Sequence[str] = schemas.SERIES
-) -> DataFrame:
-    """Structures visible as of the bar before the window, nothing where there is no such bar."""
+def _base_rows(
+    objects: DataFrame, events: DataFrame, bars: DataFrame, window: DataFrame, series: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Structures visible as of the bar before the window: from the log, and objects that the log says nothing of."""
     series = list(series)
     key = [*series, "structure_id"]
     cursor = base_cursor(bars, window, series).where(F.col("base_bar_id").isNotNull())
@@ -36,33 +36,92 @@ def replay_base(
     live = reduce_states(seen.drop("base_bar_id"), series)
     spans = cursor.select(*series, "min_bar_id", "max_bar_id", "base_bar_id")
     near = lambda df: df.join(spans, series).where(overlaps(F.col("min_bar_id"), F.col("max_bar_id")))
-    rows = near(live).select(*series, *_ROW)
     plain = near(objects).where(object_visible(F.col("base_bar_id"))).select(*series, *_ROW)
-    return rows.unionByName(plain.join(live.select(*key), key, "left_anti"))
+    return near(live).select(*series, *_ROW), plain.join(live.select(*key), key, "left_anti")
+
+
+def replay_base(
+    objects: DataFrame, events: DataFrame, bars: DataFrame, window: DataFrame, series: Sequence[str] = schemas.SERIES
+) -> DataFrame:
+    """Structures visible as of the bar before the window, nothing where there is no such bar."""
+    live, plain = _base_rows(objects, events, bars, window, series)
+    return live.unionByName(plain)
+
+
+def overlay_versions(
+    objects: DataFrame, events: DataFrame, bars: DataFrame, window: DataFrame, data_version: str,
+    series: Sequence[str] = schemas.SERIES, structure_version: str = rules.PIVOT.structure_version,
+    overlay_version: str = rules.OVERLAY_VERSION, layers: Sequence[str] | None = None, drawings: ov.Drawings | None = None,
+) -> DataFrame:
+    """Every overlay of the window with the event it is valid from (``from_*``) and the bar it ends at (``to_bar_id``).
+
+    An overlay of a structure holds from one event of it to the next, a ghost from its event on. Structures that the log
+    says nothing of before the window hold from the start, with ``from_bar_id`` null. ``replay_overlay_base`` and
+    ``replay_deltas`` are cuts of this table, which is as long as the log of the window.
+
+    A structure keeps its bars for life, so all its events overlap the window or none does; the state after each event
+    therefore comes from the events in the window alone.
+    """
+    series = list(series)
+    near = events_in_window(events, window, series=series)
+    place = {"from_bar_id": F.col("event_bar_id"), "from_order": F.col("event_order"), "from_event_id": F.col("event_id")}
+    order = Window.partitionBy(*series, "structure_id").orderBy("event_bar_id", "event_order", "event_id")
+    kept = [*place, "to_bar_id"]
+    after = states_after_each_event(near, series).withColumns({**place, "to_bar_id": F.lead("event_bar_id").over(order)})
+    never = F.lit(None)
+    plain = _base_rows(objects, events, bars, window, series)[1].withColumns(
+        {"from_bar_id": never.cast("long"), "from_order": never.cast("long"), "from_event_id": never.cast("string"), "to_bar_id": never.cast("long")})
+    columns = [*series, *_ROW, *kept]
+    rows = after.where(F.col("state").isNotNull()).select(*columns).unionByName(plain.select(*columns))
+    drawn = ov.project_structures(rows, bars, data_version, structure_version, overlay_version, series, drawings, kept)
+    ghosts = ov.project_events(
+        near.withColumns({**place, "to_bar_id": never.cast("long")}), bars, data_version, rules.PIVOT.rulebook_version, structure_version,
+        overlay_version, series, kept)
+    both = drawn.unionByName(ghosts).join(window_range(window, series), series)
+    shown = ov.overlays_in_window(both, F.col("min_bar_id"), F.col("max_bar_id"), layers, drawings)
+    return ov.render_keys(shown.drop("min_bar_id", "max_bar_id"), drawings)
+
+
+def replay_overlay_base(versions: DataFrame, bars: DataFrame, window: DataFrame, series: Sequence[str] = schemas.SERIES) -> DataFrame:
+    """Overlays and ghosts valid as of the bar before the window, nothing where there is no such bar."""
+    series = list(series)
+    cursor = base_cursor(bars, window, series).where(F.col("base_bar_id").isNotNull()).select(*series, "base_bar_id")
+    begun = F.col("from_bar_id").isNull() | (F.col("from_bar_id") <= F.col("base_bar_id"))
+    lasts = F.col("to_bar_id").isNull() | (F.col("to_bar_id") > F.col("base_bar_id"))
+    return versions.join(cursor, series).where(begun & lasts).drop("base_bar_id", "from_bar_id", "from_order", "from_event_id", "to_bar_id")
 
 
 def replay_deltas(
     objects: DataFrame, events: DataFrame, bars: DataFrame, window: DataFrame, series: Sequence[str] = schemas.SERIES,
-    overlay_version: str = "v1", layers: Sequence[str] | None = None,
+    overlay_version: str = rules.OVERLAY_VERSION, layers: Sequence[str] | None = None, data_version: str = "",
+    drawings: ov.Drawings | None = None, versions: DataFrame | None = None,
 ) -> DataFrame:
-    """Per event of the window what leaves the picture and what enters or changes.
+    """Per event of the window what leaves the picture and what enters or changes, with the overlay rows themselves.
 
-    A structure keeps its bars for life, so all its events overlap the window or none does; the state
-    after each event therefore comes from the events in the window alone.
+    ``versions`` is the table of ``overlay_versions`` where it is stored already.
     """
     series = list(series)
     key = [*series, "structure_id"]
+    if versions is None:
+        versions = overlay_versions(objects, events, bars, window, data_version, series, overlay_version=overlay_version, layers=layers, drawings=drawings)
     after = states_after_each_event(events_in_window(events, window, series=series), series)
     order = Window.partitionBy(*key).orderBy("event_bar_id", "event_order", "event_id")
+    ghostly = F.col("meta.replay_event_type").isNotNull()
+    overlay = F.struct(*[c for c in versions.columns if c not in (*series, "from_bar_id", "from_order", "from_event_id", "to_bar_id")])
+    begun = versions.where(F.col("from_event_id").isNotNull()).select(*series, F.col("from_event_id").alias("event_id"), ghostly.alias("ghostly"), overlay.alias("overlay"))
+    # A structure has one overlay at most after an event, and an event one ghost at most.
+    entering = begun.groupBy(*series, "event_id").agg(
+        F.first(F.when(~F.col("ghostly"), F.col("overlay")), ignorenulls=True).alias("now"),
+        F.first(F.when(F.col("ghostly"), F.col("overlay")), ignorenulls=True).alias("ghost"))
     base = replay_base(objects, events, bars, window, series).select(*key, F.lit(True).alias("in_base"))
+    at_base = replay_overlay_base(versions, bars, window, series).where(~ghostly).select(
+        *series, F.col("source_structure_id").alias("structure_id"), F.col("overlay_id").alias("base_overlay_id"))
     visible = F.col("state").isNotNull()
-    staged = after.withColumns({"visible": visible, "visible_before": F.lag(visible).over(order)}).join(base, key, "left")
+    staged = after.join(entering, [*series, "event_id"], "left").join(base, key, "left").join(at_base, key, "left").withColumns({
+        "visible": visible, "visible_before": F.lag(visible).over(order),
+        "drawn_before": F.when(F.row_number().over(order) == 1, F.col("base_overlay_id")).otherwise(F.lag("now.overlay_id").over(order)),
+    })
     was = F.coalesce("visible_before", "in_base", F.lit(False))
-    shape = ov.overlay_kind(F.col("kind"))
-    drawn = F.lit(True) if not layers else ov.overlay_layer(F.col("kind")).isin(*layers)
-    overlay_id = F.concat_ws(":", shape, F.lit(overlay_version), "structure_id")
-    ghost = F.col("kind").startswith("pivot") & F.col("event_type").isin("invalidated", "replaced") & drawn
-    ghost_id = F.concat_ws(":", overlay_id, "event_type", F.col("event_bar_id").cast("string"))
     row = F.struct(
         "structure_id", "kind", "state", "start_bar_id", "end_bar_id", "confirm_bar_id", "anchor_bar_ids", "session_id",
         "session_date", "reason_codes", "explanation_codes",
@@ -71,10 +130,9 @@ def replay_deltas(
         *series, "event_id", "event_bar_id", "event_order", "event_type", "structure_id",
         F.when(was & ~F.col("visible"), F.col("structure_id")).alias("remove_structure_id"),
         F.when(F.col("visible"), row).alias("upsert_structure"),
-        F.when(was & ~F.col("visible") & drawn, overlay_id).alias("remove_overlay_id"),
-        F.array_compact(F.array(F.when(F.col("visible") & drawn, overlay_id), F.when(ghost, ghost_id))).alias(
-            "upsert_overlay_ids"
-        ),
+        F.when(F.col("now").isNull(), F.col("drawn_before")).alias("remove_overlay_id"),
+        F.array_compact(F.array("now.overlay_id", "ghost.overlay_id")).alias("upsert_overlay_ids"),
+        F.array_compact(F.array("now", "ghost")).alias("upsert_overlays"),
     )
 
 

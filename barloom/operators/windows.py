@@ -85,30 +85,6 @@ def select_window(bars: DataFrame, spec: WindowSpec, series: Sequence[str] = sch
     )
 
 
-@dataclass(frozen=True)
-class WindowReach:
-    """Literal bounds of a window over all asked series, for filters that reach the files."""
-
-    years: tuple[int, ...]
-    from_index: int
-    to_index: int
-    min_bar_id: int
-    max_bar_id: int
-
-
-def window_reach(bars: DataFrame, spec: WindowSpec, series: Sequence[str] = schemas.SERIES) -> WindowReach:
-    """Where the window lies in stored, numbered bars with ``year``. A selector that no series has is a ``KeyError``.
-
-    Two small reads: the selected bars for the bounds, and the bars between them for years and bar ids.
-    """
-    low, high = window_bounds(bars, spec, series).agg(F.min("from_index"), F.max("to_index")).first()
-    if low is None:
-        raise KeyError(f"No series has the selected bars: {spec}")
-    inside = bars.where(F.col("bar_index").between(low, high))
-    found = inside.agg(F.min("year"), F.max("year"), F.min("bar_id"), F.max("bar_id")).first()
-    return WindowReach(tuple(range(int(found[0]), int(found[1]) + 1)), low, high, found[2], found[3])
-
-
 def window_range(window: DataFrame, series: Sequence[str] = schemas.SERIES) -> DataFrame:
     return window.groupBy(*series).agg(F.min("bar_id").alias("min_bar_id"), F.max("bar_id").alias("max_bar_id"))
 

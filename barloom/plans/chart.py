@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import rules, schemas
 from barloom.operators import features, overlays, replay, windows
-from barloom.operators.bars import index_bars
-from barloom.plans.chain import KINDS, StructureChain, union_all, widen_events
+from barloom.plans import indexes
+from barloom.plans.chain import StructureChain, union_all, widen_events
 from barloom.session import cut_lineage
 
 
@@ -24,6 +24,7 @@ class ChartRequest:
     ema_lengths: tuple[int, ...] = ()
     include_replay: bool = False
     seed: str = "window"
+    drawings: overlays.Drawings = field(default_factory=dict)
 
 
 def ema_lines(
@@ -55,7 +56,7 @@ def chart_window(
 
 
 def stored_inputs(
-    spark: SparkSession, root: str, window: windows.WindowSpec, symbols: Sequence[str] = (), kinds: Sequence[str] = KINDS,
+    spark: SparkSession, root: str, window: windows.WindowSpec, symbols: Sequence[str] = (), kinds: Sequence[str] | None = None,
     series: Sequence[str] = schemas.SERIES, from_start: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bars, objects and events of a ``structure_job`` folder that a chart of the window can need.
@@ -63,40 +64,60 @@ def stored_inputs(
     The window becomes literal filters on symbol, year, bar index and bar ids, so partitions and row groups are pruned.
     The chart shows bars out to the anchors of what overlaps the window; objects and events overlap those bars, as replay
     plays over them, and bars reach out to their anchors and one further, where replay starts. With ``from_start`` bars
-    begin with the series. The years are those of the rows found, read in small aggregates first.
+    begin with the series. Years and stretches come from the stored extents; folders outside them are never opened.
+    ``kinds`` are all stored ones unless given. A selector that no series has is a ``KeyError``.
     """
-    def only(path: str) -> DataFrame:
-        df = spark.read.parquet(path)
+    def only(df: DataFrame) -> DataFrame:
         return df.where(F.col("symbol").isin(*symbols)) if symbols else df
 
-    def overlapping(part: str, kind: str, low: int, high: int) -> DataFrame:
-        df = only(f"{root}/{part}/kind_group={kind}/data").withColumn("kind_group", F.lit(kind))
-        ends = F.col("end_bar_id").isNull() & (F.col("start_bar_id") >= low) | (F.col("end_bar_id") >= low)
-        return df.where((F.col("start_bar_id") <= high) & ends)
-
-    def anchored(low: int, high: int) -> tuple[int, int, int | None, int | None]:
-        """First and last anchor of what overlaps the bars, these included, and first and last year of its rows."""
-        reached = union_all([
-            overlapping(part, kind, low, high).select("year", F.array_min("anchor_bar_ids").alias("a"), F.array_max("anchor_bar_ids").alias("z"))
-            for part in ("structures", "events") for kind in kinds])
-        first, last, *found = reached.agg(F.min("a"), F.max("z"), F.min("year"), F.max("year")).first()
-        return min(low, low if first is None else first), max(high, high if last is None else last), *found
-
-    bars = only(f"{root}/bars/data")
-    reach = windows.window_reach(bars, window, series)
-    low, high, *_ = anchored(reach.min_bar_id, reach.max_bar_id)
-    far_low, far_high, first_year, last_year = anchored(low, high)
-    near = F.col("year").between(*((first_year, last_year) if first_year is not None else (reach.years[0], reach.years[-1])))
+    extents = only(spark.read.parquet(f"{root}/extents"))
+    of_bars = extents.where(F.col("part") == "bars")
+    stored = extents.where(F.col("part") != "bars")
+    if kinds is not None:
+        stored = stored.where(F.col("kind_group").isin(*kinds))
 
-    low_index, high_index = bars.where(F.col("bar_id").between(far_low, far_high)).agg(F.min("bar_index"), F.max("bar_index")).first()
-    bars = bars.where(F.col("bar_index") <= max(high_index, reach.to_index) + 1)
-    if not from_start:
-        bars = bars.where(F.col("bar_index") >= min(low_index, reach.from_index) - 1)
-    bars = bars.where(F.col("year").between(*bars.agg(F.min("year"), F.max("year")).first()))
+    def bars_at(where: Column) -> DataFrame:
+        place = indexes.places(of_bars.where(where)).get(("bars", ""), F.lit(False))
+        return only(spark.read.parquet(f"{root}/bars/data")).where(place)
 
-    objects = union_all([overlapping("structures", k, low, high).where(near).drop("year") for k in kinds])
-    events = widen_events({k: overlapping("events", k, low, high).where(near).drop("year") for k in kinds})
-    return bars.drop("year"), objects, events
+    def overlapping(low: int, high: int) -> dict[tuple[str, str], DataFrame]:
+        """Per part and kind the rows that overlap the bars, opened only where an extent does."""
+        ends = F.col("end_bar_id").isNull() & (F.col("start_bar_id") >= low) | (F.col("end_bar_id") >= low)
+        return {
+            (part, kind): only(spark.read.parquet(f"{root}/{part}/kind_group={kind}/data")).where(place & (F.col("start_bar_id") <= high) & ends)
+            for (part, kind), place in indexes.places(stored.where(indexes.meets(low, high))).items()
+        }
+
+    def anchored(low: int, high: int) -> tuple[int, int]:
+        """First and last anchor of what overlaps the bars, these included."""
+        found = overlapping(low, high).values()
+        if not found:
+            return low, high
+        ends = [df.select(F.array_min("anchor_bar_ids").alias("a"), F.array_max("anchor_bar_ids").alias("z")) for df in found]
+        first, last = union_all(ends).agg(F.min("a"), F.max("z")).first()
+        return (low, high) if first is None else (min(low, first), max(high, last))
+
+    from_index, to_index = windows.window_bounds(bars_at(indexes.selected(window)), window, series).agg(F.min("from_index"), F.max("to_index")).first()
+    if from_index is None:
+        raise KeyError(f"No series has the selected bars: {window}")
+    inside = bars_at(indexes.meets(from_index, to_index, "index")).where(F.col("bar_index").between(from_index, to_index))
+    low, high = anchored(*inside.agg(F.min("bar_id"), F.max("bar_id")).first())
+    far_low, far_high = anchored(low, high)
+
+    reached = bars_at(indexes.meets(far_low, far_high)).where(F.col("bar_id").between(far_low, far_high))
+    low_index, high_index = reached.agg(F.min("bar_index"), F.max("bar_index")).first()
+    first, last = 0 if from_start else min(low_index, from_index) - 1, max(high_index, to_index) + 1
+    bars = bars_at(indexes.meets(first, last, "index")).where(F.col("bar_index").between(first, last))
+
+    found = overlapping(low, high)
+    part = lambda p: {kind: df.drop("year") for (of, kind), df in found.items() if of == p}
+    objects, events = part("structures"), part("events")
+    nothing = F.lit(False)
+    for p, rows in (("structures", objects), ("events", events)):
+        if not rows:  # any stored kind gives the columns
+            kind = stored.where(F.col("part") == p).select("kind_group").first() or extents.where(F.col("part") == p).select("kind_group").first()
+            rows[kind[0]] = spark.read.parquet(f"{root}/{p}/kind_group={kind[0]}/data").drop("year").where(nothing)
+    return bars.drop("year"), union_all([df.withColumn("kind_group", F.lit(k)) for k, df in objects.items()]), widen_events(events)
 
 
 def stored_chart_window(
@@ -123,10 +144,10 @@ def _parts(
 
     def clipped(df: DataFrame) -> DataFrame:
         joined = df.join(span, series)
-        kept = overlays.overlays_in_window(joined, F.col("min_bar_id"), F.col("max_bar_id"), request.layers or None)
+        kept = overlays.overlays_in_window(joined, F.col("min_bar_id"), F.col("max_bar_id"), request.layers or None, request.drawings)
         return kept.drop("min_bar_id", "max_bar_id")
 
-    drawn = clipped(overlays.project_structures(structures, bars, data_version, version, series=series))
+    drawn = clipped(overlays.project_structures(structures, bars, data_version, version, series=series, drawings=request.drawings))
     if request.as_of_bar_id is not None:
         ghosts = overlays.project_events(
             seen, bars, data_version, rules.PIVOT.rulebook_version, version, series=series
@@ -134,14 +155,15 @@ def _parts(
         drawn = drawn.unionByName(clipped(ghosts))
     answer = {
         "bars": shown.drop("bar_index"), "structures": structures, "events": seen,
-        "overlays": overlays.render_keys(drawn),
+        "overlays": overlays.render_keys(drawn, request.drawings),
     }
     if request.ema_lengths:
         answer["ema_lines"] = ema_lines(bars, shown, request.ema_lengths, request.seed, series)
     if request.include_replay and request.as_of_bar_id is None and request.as_of_event_id is None:
         answer["replay_base"] = replay.replay_base(objects, events, bars, shown, series)
-        answer["replay_deltas"] = replay.replay_deltas(
-            objects, events, bars, shown, series, layers=request.layers or None
-        )
+        versions = cut_lineage(replay.overlay_versions(
+            objects, events, bars, shown, data_version, series, layers=request.layers or None, drawings=request.drawings))
+        answer["replay_overlays"] = replay.replay_overlay_base(versions, bars, shown, series)
+        answer["replay_deltas"] = replay.replay_deltas(objects, events, bars, shown, series, versions=versions)
         answer["playback"] = replay.playback_steps(bars, shown, minute_bars, timeframe, series)
     return answer

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from barloom import schemas
 from barloom.operators import bars as b
 from barloom.operators import continuous, derived, features, ingest, legs, lifecycle, major_lh, parity, pivots
 from barloom.operators.windows import WindowSpec, select_window
-from barloom.plans import chain
+from barloom.plans import chain, indexes
 from barloom.session import cut_lineage, stages
 from barloom.sources import csv_sources, datasets
 
@@ -63,17 +64,35 @@ def continuous_job(
 
 def family_window(
     spark: SparkSession, bars_path: str, symbol: str, session_profile: str, timeframe: str, window: WindowSpec,
-    columns: Sequence[str] | None = None, years: Sequence[int] | None = None,
+    columns: Sequence[str] | None = None, years: Sequence[int] | None = None, index_path: str | None = None,
 ) -> DataFrame:
     """One symbol's family cut to a window. Symbol and year prune folders before anything is read.
 
-    All years are read unless given: the bars around a session may lie in any of them, few as a family may have in a year.
+    With ``index_path``, the folder of ``family_index_job``, the window's first and last session are known before any bar
+    is derived: only these sessions are read, and numbered from the bars that the series has before them. Without it all
+    years are read unless given: the bars around a session may lie in any of them, few as a family may have in a year.
     """
-    stored = datasets.scan(spark, f"{bars_path}/data", years, where=F.col("symbol") == symbol)
-    picked = select_window(b.derive_family(stored, session_profile, timeframe), window)
+    mine = F.col("symbol") == symbol
+    if index_path is None:
+        family = b.derive_family(datasets.scan(spark, f"{bars_path}/data", years, where=mine), session_profile, timeframe)
+    else:
+        asked = mine & (F.col("session_profile") == session_profile) & (F.col("timeframe") == timeframe)
+        span = indexes.window_sessions(spark.read.parquet(index_path).where(asked), window)
+        inside = F.col("session_date").between(span.first_session, span.last_session) if span else F.lit(False)
+        stored = datasets.scan(spark, f"{bars_path}/data", span.years if span else None, where=mine & inside)
+        family = b.index_bars(b.derive_family(stored, session_profile, timeframe))
+        family = family.withColumn("bar_index", F.col("bar_index") + (span.bars_before if span else 0))
+    picked = select_window(family, window)
     return picked.select(*columns) if columns else picked
 
 
+def family_index_job(spark: SparkSession, bars_path: str, out: str, families: Sequence[tuple[str, str]]) -> DataFrame:
+    """The session index of (profile, timeframe) families of stored minute bars, in folders by symbol."""
+    counted = indexes.session_counts(datasets.scan(spark, f"{bars_path}/data"), families)
+    counted.hint("rebalance", F.col("symbol")).write.mode("overwrite").partitionBy("symbol").parquet(out)
+    return spark.read.parquet(out)
+
+
 def edge_feature_job(bars: DataFrame, out: str, data_version: str, series: Sequence[str] = schemas.SERIES) -> DataFrame:
     """the four edge features as long rows, one pass over the bars."""
     rows = features.to_long_features(features.edge_features(bars, series), series)
@@ -99,39 +118,70 @@ def parity_job(
     return rows, spark.read.parquet(f"{out}/mismatches")
 
 
+# Builds (objects, events) of a kind from the datasets by name: "bars", "anchors", and per kind "<kind>" and "<kind>.events".
+Builder = Callable[[Mapping[str, DataFrame]], tuple[DataFrame, DataFrame]]
+
+
+def kind_builders(series: Sequence[str] = schemas.SERIES) -> dict[str, tuple[tuple[str, ...], Builder]]:
+    """The kinds of the rulebook: for each the kinds it is built from, and its builder."""
+    series = list(series)
+
+    def tier(name: str) -> Builder:
+        def build(of: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+            mine = of["anchors"].where(F.col("kind_group") == name)
+            return pivots.pivot_objects(mine, series), pivots.pivot_events(mine, series)
+        return build
+
+    def leg(of: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+        visible = lifecycle.reduce_states(of["pivot.events"], series)
+        found = legs.legs_from_pivots(legs.priced(visible, of["bars"], series), series=series)
+        return found, derived.leg_events(of["anchors"], of["bars"], series)
+
+    def major(of: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+        found = major_lh.major_lower_highs(of["leg"], of["bars"], series)
+        return found, derived.major_lh_events(of["leg.events"], of["bars"], series)
+
+    return {"pivot_st": ((), tier("pivot_st")), "pivot": ((), tier("pivot")), "leg": (("pivot",), leg), "major_lh": (("leg",), major)}
+
+
+def in_order_of_need(builders: Mapping[str, tuple[Sequence[str], Builder]]) -> list[str]:
+    """Kinds so that each comes after those it is built from; a need that nobody builds, or a circle, is an error."""
+    unknown = sorted({n for needs, _ in builders.values() for n in needs} - set(builders))
+    if unknown:
+        raise ValueError(f"No builder for kinds {unknown}.")
+    return list(TopologicalSorter({k: needs for k, (needs, _) in builders.items()}).static_order())
+
+
 def structure_job(
-    bars: DataFrame, out: str, data_version: str, series: Sequence[str] = schemas.SERIES, may_be_empty: Sequence[str] = ("major_lh",)
+    bars: DataFrame, out: str, data_version: str, series: Sequence[str] = schemas.SERIES, may_be_empty: Sequence[str] = ("major_lh",),
+    builders: Mapping[str, tuple[Sequence[str], Builder]] | None = None,
 ) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Objects and events of every kind, stored by kind, symbol and year with profiles, and read back.
 
     Bars are stored with ``bar_index``. Legs are built from the stored pivots and major lower highs from the stored legs.
-    A kind without rows is an error unless it may be empty.
+    ``builders`` adds kinds of the caller's own, or replaces kinds: (kinds it needs, builder) by name; every kind is built
+    after those it needs, from their stored datasets. A kind without rows is an error unless it may be empty. The extents
+    of all datasets are stored beside them, for ``stored_chart_window``.
     """
     spark = bars.sparkSession
+    every = {**kind_builders(series), **(builders or {})}
+    order = in_order_of_need(every)
     with stages(spark):
         numbered = chain.stored_index(bars, series)
         datasets.write_dataset(numbered, f"{out}/bars/data", "bars")
         numbered = datasets.scan(spark, f"{out}/bars/data")
-        anchors = cut_lineage(pivots.pivot_anchors(numbered, series=series))
-
-        def store(kind: str, objects: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-            made = []
-            for part, df, profile in (("structures", objects, datasets.profile_structures), ("events", events, datasets.profile_events)):
+        of = {"bars": numbered, "anchors": cut_lineage(pivots.pivot_anchors(numbered, series=series))}
+        reach = [indexes.extents(numbered, "bars")]
+        found = {}
+        for kind in order:
+            for part, df, profile in zip(("structures", "events"), every[kind][1](of), (datasets.profile_structures, datasets.profile_events)):
                 path = f"{out}/{part}/kind_group={kind}"
                 datasets.write_dataset(df, f"{path}/data", part)
                 stored = datasets.scan(spark, f"{path}/data", schema=T.StructType([*df.schema.fields, T.StructField("year", T.LongType())]))
                 if kind not in may_be_empty or stored.head(1):
                     datasets.write_profile(profile(stored), f"{path}/profile", {"data_version": data_version})
-                made.append(stored)
-            return made[0], made[1]
-
-        found = {}
-        for tier in ("pivot_st", "pivot"):
-            mine = anchors.where(F.col("kind_group") == tier)
-            found[tier] = store(tier, pivots.pivot_objects(mine, series), pivots.pivot_events(mine, series))
-        visible = lifecycle.reduce_states(found["pivot"][1], series)
-        leg = legs.legs_from_pivots(legs.priced(visible, numbered, series), series=series)
-        found["leg"] = store("leg", leg, derived.leg_events(anchors, numbered, series))
-        major = major_lh.major_lower_highs(found["leg"][0], numbered, series)
-        found["major_lh"] = store("major_lh", major, derived.major_lh_events(found["leg"][1], numbered, series))
+                of[kind if part == "structures" else f"{kind}.events"] = stored
+                reach.append(indexes.extents(stored, part, kind))
+            found[kind] = (of[kind], of[f"{kind}.events"])
+        chain.union_all(reach).hint("rebalance").sortWithinPartitions("symbol", "part", "year").write.mode("overwrite").parquet(f"{out}/extents")
         return found

@@ -17,6 +17,7 @@ ORDER = {
     "bars": ("bar_id",), "trades": ("event_order",), "features": ("bar_id",), "structures": ("start_bar_id", "structure_id"),
     "events": ("event_bar_id", "event_order", "event_id"), "parity": ("bar_local_id",),
 }
+ORDER_SPAN = 1 << 18
 _REQUIRED = {
     "bars": schemas.BARS.fieldNames(), "trades": schemas.TRADES.fieldNames(), "features": schemas.FEATURES.fieldNames(),
     "structures": schemas.structure_columns(), "events": list(schemas.EVENT_COLUMNS),
@@ -29,7 +30,7 @@ def year_of(session_date: Column) -> Column:
 
 
 def write_dataset(
-    df: DataFrame, path: str, kind: str, by: Sequence[str] = ("symbol",), order_span: int = 1 << 18
+    df: DataFrame, path: str, kind: str, by: Sequence[str] = ("symbol",), order_span: int = ORDER_SPAN
 ) -> None:
     """Hive-style ``by.../year=`` folders whose files hold contiguous stretches of the order column.
 

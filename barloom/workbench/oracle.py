@@ -477,6 +477,10 @@ def _sql() -> dict[str, str]:
       GROUP BY symbol, session_date, since // 3 HAVING count(*) = 3 AND max(since) - min(since) = 2"""
     q["B09_family_window"] = f"""SELECT {BAR} FROM (SELECT *, row_number() OVER (ORDER BY bar_id) AS rn FROM m_fam5 WHERE symbol = 'click')
       WHERE rn <= (SELECT count(*) FROM m_fam5 WHERE symbol = 'click' AND session_date = {WINDOW_SESSION}) + 2"""
+    counts = "symbol, '{}' AS session_profile, '{}' AS timeframe, session_date, count(*) AS bars, min(bar_id) AS first_bar_id, max(bar_id) AS last_bar_id"
+    q["B09_family_index"] = f"""SELECT *, CAST(coalesce(sum(bars) OVER (PARTITION BY symbol, timeframe ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bars_before
+      FROM (SELECT {counts.format('eth_full', '5m')} FROM m_fam5 GROUP BY symbol, session_date
+            UNION ALL SELECT {counts.format('rth', '3m')} FROM ({q["B06_rth_three_minute_family"]}) GROUP BY symbol, session_date)"""
     q["B10_minute_view_of_bars"] = q["B02_minute_view_of_trades"]
     q["B11_contract_bar_job"] = f"SELECT {BAR} FROM m_contract_minutes"
     q["B12_canonical_bar_job"] = q["S05_legacy_bar_scan"]

@@ -352,7 +352,17 @@ def B09_family_window(spark, d):
     path = scratch(spark)
     datasets.write_dataset(feed.dense_bars(spark, d).drop("session_profile"), f"{path}/data", "bars")
     spec = windows.WindowSpec(session_date=WINDOW_SESSION, right_bars=2)
-    return flat(jobs.family_window(spark, path, "click", "eth_full", "5m", spec, BAR))
+    jobs.family_index_job(spark, path, f"{path}/families", [("eth_full", "5m"), ("rth", "3m")])
+    return flat(jobs.family_window(spark, path, "click", "eth_full", "5m", spec, BAR, index_path=f"{path}/families"))
+
+
+@query
+def B09_family_index(spark, d):
+    """Bars per session of two families with their running total, as the job stored them."""
+    path = scratch(spark)
+    datasets.write_dataset(feed.dense_bars(spark, d).drop("session_profile"), f"{path}/data", "bars")
+    found = jobs.family_index_job(spark, path, f"{path}/families", [("eth_full", "5m"), ("rth", "3m")])
+    return flat(found, "symbol", "session_profile", "timeframe", "session_date", "bars", "bars_before", "first_bar_id", "last_bar_id")
 
 
 @query

@@ -1,3 +1,6 @@
+import glob
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +27,15 @@ def ev(sid, kind, bar, order, after, **more):
             row["end"], row["confirm"], row["anchors"], None, row["succ"], row["payload"], row["changed"], row["session"], row["session"])
 
 
+def spoil(path, *years):
+    """Whoever opens a file of these years from here on fails."""
+    files = [f for year in years for f in glob.glob(f"{path}/**/year={year}/*.parquet", recursive=True)]
+    assert files
+    for f in files:
+        with open(f, "wb") as out:
+            out.write(b"spoiled")
+
+
 CURSOR_LOG = [
     ev("s1", "created", 5, 1, "candidate"), ev("s2", "created", 5, 2, "candidate"), ev("s2", "replaced", 6, 0, "invalidated", succ="s3"),
     ev("s3", "created", 6, 1, "candidate"), ev("s1", "confirmed", 8, 1, "confirmed", confirm=8),
@@ -232,3 +244,101 @@ def test_family_window_reaches_over_years(spark, tmp_path):
     spec = windows.WindowSpec(session_date=20190105, left_bars=4, right_bars=3)
     got = jobs.family_window(spark, str(tmp_path), "X", "eth_full", "1m", spec)
     assert got.count() == 8
+
+
+def test_family_window_by_index_equals_the_whole_family(spark, tmp_path):
+    """Only the window's sessions are read; rows and places are those of the whole derived family."""
+    rows = [{"bar_id": 1000 * s + 5 * s * (s % 2) + i, "session_id": 20150105 + 10000 * (s // 2) + s % 2, "close": s + i / 8} for s in range(12) for i in range(3 + 4 * (s % 3))]
+    bars = bars_frame(spark, rows).unionByName(bars_frame(spark, rows[5:40], "Y")).drop("session_profile")
+    path, index = str(tmp_path), f"{tmp_path}/families"
+    jobs.datasets.write_dataset(bars, f"{path}/data", "bars")
+    jobs.family_index_job(spark, path, index, [("eth_full", "1m"), ("eth_full", "2m")])
+    at, ns = rows[20]["bar_id"], 60
+    specs = [
+        windows.WindowSpec(session_date=20170106, left_bars=4, right_bars=9), windows.WindowSpec(session_date=20200106, right_bars=99, buffer_bars=1),
+        windows.WindowSpec(center_bar_id=at, left_bars=2, right_bars=30), windows.WindowSpec(center_bar_id=at + 500), windows.WindowSpec(),
+        windows.WindowSpec(start_time=at * ns, end_time=(at + 2000) * ns, buffer_bars=3), windows.WindowSpec(session_date=1), windows.WindowSpec(session_date=20150105, left_bars=3),
+    ]
+    for spec in specs:
+        for timeframe in ("2m",) if spec.session_date else ("1m",):
+            pick = lambda **how: sorted(map(tuple, jobs.family_window(
+                spark, path, "X", "eth_full", timeframe, spec, ["bar_id", "bar_index", "session_date", "close"], **how).collect()))  # noqa: B023
+            assert pick(index_path=index) == pick(), (spec, timeframe)  # noqa: B023
+    near = jobs.family_window(spark, path, "X", "eth_full", "2m", specs[0], index_path=index)
+    spoil(f"{path}/data", "2020")
+    assert near.count() > 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(session_date,2016" in plan and "LessThanOrEqual(session_date,20190105)" in plan
+    counted = jobs.indexes.session_counts(jobs.datasets.scan(spark, f"{path}/data"), [("eth_full", "2m")])
+    assert "open" not in counted._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+
+
+def test_interleaving_sessions_have_no_index(spark):
+    bars = bars_frame(spark, [{"bar_id": 10 + i, "session_id": 20150105 + i % 2} for i in range(6)]).drop("session_profile")
+    with pytest.raises(Exception, match="Sessions interleave"):
+        jobs.indexes.session_counts(bars, [("eth_full", "1m")]).collect()
+
+
+def pictures(df):
+    return {(r.overlay_id, r.style_key, tuple(r.anchor_bars), tuple(r.anchor_prices), r.meta.display_label, r.meta.session_id) for r in df.collect()}
+
+
+def test_replay_overlays_play_to_the_picture_of_every_cursor(spark, chain):
+    """Base overlays and the rows of the deltas give, at any later bar, what is drawn as of that bar."""
+    ids = sorted(r.bar_id for r in chain.bars.select("bar_id").collect())
+    window = cut_lineage(windows.select_window(chain.bars, windows.WindowSpec(center_bar_id=ids[70], left_bars=20, right_bars=20)))
+    objects, log = cut_lineage(chain.all_objects()), cut_lineage(chain.all_events())
+    versions = cut_lineage(replay.overlay_versions(objects, log, chain.bars, window, "d1"))
+    base = pictures(replay.replay_overlay_base(versions, chain.bars, window))
+    deltas = replay.replay_deltas(objects, log, chain.bars, window, versions=versions).orderBy("event_bar_id", "event_order", "event_id").collect()
+    assert any(r.upsert_overlays for r in deltas) and any(r.remove_overlay_id for r in deltas)
+    lo, hi = ids[50], ids[90]
+    for cursor in (ids[49], ids[60], ids[75], ids[-1]):
+        at = {"as_of_bar_id": cursor}
+        drawn = overlays.project_structures(windows.structures_in_window(objects, log, window, **at), chain.bars, "d1", "v")
+        ghosts = overlays.project_events(windows.events_in_window(log, window, **at), chain.bars, "d1", "r", "v")
+        want = pictures(overlays.overlays_in_window(drawn.unionByName(ghosts), lo, hi))
+        now = {p[0]: p for p in base}
+        for r in deltas:
+            if r.event_bar_id <= cursor:
+                now.pop(r.remove_overlay_id, None)
+                rows = [(o.overlay_id, o.style_key, tuple(o.anchor_bars), tuple(o.anchor_prices), o.meta.display_label, o.meta.session_id) for o in r.upsert_overlays]
+                now.update({p[0]: p for p in rows})
+                assert [p[0] for p in rows] == r.upsert_overlay_ids
+        assert set(now.values()) == want, cursor
+        if cursor == ids[49]:
+            assert base == want
+
+
+def test_own_kind_is_stored_profiled_and_drawn(spark, tmp_path):
+    """A kind of the caller's own, built from stored legs, next to those of the rulebook."""
+    def doubled(of):
+        kind = F.lit("long_leg")
+        rename = lambda df: df.withColumns({"kind": kind, "structure_id": F.concat(F.lit("own-"), "structure_id")})
+        far = F.col("end_bar_id") - F.col("start_bar_id") >= 4
+        return rename(of["leg"].where(far)), rename(of["leg.events"].where(far)).withColumn("event_id", F.concat(F.lit("own-"), "event_id"))
+
+    rows = random_bars(140, 21)
+    bars = bars_frame(spark, [{**r, "session_id": 20200101 + 10000 * (i // 70)} for i, r in enumerate(rows)])
+    root = str(tmp_path / "own")
+    found = jobs.structure_job(bars, root, "v1", builders={"long_leg": (("leg",), doubled)})
+    wanted = found["leg"][0].where("end_bar_id - start_bar_id >= 4").count()
+    assert wanted == found["long_leg"][0].count() > 0
+    assert spark.read.json(f"{root}/structures/kind_group=long_leg/profile").agg(F.sum("row_count")).first()[0] == wanted
+    spec = windows.WindowSpec(center_bar_id=rows[20]["bar_id"], left_bars=15, right_bars=15)
+    request = chart.ChartRequest(spec, drawings={"long_leg": overlays.Drawing("long-leg-line", "LL", "own", "low", "high", 3)}, layers=("own", "leg"))
+    lines = chart.stored_chart_window(spark, root, bars, "1m", request, "d1")["overlays"].where("layer = 'own'").collect()
+    assert lines and all(len(r.anchor_bars) == 2 and r.z_order == 3 and r.style_key.startswith("long_leg.") for r in lines)
+    assert all(r.overlay_id.startswith("long-leg-line:v1:own-") for r in lines)
+    with pytest.raises(Exception, match="Unsupported structure kind"):
+        chart.stored_chart_window(spark, root, bars, "1m", chart.ChartRequest(spec), "d1")["overlays"].collect()
+    with pytest.raises(ValueError, match="No builder"):
+        jobs.structure_job(bars, root, "v1", builders={"x": (("nothing",), doubled)})
+    # Folders outside the window's extents stay closed; the chart of the first year reads no file of the second.
+    near = chart.ChartRequest(windows.WindowSpec(center_bar_id=rows[20]["bar_id"], left_bars=5, right_bars=5), layers=("leg", "pivot"), include_replay=True)
+    whole = {k: v.count() for k, v in chart.stored_chart_window(spark, root, bars, "1m", replace(near, drawings=request.drawings), "d1").items()}
+    spoil(f"{root}/structures", "2021")
+    spoil(f"{root}/events", "2021")
+    spoil(f"{root}/bars", "2021")
+    again = {k: v.count() for k, v in chart.stored_chart_window(spark, root, bars, "1m", replace(near, drawings=request.drawings), "d1").items()}
+    assert again == whole and whole["structures"] > 0 and whole["replay_deltas"] > 0
