@@ -83,7 +83,11 @@ def overlay_versions(
 
 
 def replay_overlay_base(versions: DataFrame, bars: DataFrame, window: DataFrame, series: Sequence[str] = schemas.SERIES) -> DataFrame:
-    """Overlays and ghosts valid as of the bar before the window, nothing where there is no such bar."""
+    """Overlays and ghosts valid as of the bar before the window, nothing where there is no such bar.
+
+    Of the rulebook's kinds there are none, as all their bars precede the event that makes them known; only a kind
+    that reaches ahead of its events can overlap a window before it begins.
+    """
     series = list(series)
     cursor = base_cursor(bars, window, series).where(F.col("base_bar_id").isNotNull()).select(*series, "base_bar_id")
     begun = F.col("from_bar_id").isNull() | (F.col("from_bar_id") <= F.col("base_bar_id"))

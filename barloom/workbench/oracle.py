@@ -682,6 +682,51 @@ def _sql() -> dict[str, str]:
     q["W10_chart_structures"] = structures
     q["W10_chart_bars"] = f"""SELECT {BAR} FROM m_bars b JOIN (SELECT r.symbol AS s, least(min(lo), min(start_bar_id)) AS a, greatest(max(hi), max(greatest(start_bar_id, end_bar_id))) AS z
       FROM m_range r LEFT JOIN ({structures}) t ON t.symbol = r.symbol GROUP BY r.symbol) ON s = b.symbol AND bar_id BETWEEN a AND z"""
+    # Overlay rows. A drawn state has its kind, state, anchors and session; a ghost has its event's.
+    label = "CASE kind WHEN 'pivot_st_high' THEN 'STH' WHEN 'pivot_st_low' THEN 'STL' WHEN 'pivot_high' THEN 'PH' WHEN 'pivot_low' THEN 'PL' WHEN 'leg_up' THEN 'LU' WHEN 'leg_down' THEN 'LD' ELSE 'LH' END"
+    shape = "CASE WHEN kind LIKE 'leg%' THEN 'leg-line' WHEN kind = 'major_lh' THEN 'major-lh-marker' ELSE 'pivot-marker' END"
+    layer = "CASE WHEN kind LIKE 'pivot_st%' THEN 'pivot_st' WHEN kind LIKE 'pivot%' THEN 'pivot' WHEN kind LIKE 'leg%' THEN 'leg' ELSE 'major_lh' END"
+    style = "CASE WHEN kind = 'major_lh' THEN kind ELSE regexp_replace(kind, '_(high|low|up|down)$', '.\\1') END"
+    keys = f"""CAST(CASE {shape} WHEN 'leg-line' THEN 1 WHEN 'pivot-marker' THEN 2 ELSE 3 END AS BIGINT) AS z_order,
+      CAST(CASE WHEN {layer} = 'pivot' THEN 1 ELSE 0 END AS BIGINT) AS tier_rank, {layer} AS layer"""
+    short = f"""{shape} || ':v1:' || structure_id AS overlay_id, {shape} AS kind, structure_id AS source_structure_id,
+      CASE WHEN kind LIKE 'leg%' THEN a || ',' || z ELSE CAST(a AS VARCHAR) END AS anchor_bars, prices AS anchor_prices, {style} || '.' || state AS style_key,
+      {label} || CASE WHEN state = 'candidate' THEN '?' ELSE '' END AS display_label, {keys}"""
+    ghost_short = f"""{ghost} AS overlay_id, 'pivot-marker' AS kind, structure_id AS source_structure_id, CAST(bar_id AS VARCHAR) AS anchor_bars,
+      CAST(price AS VARCHAR) AS anchor_prices, {style} || '.' || event_type AS style_key, {label} || CASE event_type WHEN 'replaced' THEN '~' ELSE 'x' END AS display_label,
+      CAST(2 AS BIGINT) AS z_order, CAST(-1 AS BIGINT) AS tier_rank, {layer} AS layer"""
+    long_row = """'d1' AS data_version, 'v1' AS overlay_version, kind AS source_kind, state AS source_state, session AS session_id, session AS session_date,
+      codes AS explanation_codes, confirm AS confirm_bar_id, '' AS replay_event_type, CAST(-1 AS BIGINT) AS event_bar_id, '' AS reason_codes, '' AS successor_structure_id"""
+    ghost_long = """'d1' AS data_version, 'v1' AS overlay_version, kind AS source_kind, 'invalidated' AS source_state, e_session AS session_id, e_session AS session_date,
+      '' AS explanation_codes, CAST(-1 AS BIGINT) AS confirm_bar_id, event_type AS replay_event_type, event_bar_id, reason AS reason_codes, coalesce(successor, '') AS successor_structure_id"""
+    ranged = "m_pe e JOIN m_range r ON r.symbol = e.symbol AND bar_id BETWEEN lo AND hi"
+    states = f"""(SELECT e.symbol, event_id, structure_id, kind, bar_id AS a, bar_id AS z, CAST(price AS VARCHAR) AS prices, after AS state,
+      e_session AS session, codes, confirm_id AS confirm FROM {ranged} WHERE after <> 'invalidated')"""
+    gone = f"(SELECT e.* FROM {ranged} WHERE after = 'invalidated')"
+    q["W08_replay_overlay_rows"] = f"SELECT symbol, event_id, {short}, {long_row} FROM {states} UNION ALL SELECT symbol, event_id, {ghost_short}, {ghost_long} FROM {gone}"
+    # What the chart shows at the cursor, clipped to the bars it shows.
+    shown_bars = f"(SELECT symbol AS s, min(bar_id) AS lo, max(bar_id) AS hi FROM ({q['W10_chart_bars']}) GROUP BY symbol)"
+    anchors_of = f"(SELECT symbol AS t, structure_id AS i, any_value(anchor_bar_ids) AS ids FROM (SELECT symbol, structure_id, anchor_bar_ids FROM m_major_events UNION ALL SELECT symbol, structure_id, anchor_bar_ids FROM (SELECT {MAJOR_OBJECT} FROM m_major)) GROUP BY symbol, structure_id)"
+    at_cursor = f"""(SELECT x.symbol, structure_id, kind, state, a, z, CASE WHEN kind = 'leg_up' THEN f.low || ',' || l.high WHEN kind = 'leg_down' THEN f.high || ',' || l.low
+        WHEN kind LIKE '%_low' THEN CAST(f.low AS VARCHAR) ELSE CAST(f.high AS VARCHAR) END AS prices
+      FROM (SELECT x.*, CASE WHEN kind = 'major_lh' THEN CAST(split_part(ids, ',', -1) AS BIGINT) ELSE start_bar_id END AS a,
+              CASE WHEN kind LIKE 'leg%' THEN end_bar_id WHEN kind = 'major_lh' THEN CAST(split_part(ids, ',', -1) AS BIGINT) ELSE start_bar_id END AS z
+            FROM ({structures}) x LEFT JOIN {anchors_of} ON t = x.symbol AND i = structure_id) x
+      JOIN m_bars f ON f.symbol = x.symbol AND f.bar_id = a JOIN m_bars l ON l.symbol = x.symbol AND l.bar_id = z
+      JOIN {shown_bars} ON s = x.symbol AND z >= lo AND a <= hi)"""
+    ghosts_seen = f"(SELECT e.* FROM m_pevents e JOIN m_range r ON r.symbol = e.symbol AND bar_id BETWEEN lo AND hi WHERE after = 'invalidated' AND event_bar_id <= {CURSOR_BAR})"
+    q["W10_chart_overlays"] = f"SELECT symbol, {short} FROM {at_cursor} UNION ALL SELECT symbol, {ghost_short} FROM {ghosts_seen}"
+    # Without a cursor the chart shows the objects that are not invalidated, and bars out to their anchors.
+    final = f"(SELECT x.* FROM {all_objects} x JOIN m_range r ON {near} WHERE state <> 'invalidated')"
+    q["W10_chart_playback"] = f"""m_recursion_shown AS (
+        SELECT b.*, CAST(row_number() OVER (PARTITION BY b.symbol ORDER BY b.bar_id) - 1 AS BIGINT) AS p, lag(b.bar_id) OVER (PARTITION BY b.symbol ORDER BY b.bar_id) AS prev
+        FROM m_bars b JOIN (SELECT r.symbol AS s, least(min(lo), min(start_bar_id)) AS a, greatest(max(hi), max(greatest(start_bar_id, end_bar_id))) AS z
+          FROM m_range r LEFT JOIN {final} t ON t.symbol = r.symbol GROUP BY r.symbol) ON s = b.symbol AND bar_id BETWEEN a AND z),
+      m_recursion AS (
+        SELECT symbol, p, CAST(close AS DOUBLE) AS v, bar_id FROM m_recursion_shown WHERE p = 0
+        UNION ALL SELECT b.symbol, b.p, {a9}, b.bar_id FROM m_recursion e JOIN m_recursion_shown b ON b.symbol = e.symbol AND b.p = e.p + 1)
+      SELECT symbol, 'bar:' || bar_id AS step_id, bar_id, close, bar_id AS as_of_bar_id, true AS closes_display_bar, round(v, 6) AS ema_9
+      FROM m_recursion JOIN m_recursion_shown USING (symbol, bar_id)"""
     q["S02_tick_csv_numbered"] = q["S02_tick_csv"]
     q["T10_stored_pivot_objects"] = q["T07_pivot_objects"]
     q["T13_stored_legs"] = f"{q['T11_legs']} UNION ALL ({q['T12_major_lower_highs']})"

@@ -967,6 +967,42 @@ def W10_chart_events(spark, d):
     return flat(rows, "symbol", "event_id", "structure_id", "kind", "event_type", "event_bar_id", "state_after_event", "start_bar_id", "end_bar_id", "confirm_bar_id", "session_id")
 
 
+def overlay_columns(df, *more):
+    """Every column of overlay rows, the metadata flat."""
+    meta = [F.col(f"meta.{m}").alias(m) for m in ("source_kind", "source_state", "session_id", "session_date", "explanation_codes", "display_label",
+                                                   "confirm_bar_id", "replay_event_type", "event_bar_id", "reason_codes", "successor_structure_id")]
+    return flat(df.select("symbol", *more, "overlay_id", "kind", "source_structure_id", "anchor_bars", "anchor_prices", "style_key", "data_version",
+                          "overlay_version", "z_order", "tier_rank", "layer", *meta))
+
+
+@query
+def W08_replay_overlay_rows(spark, d):
+    """The overlay rows that each event of the window brings, every column."""
+    bars = indexed(spark, d)
+    a = structure_tier(anchors(bars))
+    window = cut_lineage(windows.select_window(bars, WINDOW))
+    rows = replay.replay_deltas(cut_lineage(pivots.pivot_objects(a)), cut_lineage(pivots.pivot_events(a)), bars, window, data_version="d1")
+    return overlay_columns(rows.select("symbol", F.col("event_id"), F.inline("upsert_overlays")), "event_id")
+
+
+@query
+def W10_chart_overlays(spark, d):
+    """Overlays of all kinds and ghosts as of the cursor, from the stored datasets."""
+    return overlay_columns(stored_chart(spark, d)["overlays"]).select(
+        "symbol", "overlay_id", "kind", "source_structure_id", "anchor_bars", "anchor_prices", "style_key", "display_label", "z_order", "tier_rank", "layer")
+
+
+@query
+def W10_chart_playback(spark, d):
+    """Playback steps with the line seeded at the first bar shown, from the stored datasets."""
+    root = scratch(spark)
+    minute = cut_lineage(feed.dense_bars(spark, d))
+    jobs.structure_job(minute, root, "d1")
+    answer = chart.stored_chart_window(spark, root, minute, "1m", chart.ChartRequest(WINDOW, include_replay=True, ema_lengths=(9,)), "d1")
+    steps = answer["playback"].select("symbol", "step_id", "bar_id", "close", "as_of_bar_id", "closes_display_bar")
+    return flat(steps.join(answer["ema_lines"].select("symbol", "bar_id", "ema_9"), ["symbol", "bar_id"]))
+
+
 @query
 def W11_ema_lines(spark, d):
     bars = indexed(spark, d)
