@@ -6,7 +6,7 @@ within ``CONTEXT`` characters around it raise or lower. Spans of the base kinds
 security numbers) stay from ``MIN_SCORE`` on.
 
 Spark has no function that returns the places of all matches. The text is therefore split at the pattern and the
-pieces' lengths, alternating with the matches' lengths, are summed up. The patterns take what they match possessively and
+pieces' lengths, alternating with the matches' lengths, are summed up; time grows in proportion to the matches. The patterns take what they match possessively and
 begin at the first character of a run only, which changes no match but keeps them linear on very long runs; texts without
 a needed character skip a pattern.
 
@@ -19,9 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.blocks import bound, states_before
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
 CONTEXT = 40
+PAGE = 64
 MIN_SCORE = 0.6
 
 # The pattern of each kind and a character every match has.
@@ -77,26 +80,36 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str, text: Column, hits: Column, gaps: Column) -> Column:
+def _found(kind: str, hits: Column, gaps: Column) -> Column:
     """Spans of one kind from the matches and the pieces between them."""
     number = KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,number:int,end:int,kind:string,value:string>>")
 
-    def step(state: Column, hit: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(hit)
-        span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(kind).alias("kind"), hit.alias("value"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, hit), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def spans(pairs: Column) -> Column:
+        # Places by the lengths alone: a piece between matches, then the match.
+        ends = states_before(pairs, F.lit(0), "int", lambda at, x: at + F.length(x["gap"]) + F.length(x["hit"]))
+
+        def span(x: Column, before: Column) -> Column:
+            start = before + F.length(x["gap"])
+            value = F.struct(start.alias("start"), F.lit(number).alias("number"), (start + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"))
+            return F.when(_valid(kind, x["hit"]), value)
+
+        return F.array_compact(F.zip_with(pairs, ends, span))
+
+    # Zipped outside the lambdas, so that the text is split once and not once for each match.
+    return bound(F.filter(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda x: x["hit"].isNotNull()), spans)
+
 
-    numbered = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), i.alias("i")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(numbered, start, lambda s, x: step(s, x["hit"], x["i"]), lambda s: s["spans"])
+def _near(pages: Column, start: Column, length: Column) -> Column:
+    """``length`` (at most a page) characters from ``start`` (from 0) on, out of the two pages that hold them."""
+    page = F.floor(start / PAGE).cast("int")
+    two = F.concat(F.coalesce(F.get(pages, page), F.lit("")), F.coalesce(F.get(pages, page + 1), F.lit("")))
+    return F.substring(two, start - page * PAGE + 1, length)
 
 
-def _scored(text: Column, span: Column) -> Column:
+def _scored(pages: Column, span: Column) -> Column:
     """The span with its score."""
     low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    around = F.lower(F.concat(F.substring(text, low + 1, span["start"] - low), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(CONTEXT))))
+    around = F.lower(F.concat(_near(pages, low, span["start"] - low), F.lit(" "), _near(pages, span["end"], F.lit(CONTEXT))))
     score = F.lit(0.0)
     for kind in KINDS:
         value = F.lit(SCORES[kind]) + F.when(around.rlike(RAISE[kind]), 0.3).otherwise(0.0)
@@ -120,9 +133,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", min_score: float = M
             f"{kind}_hits": F.when(may, F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")),
             f"{kind}_gaps": F.when(may, F.split("content", pattern, -1)).otherwise(F.array().cast("array<string>")),
         })
-    spans = F.concat(*[_found(kind, F.col("content"), F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")) for kind in KINDS])
+    spans = F.concat(*[_found(kind, F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")) for kind in KINDS])
     work = work.select("row", "content", spans.alias("spans"))
-    work = work.select("row", F.transform(F.array_sort("spans"), lambda s: _scored(F.col("content"), s)).alias("spans"))
+    # The text is cut into pages once; a context is taken from two of them, whatever the length of the text.
+    pages = F.when(F.size("spans") > 0, F.regexp_extract_all("content", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)))
+    seen = F.struct(pages.alias("pages"), F.array_sort("spans").alias("spans"))
+    scored = bound(seen, lambda x: F.transform(x["spans"], lambda s: _scored(x["pages"], s)))
+    work = work.select("row", scored.alias("spans"))
     stay = F.filter("spans", lambda s: (s["number"] < len(BASE_KINDS)) | (s["score"] >= min_score))
     return work.select("row.*", stay.alias("spans"))
 
