@@ -5,7 +5,9 @@ keyword, a priority, a label and a confidence; a rule runs only on texts that ho
 are resolved in two steps: one that lies inside another is suppressed (of equal ones the smaller priority number stays),
 then of two that overlap in part the smaller priority number stays, the earlier at a tie.
 
-The rules are license names, written as regular expressions, times the phrases that licenses are granted with.
+The rules are license names, written as regular expressions, times the phrases that licenses are granted with, and clauses
+of license texts and file headers, which find a pasted license without its name. A clause ranks after names that overlap it in
+part; a name inside a clause is part of it. The keyword must begin a word.
 
 Defined results: a null text is empty, has no words and no detections; every row gives one row; repeated phrases count at
 every place; other columns are kept. Places are word numbers from 0. Nothing is shuffled: a text is scanned where it lies.
@@ -16,6 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.blocks import bound, states_before
+
+FOUND = "struct<start:int,back:int,priority:int,label:string,confidence:double>"
+
 # The phrases whose every place counts, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -51,6 +57,68 @@ GRANTS = (
 )
 
 
+# Fixed values: (label, keyword, clause of the license's text or header as a regular expression over words).
+BODIES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "noninfringement", "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable"),
+    ("isc", "fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the"),
+    ("bsd-3-clause", "endorse", "neither the names? of .{1,80}? nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "publish", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "fuck", "you just do what the fuck you want to"), ("beerware", "beer", "you can buy me a beer in return"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2"),
+    ("gpl-3.0", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("gpl", "copy", "you should have received a copy of the gnu general public license along with this"),
+    ("gpl-2.0", "verbatim", "you may copy and distribute verbatim copies of the programs source code as you receive it"),
+    ("gpl-3.0", "propagate", "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable"),
+    ("gpl-3.0", "consumer", "user product is either 1 a consumer product"), ("gpl-3.0", "convey", "you may convey verbatim copies of the programs source code as you receive it"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "copy", "you should have received a copy of the gnu (?:lesser|library) general public license along with this"),
+    ("lgpl-2.1", "library", "a work that uses the library in isolation the work is not a derivative work of the library"),
+    ("lgpl-3.0", "combined", "you may convey a combined work under terms of your choice"),
+    ("agpl-3.0", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl-3.0", "remotely", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:except as stated in this section )?(?:copyright|patent) license"),
+    ("apache-2.0", "warranties", "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("mpl-1.1", "subject", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "subject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "incompatible", "this source code form is incompatible with secondary licenses as defined by the mozilla public license v 2 0"),
+    ("epl-1.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cddl-1.0", "distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("bsl-1.0", "machine", "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("artistic-2.0", "permitted", "you are permitted to use the standard version and create and use modified versions for any purpose without restriction"),
+    ("ofl-1.1", "font", "the font software may be sold as part of a larger software package but no copy of one or more of the font software"),
+    ("ofl-1.1", "reserved", "no modified version of the font software may use the reserved font name"),
+    ("postgresql", "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "deal", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("cc0-1.0", "dedicated", "has dedicated the work to the public domain by waiving all of (?:his or her|their) rights to the work"),
+    ("cc-by", "credit", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "commercial", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "remix", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("psf-2.0", "licensee", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform"),
+    ("odbl-1.0", "database", "this database is made available under the open database license"),
+    ("public-domain", "dedicate", "(?:we|i) (?:hereby )?dedicate this (?:software|work) to the public domain"),
+    ("proprietary", "prohibited", "unauthori[sz]ed copying of this file via any medium is strictly prohibited(?: proprietary and confidential)?"),
+    ("all-rights-reserved", "reserved", "all rights reserved"),
+)
+BODY_PRIORITY = 6000
+BODY_CONFIDENCE = 0.9
+
+
 def rules() -> list[tuple[str, list[tuple[int, str, str, float]]]]:
     """(keyword, [(priority, label, pattern, confidence)]); later names rank after earlier ones of the same grant."""
     by_keyword: dict[str, list[tuple[int, str, str, float]]] = {}
@@ -58,6 +126,8 @@ def rules() -> list[tuple[str, list[tuple[int, str, str, float]]]]:
         for before, after, priority, confidence in GRANTS:
             pattern = f"(?<= ){before}(?:{name}){after}(?= )"
             by_keyword.setdefault(keyword, []).append((1000 * priority + place, label, pattern, confidence))
+    for place, (label, keyword, clause) in enumerate(BODIES):
+        by_keyword.setdefault(keyword, []).append((BODY_PRIORITY + place, label, f"(?<= )(?:{clause})(?= )", BODY_CONFIDENCE))
     return sorted(by_keyword.items())
 
 
@@ -83,38 +153,40 @@ def _rule_literal() -> Column:
 
 def _detections(words: Column, rule: Column) -> Column:
     """All places of one rule as (start, minus end, priority, label, confidence), in word numbers."""
-    none = F.array().cast("array<struct<start:int,back:int,priority:int,label:string,confidence:double>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + spaces(x["gap"]) - 1
+    def one(x: Column, before: Column) -> Column:
+        start = before + spaces(x["gap"]) - 1
         end = start + spaces(x["hit"]) + 1
-        one = F.struct(start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], one).alias("found"))
+        return F.struct(start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
 
-    def all_of(split: Column) -> Column:
-        pairs = F.transform(split["hits"], lambda h, i: F.struct(h.alias("hit"), F.get(split["gaps"], i).alias("gap")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    def all_of(pairs: Column) -> Column:
+        return F.zip_with(pairs, states_before(pairs, F.lit(0), "int", lambda at, x: at + spaces(x["gap"]) + spaces(x["hit"])), one)
 
-    # An array of one element, so that both regular expression calls run once per rule.
-    split = F.struct(F.regexp_extract_all(words, rule["pattern"], F.lit(0)).alias("hits"), F.split(words, rule["pattern"], -1).alias("gaps"))
-    return F.flatten(F.transform(F.array(split), all_of))
+    # Zipped outside the lambdas, so that both regular expression calls run once per rule.
+    hits = F.regexp_extract_all(words, rule["pattern"], F.lit(0)).alias("hit")
+    gaps = F.split(words, rule["pattern"], -1).alias("gap")
+    return bound(F.filter(F.arrays_zip(hits, gaps), lambda x: x["hit"].isNotNull()), all_of)
 
 
 def _resolved(sorted_found: Column) -> Column:
     """Detections in the order (start, minus end, priority) without contained and without outranked overlapping ones."""
-    none = F.array().cast("array<struct<start:int,back:int,priority:int,label:string,confidence:double>>")
 
-    def outside(state: Column, x: Column) -> Column:
-        more = -x["back"] > state["end"]
-        return F.struct(F.greatest(state["end"], -x["back"]).alias("end"), F.when(more, F.array_append(state["kept"], x)).otherwise(state["kept"]).alias("kept"))
+    def apart(found: Column) -> Column:
+        reached = states_before(found, F.lit(-1), "int", lambda end, x: F.greatest(end, -x["back"]))
+        return F.array_compact(F.zip_with(found, reached, lambda x, end: F.when(-x["back"] > end, x)))
+
+    def clear(last: Column, x: Column) -> Column:
+        return last.isNull() | (x["start"] >= -last["back"])
 
-    def better(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        clash = (F.size(kept) > 0) & (x["start"] < -last["back"])
-        return F.when(~clash, F.array_append(kept, x)).when(x["priority"] < last["priority"], F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), x)).otherwise(kept)
+    def kept(found: Column) -> Column:
+        # Only the last one kept can overlap the next; it is settled when one comes that does not.
+        lasts = states_before(found, F.lit(None).cast(FOUND), FOUND, lambda last, x: (
+            F.when(clear(last, x) | (x["priority"] < last["priority"]), x).otherwise(last)))
+        return F.array_compact(F.zip_with(found, lasts, lambda x, last: F.when(clear(last, x), last)))
 
-    apart = F.aggregate(sorted_found, F.struct(F.lit(-1).alias("end"), none.alias("kept")), outside, lambda s: s["kept"])
-    return F.aggregate(apart, none, better)
+    # One behind all others settles the last.
+    behind = F.struct(F.lit(2**31 - 1).alias("start"), F.lit(-(2**31 - 1)).alias("back"), F.lit(0).alias("priority"), F.lit("").alias("label"), F.lit(0.0).alias("confidence"))
+    return bound(F.array_append(bound(sorted_found, apart), behind.cast(FOUND)), kept)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -124,7 +196,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     work = docs.select(F.struct(*kept).alias("row"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     work = work.withColumn("n_words", (spaces(F.col("words")) - 1).cast("long"))
 
-    present = F.filter(_rule_literal(), lambda r: F.contains(F.col("words"), r["keyword"]))
+    present = F.filter(_rule_literal(), lambda r: F.contains(F.col("words"), F.concat(F.lit(" "), r["keyword"])))
     work = work.withColumn("rules", F.flatten(F.transform(present, lambda r: r["rules"])))
 
     def place(phrase: str, label: str) -> Column:
