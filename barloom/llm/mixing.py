@@ -70,8 +70,8 @@ def _running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], am
     return cut.withColumn("__inside", inside).join(carried, [*keys, "__chunk"]).withColumn(name, F.col("__carry") + F.col("__inside")).drop("__chunk", "__carry", "__inside")
 
 
-def permuted(df: DataFrame, index: str, size: str, *key: str) -> DataFrame:
-    """Replace ``index`` by its image under a pseudorandom bijection of [0, size), one for each key.
+def permuted(df: DataFrame, index: str, size: str, *key: str, back: bool = False) -> DataFrame:
+    """Replace ``index`` by its image under a pseudorandom bijection of [0, size), one for each key; ``back`` inverts it.
 
     A swap-or-not shuffle: every round pairs x with (shift - x) mod size and swaps the pair or not by a hash of its
     larger member. It works for any size without a table and without retries.
@@ -83,7 +83,25 @@ def permuted(df: DataFrame, index: str, size: str, *key: str) -> DataFrame:
         return F.when(swap, mate).otherwise(x)
 
     # A fold keeps the expression small: written out, every round would repeat the one before several times.
-    return df.withColumn(index, F.aggregate(F.sequence(F.lit(1), F.lit(SWAP_ROUNDS)), F.col(index).cast("long"), turned))
+    # Every round is its own inverse, so the rounds in reverse order undo them all.
+    first, last = (SWAP_ROUNDS, 1) if back else (1, SWAP_ROUNDS)
+    return df.withColumn(index, F.aggregate(F.sequence(F.lit(first), F.lit(last)), F.col(index).cast("long"), turned))
+
+
+def quotas(sources: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """``sources`` with ``blocks`` and ``quota``: as many blocks as come nearest to the target, one at least.
+
+    Whole epochs take every block. Of the last, partial epoch a prefix of its permutation is taken, and only the last block
+    of a source is shorter; where it stands in that permutation tells whether the prefix holds it. So the words taken
+    are within half a block of the target, or within one block of a target that is smaller than half a block.
+    """
+    cut = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("epoch", F.expr("CAST(floor(target / source_size) AS BIGINT)"))
+    cut = cut.withColumn("rest", F.col("target") - F.col("epoch") * F.col("source_size")).withColumn("missing", F.col("blocks") * block_words - F.col("source_size"))
+    cut = permuted(cut.withColumn("seed", F.lit(seed)).withColumn("place", F.col("blocks") - 1), "place", "blocks", "nth", "epoch", "seed", back=True)
+    without = F.round(F.col("rest") / block_words)
+    part = F.when(without <= F.col("place"), without).otherwise(F.round((F.col("rest") + F.col("missing")) / block_words))
+    quota = F.when(F.col("target") > 0, F.greatest(F.col("epoch") * F.col("blocks") + part.cast("long"), F.lit(1))).otherwise(0)
+    return cut.withColumn("quota", F.coalesce(quota, F.lit(0)).cast("long")).drop("epoch", "rest", "missing", "seed", "place")
 
 
 def slots(sources: DataFrame, total: int, shard_blocks: int, seed: int) -> DataFrame:
@@ -133,12 +151,12 @@ def mix(
     """
     sized = stage(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie")))
     planned = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share)
-    sources = stage(planned.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("quota", F.round(F.col("target") / block_words).cast("long")))
+    sources = stage(quotas(planned, block_words, seed))
     total = int(sources.agg(F.sum("quota")).first()[0] or 0)
 
     chunks = groups_for(sized.count(), CHUNK_ROWS)
     known = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    words = _running(known.filter("size > 0"), ["nth"], F.pmod(F.xxhash64("doc_id"), F.lit(chunks)), ["doc_id", "size", "tie"], "size", "start")
+    words = _running(known.filter("size > 0"), ["nth"], F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks)), ["doc_id", "size", "tie"], "size", "start")
     stretch = words.select("*", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
     stretch = stretch.withColumn("word_start", F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0)))
     stretch = stretch.withColumn("word_end", F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size")))
@@ -155,16 +173,26 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 42, **options: object) -> DataFrame:
-    """``docs`` as often as the mix takes them: whole copies, the last one by chance in proportion to the words left.
+    """``docs`` as often as the mix takes them, as whole copies; other columns are kept, whatever their names.
 
-    The chance is a hash of the row, so reruns agree; over a source the copies' words add up to the words taken.
+    A document that the mix takes 1.4 times gives one copy, and its part of 0.4 of another is settled with the parts of
+    its source's documents of about its size: their running total is rounded, so that copies and words taken differ
+    by about one document of a source, and by no more than the sizes of one class differ for each ``CHUNK_ROWS`` rows beyond.
+    Rows that are equal in id, source and text are settled together.
     """
     taken, _ = mix(docs, text=text, seed=seed, **options)
-    share = taken.groupBy("doc_id", "tie").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("__share")).withColumnsRenamed({"doc_id": "__id", "tie": "__other"})
-    tagged = docs.withColumn("__tie", F.xxhash64(text))
-    same = tagged["doc_id"].eqNullSafe(share["__id"]) & (tagged["__tie"] == share["__other"])
-    joined = tagged.join(share.filter("__share > 0"), same)
-    chance = F.pmod(F.xxhash64("doc_id", "__tie", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(F.col("__share") + chance).cast("int")
-    out = joined.withColumn("__copies", copies).filter("__copies > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__nth")).drop("__nth")
+    alike = taken.groupBy("doc_id", "tie", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).filter("taken > 0")
+    # Parts in whole 2^20ths, so that their sums do not depend on the order of addition. Sizes of a class differ by a fifth.
+    parts = alike.select("*", F.expr("taken div size").alias("whole"), F.expr(f"(taken % size) * {1 << 20} div size").alias("part"))
+    parts = stage(parts.withColumn("class", F.floor(F.log2("size") * 4)))
+    chunks = groups_for(parts.count(), CHUNK_ROWS)
+    # Sources as structs, as a null source is one too and meets itself in a join.
+    chunk = F.col("class") * chunks + F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks))
+    order = ["size", "doc_id", "tie"]
+    totals = _running(parts.withColumn("named", F.struct("source")), ["named"], chunk, order, "part", "before")
+    half = 1 << 19
+    copies = F.col("whole") + F.expr(f"(before + part + {half}) div {1 << 20} - (before + {half}) div {1 << 20}")
+    settled = totals.select("doc_id", "tie", "source", copies.cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"), F.xxhash64(F.col(text)).alias("text_tie"))
+    same = rows["id"].eqNullSafe(settled["doc_id"]) & rows["from"].eqNullSafe(settled["source"]) & (rows["text_tie"] == settled["tie"])
+    return rows.join(settled, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
