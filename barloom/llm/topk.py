@@ -76,9 +76,10 @@ def top_products(table: DataFrame, queries: Column, k: int = 5, vector: str = "e
     row_blocks = groups_for(n, BLOCK_ROWS)
     query_blocks = groups_for(pivoted.filter("asks").count(), BLOCK_ROWS)
 
-    asked = pivoted.filter("asks").select("vec_id", "row", "x", "norm2", F.col("as_query").alias("d"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).alias("q"))
+    # Blocks are ints on both sides: an int and a long of one value are dealt to different tasks.
+    asked = pivoted.filter("asks").select("vec_id", "row", "x", "norm2", F.col("as_query").alias("d"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("q"))
     asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    held = again(pivoted).select("vec_id", "row", "x", "norm2", F.col("as_row").alias("d"), F.pmod(F.xxhash64("row"), F.lit(row_blocks)).alias("b"))
+    held = again(pivoted).select("vec_id", "row", "x", "norm2", F.col("as_row").alias("d"), F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("b"))
     held = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def search(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:

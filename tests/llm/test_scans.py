@@ -205,6 +205,19 @@ def test_topk_against_all_products(spark, monkeypatch, spread):
         assert sum(g.evaluated for g in got) < 0.7 * len(data) * len({g.query_id for g in got})
 
 
+def test_topk_blocks_meet_when_partitions_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    draw = np.random.default_rng(9)
+    data = [(25 * i, draw.normal(size=6).astype(np.float32).tolist()) for i in range(220)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = topk.top_products(table, F.pmod("vec_id", F.lit(50)) == 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in got) == brute_topk(data)
+
+
 def test_topk_empty_and_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_products(spark.createDataFrame([], schema), F.lit(True)).count() == 0
