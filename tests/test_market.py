@@ -202,6 +202,20 @@ def test_leg_strength_against_edges_one_by_one(spark):
     with pytest.raises(Exception, match="lacks a bar"):
         features.leg_strength(asked.withColumn("end_bar_id", asked.end_bar_id + 1), df).collect()
 
+def test_leg_strength_keeps_no_rounding_of_earlier_bars(spark):
+    n = 400
+    edges = [(i, 500 + 2 * i, True, 1e15 if i == 1 else 0.25 * (i % 3) + 0.1, 0.0, 0.1 * (i % 7), 0.0) for i in range(n)]
+    df = spark.createDataFrame([("S", "p", "1m", *e) for e in edges], "symbol string, session_profile string, timeframe string, bar_index long, bar_id long, edge_valid boolean, hl_gap double, body_gap double, hl_overlap double, body_overlap double")
+    legs = [(f"leg{k}", a, b) for k, (a, b) in enumerate([(1, 2), (2, 9), (5, 399), (40, 300), (63, 64), (31, 160), (127, 128), (200, 200), (300, 200)])]
+    asked = spark.createDataFrame([("S", "p", "1m", s, "leg_up", 500 + 2 * a, 500 + 2 * b) for s, a, b in legs], "symbol string, session_profile string, timeframe string, structure_id string, kind string, start_bar_id long, end_bar_id long")
+    for rows, levels in ((128, 3), (4, 3), (3, 2)):
+        got = {r.structure_id: r for r in features.leg_strength(asked, df, rows=rows, levels=levels).collect()}
+        for s, a, b in legs:
+            inside = edges[a + 1 : b + 1]
+            want = sum(e[3] for e in inside) - sum(e[5] for e in inside) / len(inside) if inside else 0.0
+            assert got[s].edge_count == len(inside) and got[s].score == pytest.approx(want, abs=1e-9)
+
+
 def test_dataset_round_trip(spark, tmp_path):
     bars = bars_frame(spark, random_bars(40, 1, "A") + random_bars(40, 2, "B"))
     path = str(tmp_path / "bars")
