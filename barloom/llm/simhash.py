@@ -52,7 +52,10 @@ def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """The majority bits over the XXH64 of all shingles, as an unsigned number."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0

@@ -1,4 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word-shingle sets: a prefix-filtered set join.
+"""Near copies by SimHash, and by the exact Jaccard similarity of word-shingle sets for the pairs that it leaves apart.
+
+With a ``radius`` the fingerprints within so many bits link first, by the covering tables of ``simhash``: at 4 bits pairs of a
+similarity of about 0.96. A prefix-filtered set join over what is still apart then links every pair of similarity s or more. A
+component is what both kinds of links connect.
 
 A text is the set of the XXH64 of its word shingles. Two sets of similarity s or more share at least s times the size of
 each, so, whatever the common order of the shingles, each has one of the shared ones among its first
@@ -8,8 +12,8 @@ many texts does not pair them all. Prefixes in the order of the hashes tell whic
 all shingles are counted, as the next ones of a common passage would only take the place of the first.
 
 Candidates pass three bounds that no pair at s or more fails (sizes, places of the shared shingle, parity sketches) and
-are then confirmed by intersecting the whole sets. Every bucket first tries its texts against the one with the smallest
-share of rare shingles, so that copies of an original meet the original or the copy closest to it; what that links is one
+are then confirmed by intersecting the whole sets. Every bucket first tries its texts of other components against the one with
+the smallest share of rare shingles, so that copies of an original meet the original or the copy closest to it; what that links is one
 component. Only pairs across components are tried after it, and not by a bucket's own square: the smaller text of a pair
 must have the shared shingle in a shorter prefix (n - 2s / (1 + s) * n places, a ninth at 0.8), and the place in the larger
 one bounds the size of the smaller, so rows meet by shingle and class of sizes. Texts of one passage with more than a ninth
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.simhash import one_of_each, shingle_hashes, stars
+from barloom.llm.simhash import majority, near_edges, one_of_each, shingle_hashes, stars
 from barloom.llm.stage import stage
 
 WORDS = 5
@@ -38,6 +42,7 @@ SIMILARITY = 0.8
 HOT_TEXTS = 256
 MOST_HOT = 1 << 20
 SIZE_CLASS = 1.03
+TURN_CHARS = 1 << 20
 _ROUNDING = 1e-9
 
 
@@ -46,6 +51,15 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def _turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut by their characters, so that the shingles of few texts are in memory together."""
+    for pdf in batches:
+        turn = pdf["text"].str.len().fillna(0).astype("int64").cumsum().to_numpy() // TURN_CHARS
+        cut = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(pdf)]
+        for a, z in zip(cut, cut[1:]):
+            yield pdf.iloc[a:z]
+
+
 def _is_hot(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     if not len(hot) or not len(hashes):
         return np.zeros(len(hashes), bool)
@@ -75,20 +89,25 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _prefixes(docs: DataFrame, text: str, words: int, similarity: float, hot: np.ndarray) -> DataFrame:
-    """(doc_id, tie, node, n, rare, sketch, keys), one row per row of ``docs``; ``node`` names the set, ``rare`` is the share that is not hot."""
+    """(doc_id, tie, fp, node, n, rare, sketch, keys), one row per row of ``docs``; ``fp`` is the fingerprint, ``node`` names the
+    set, ``rare`` is the share that is not hot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingle_set(t, words) for t in pdf["text"]]
+        for pdf in _turns(batches):
+            prints, sets = np.zeros(len(pdf), np.uint64), []
+            for i, t in enumerate(pdf["text"]):
+                hashes = shingle_hashes(t, words)
+                prints[i] = majority(hashes)
+                sets.append(np.unique(hashes))
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "tie": pdf["tie"],
+                "doc_id": pdf["doc_id"].to_numpy(), "tie": pdf["tie"].to_numpy(), "fp": prints.view(np.int64),
                 "node": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
                 "n": np.fromiter(map(len, sets), np.int32, len(sets)), "rare": [1.0 - float(_is_hot(s, hot).mean()) if len(s) else 0.0 for s in sets], "sketch": [sketch(s) for s in sets],
                 "keys": [prefix(s, similarity, hot).view(np.int64) for s in sets],
             })
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    made = rows.mapInPandas(run, "doc_id string, tie long, node long, n int, rare double, sketch binary, keys array<long>")
+    made = rows.mapInPandas(run, "doc_id string, tie long, fp long, node long, n int, rare double, sketch binary, keys array<long>")
     return stage(made.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -108,7 +127,7 @@ def _all_hot(docs: DataFrame, text: str, words: int, similarity: float, hot: np.
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, np.uint64)
-        for pdf in batches:
+        for pdf in _turns(batches):
             sets = [shingle_set(t, words) for t in pdf["text"]]
             yield pd.DataFrame({"keys": [s.view(np.int64) for s in sets if _is_hot(prefix(s, similarity, none), hot).any()]})
 
@@ -121,8 +140,8 @@ def _sets(docs: DataFrame, text: str, words: int, rows: DataFrame, nodes: DataFr
     """(node, hashes) of the given nodes, from one text of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "hashes": [shingle_set(t, words).view(np.int64) for t in pdf["text"]]})
+        for pdf in _turns(batches):
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "hashes": [shingle_set(t, words).view(np.int64) for t in pdf["text"]]})
 
     one = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("r")).select("node", "r.*"))
     tagged = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
@@ -174,8 +193,20 @@ def candidate_pairs(placed: DataFrame, similarity: float = SIMILARITY) -> DataFr
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, tie, root), one row per row of ``docs``; rows linked by pairs at the similarity or above share ``root``."""
+def _alike_prints(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) of sets whose fingerprints SimHash links, of rows (fp, node): each set with the smallest of its component."""
+    prints = stage(rows.select("fp", "node").distinct())
+    linked = stars(near_edges(prints.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
+    rooted = prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("v"))
+    return stage(rooted.join(least, "root").filter("node <> v").select(F.col("node").alias("u"), "v").distinct())
+
+
+def similar_components(
+    docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int | None = None
+) -> DataFrame:
+    """(doc_id, tie, root), one row per row of ``docs``; rows linked by pairs at the similarity or above, or
+    by fingerprints within ``radius``, share ``root``."""
     rows = _prefixes(docs, text, words, similarity, np.zeros(0, np.uint64))
     shared = _shared(rows)
     hot = _hot(shared, rows.agg(F.sum(F.size("keys"))).first()[0] or 0)
@@ -183,16 +214,19 @@ def similar_components(docs: DataFrame, text: str = "text", words: int = WORDS,
         hot = _all_hot(docs, text, words, similarity, hot)
         rows = _prefixes(docs, text, words, similarity, hot)
         shared = _shared(rows)
+    alike = _alike_prints(rows, radius) if radius is not None else rows.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    known = stars(alike)
     met = rows.select("node", "n", "rare", F.posexplode("keys").alias("place", "key")).join(shared.select("key"), "key")
     met = stage(met.select("key", "node", "n", "rare", "place").distinct())
     sketches = stage(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]))
 
-    # Every text of a bucket against the one with least of its own.
-    first = met.groupBy("key").agg(F.min(F.struct("rare", "node", "n")).alias("one"))
-    near = met.join(first, "key").filter(F.col("node") != F.col("one.node")).filter(_fits(F.col("n"), F.col("one.n"), similarity))
+    # Every text of a bucket against the one with least of its own, unless the fingerprints linked them.
+    rooted = met.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("key").agg(F.min(F.struct("rare", "node", "n", "root")).alias("one"))
+    near = rooted.join(first, "key").filter(F.col("root") != F.col("one.root")).filter(_fits(F.col("n"), F.col("one.n"), similarity))
     tried = _passed(near.select(F.least("one.node", "node").alias("a"), F.greatest("one.node", "node").alias("b")).distinct(), sketches, similarity)
     sets = _sets(docs, text, words, rows, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    linked = _confirmed(tried, sets, similarity)
+    linked = alike.unionByName(_confirmed(tried, sets, similarity))
 
     # Pairs of a bucket that this left in different components.
     part = stars(linked)
@@ -208,6 +242,8 @@ def similar_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     return found.select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(
+    docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the one with the smallest id (null: last)."""
-    return one_of_each(docs, similar_components(docs, text, words, similarity), text)
+    return one_of_each(docs, similar_components(docs, text, words, similarity, radius), text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, mixing, packing, quality, similar
+from barloom.llm import exact_dedup, mixing, packing, quality, simhash, similar
 from barloom.llm.queries import tokenizer_path
 from barloom.llm.stage import stage
 
@@ -25,8 +25,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (similarity of 0.8 or more on five words), the one with the smallest id."""
-    return similar.keep_one(docs)
+    """One document of each component of near copies, the one with the smallest id: SimHash fingerprints link first, an exact
+    join then adds the pairs of similarity 0.8 or more (on five words) whose fingerprints lie further apart."""
+    return similar.keep_one(docs, radius=simhash.RADIUS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,6 +216,19 @@ def test_near_copies_of_the_pipeline_reach_the_similarity(spark):
     assert (brute_print(" ".join(words)) ^ brute_print(near)).bit_count() > 4
 
 
+def test_near_copies_of_the_pipeline_link_by_simhash(spark):
+    """Texts of one passage stay below the similarity; those whose fingerprints lie within the radius are linked all the same."""
+    import corpus_pipeline
+
+    passage = " ".join(f"shared{i}" for i in range(150))
+    data = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(22)), *[None] * 7) for i in range(120)]
+    label = brute_components([simhash.fingerprint(r[1], similar.WORDS) for r in data])
+    assert 1 < len(set(label)) < len(data)
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, frame(spark, data), "").collect()}
+    assert len(kept) == len(set(label)) and len({label[i] for i in kept}) == len(kept)
+    assert similar.keep_one(frame(spark, data)).count() == len(data)
+
+
 def test_texts_of_one_passage_are_no_candidates(spark, monkeypatch):
     """Texts with a long passage in common and more than a ninth of their own cost no pairs, however many they are."""
     from barloom.llm.stage import stage
