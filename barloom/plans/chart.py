@@ -15,8 +15,13 @@ from barloom.plans.chain import StructureChain, union_all, widen_events
 from barloom.session import cut_lineage
 
 
+PARTS = ("bars", "structures", "events", "overlays", "ema_lines", "replay_base", "replay_overlays", "replay_deltas", "playback")
+
+
 @dataclass(frozen=True)
 class ChartRequest:
+    """What a chart asks for. ``parts`` names the parts of the answer to build, none: all that the other fields ask for."""
+
     window: windows.WindowSpec
     as_of_bar_id: int | None = None
     as_of_event_id: str | None = None
@@ -25,6 +30,14 @@ class ChartRequest:
     include_replay: bool = False
     seed: str = "window"
     drawings: overlays.Drawings = field(default_factory=dict)
+    parts: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if unknown := sorted({*self.parts} - {*PARTS}):
+            raise ValueError(f"Unknown chart parts {unknown}.")
+
+    def wants(self, *names: str) -> bool:
+        return not self.parts or any(n in self.parts for n in names)
 
 
 def ema_lines(
@@ -136,8 +149,14 @@ def _parts(
 ) -> dict[str, DataFrame]:
     window = windows.select_window(bars, request.window, series)
     cursor = {"as_of_bar_id": request.as_of_bar_id, "as_of_event_id": request.as_of_event_id, "series": series}
-    structures = cut_lineage(windows.structures_in_window(objects, events, window, **cursor))
+    structures = windows.structures_in_window(objects, events, window, **cursor)
     seen = windows.events_in_window(events, window, **cursor)
+    answer = {name: df for name, df in (("structures", structures), ("events", seen)) if request.wants(name)}
+    if not request.wants(*(p for p in PARTS if p not in ("structures", "events"))):
+        return answer
+    structures = cut_lineage(structures)
+    if request.wants("structures"):
+        answer["structures"] = structures
     shown = cut_lineage(windows.widen_for_anchors(bars, window, structures, series))
     span = windows.window_range(shown, series)
     version = rules.PIVOT.structure_version
@@ -147,23 +166,28 @@ def _parts(
         kept = overlays.overlays_in_window(joined, F.col("min_bar_id"), F.col("max_bar_id"), request.layers or None, request.drawings)
         return kept.drop("min_bar_id", "max_bar_id")
 
-    drawn = clipped(overlays.project_structures(structures, bars, data_version, version, series=series, drawings=request.drawings))
-    if request.as_of_bar_id is not None:
-        ghosts = overlays.project_events(
-            seen, bars, data_version, rules.PIVOT.rulebook_version, version, series=series
-        )
-        drawn = drawn.unionByName(clipped(ghosts))
-    answer = {
-        "bars": shown.drop("bar_index"), "structures": structures, "events": seen,
-        "overlays": overlays.render_keys(drawn, request.drawings),
-    }
-    if request.ema_lengths:
+    if request.wants("bars"):
+        answer["bars"] = shown.drop("bar_index")
+    if request.wants("overlays"):
+        drawn = clipped(overlays.project_structures(structures, bars, data_version, version, series=series, drawings=request.drawings))
+        if request.as_of_bar_id is not None:
+            ghosts = overlays.project_events(
+                seen, bars, data_version, rules.PIVOT.rulebook_version, version, series=series
+            )
+            drawn = drawn.unionByName(clipped(ghosts))
+        answer["overlays"] = overlays.render_keys(drawn, request.drawings)
+    if request.ema_lengths and request.wants("ema_lines"):
         answer["ema_lines"] = ema_lines(bars, shown, request.ema_lengths, request.seed, series)
     if request.include_replay and request.as_of_bar_id is None and request.as_of_event_id is None:
-        answer["replay_base"] = replay.replay_base(objects, events, bars, shown, series)
-        versions = cut_lineage(replay.overlay_versions(
-            objects, events, bars, shown, data_version, series, layers=request.layers or None, drawings=request.drawings))
-        answer["replay_overlays"] = replay.replay_overlay_base(versions, bars, shown, series)
-        answer["replay_deltas"] = replay.replay_deltas(objects, events, bars, shown, series, versions=versions)
-        answer["playback"] = replay.playback_steps(bars, shown, minute_bars, timeframe, series)
+        if request.wants("replay_base"):
+            answer["replay_base"] = replay.replay_base(objects, events, bars, shown, series)
+        if request.wants("replay_overlays", "replay_deltas"):
+            versions = cut_lineage(replay.overlay_versions(
+                objects, events, bars, shown, data_version, series, layers=request.layers or None, drawings=request.drawings))
+            if request.wants("replay_overlays"):
+                answer["replay_overlays"] = replay.replay_overlay_base(versions, bars, shown, series)
+            if request.wants("replay_deltas"):
+                answer["replay_deltas"] = replay.replay_deltas(objects, events, bars, shown, series, versions=versions)
+        if request.wants("playback"):
+            answer["playback"] = replay.playback_steps(bars, shown, minute_bars, timeframe, series)
     return answer

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from barloom import schemas
 from barloom.operators import bars as b
 from barloom.operators import continuous, derived, features, ingest, legs, lifecycle, major_lh, parity, pivots
+from barloom.operators.bars import index_bars
 from barloom.operators.windows import WindowSpec, select_window
 from barloom.plans import chain, indexes
 from barloom.session import cut_lineage, stages
@@ -167,21 +169,30 @@ def structure_job(
     every = {**kind_builders(series), **(builders or {})}
     order = in_order_of_need(every)
     with stages(spark):
-        numbered = chain.stored_index(bars, series)
+        # Numbering reads its input twice; what is numbered is stored as the dataset itself.
+        numbered = bars if "bar_index" in bars.columns else index_bars(cut_lineage(bars), series)
         datasets.write_dataset(numbered, f"{out}/bars/data", "bars")
         numbered = datasets.scan(spark, f"{out}/bars/data")
         of = {"bars": numbered, "anchors": cut_lineage(pivots.pivot_anchors(numbered, series=series))}
         reach = [indexes.extents(numbered, "bars")]
         found = {}
-        for kind in order:
-            for part, df, profile in zip(("structures", "events"), every[kind][1](of), (datasets.profile_structures, datasets.profile_events)):
-                path = f"{out}/{part}/kind_group={kind}"
-                datasets.write_dataset(df, f"{path}/data", part)
-                stored = datasets.scan(spark, f"{path}/data", schema=T.StructType([*df.schema.fields, T.StructField("year", T.LongType())]))
-                if kind not in may_be_empty or stored.head(1):
-                    datasets.write_profile(profile(stored), f"{path}/profile", {"data_version": data_version})
-                of[kind if part == "structures" else f"{kind}.events"] = stored
-                reach.append(indexes.extents(stored, part, kind))
-            found[kind] = (of[kind], of[f"{kind}.events"])
+
+        def store(kind: str, part: str, df: DataFrame, profile: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            path = f"{out}/{part}/kind_group={kind}"
+            datasets.write_dataset(df, f"{path}/data", part)
+            stored = datasets.scan(spark, f"{path}/data", schema=T.StructType([*df.schema.fields, T.StructField("year", T.LongType())]))
+            if kind not in may_be_empty or stored.head(1):
+                datasets.write_profile(profile(stored), f"{path}/profile", {"data_version": data_version})
+            return stored
+
+        # Objects and events of a kind do not need each other, so both are written at the same time.
+        parts = (("structures", datasets.profile_structures), ("events", datasets.profile_events))
+        with ThreadPoolExecutor(len(parts)) as pool:
+            for kind in order:
+                built = every[kind][1](of)
+                writes = [pool.submit(store, kind, part, df, profile) for (part, profile), df in zip(parts, built)]
+                found[kind] = tuple(w.result() for w in writes)
+                of[kind], of[f"{kind}.events"] = found[kind]
+                reach += [indexes.extents(stored, part, kind) for (part, _), stored in zip(parts, found[kind])]
         chain.union_all(reach).hint("rebalance").sortWithinPartitions("symbol", "part", "year").write.mode("overwrite").parquet(f"{out}/extents")
         return found

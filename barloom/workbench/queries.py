@@ -943,27 +943,27 @@ def W10_chart_window(spark, d):
     return flat(out)
 
 
-def stored_chart(spark, d):
-    """The answer of the chart window over the datasets that the structure job stored."""
+def stored_chart(spark, d, part):
+    """One part of the chart window's answer over the datasets that the structure job stored."""
     root = scratch(spark)
     minute = cut_lineage(feed.dense_bars(spark, d))
     jobs.structure_job(minute, root, "d1")
-    return chart.stored_chart_window(spark, root, minute, "1m", chart.ChartRequest(WINDOW, as_of_bar_id=CURSOR_BAR), "d1")
+    return chart.stored_chart_window(spark, root, minute, "1m", chart.ChartRequest(WINDOW, as_of_bar_id=CURSOR_BAR, parts=(part,)), "d1")[part]
 
 
 @query
 def W10_chart_bars(spark, d):
-    return flat(stored_chart(spark, d)["bars"], *BAR)
+    return flat(stored_chart(spark, d, "bars"), *BAR)
 
 
 @query
 def W10_chart_structures(spark, d):
-    return flat(stored_chart(spark, d)["structures"], *STRUCTURE[:7])
+    return flat(stored_chart(spark, d, "structures"), *STRUCTURE[:7])
 
 
 @query
 def W10_chart_events(spark, d):
-    rows = stored_chart(spark, d)["events"]
+    rows = stored_chart(spark, d, "events")
     return flat(rows, "symbol", "event_id", "structure_id", "kind", "event_type", "event_bar_id", "state_after_event", "start_bar_id", "end_bar_id", "confirm_bar_id", "session_id")
 
 
@@ -988,7 +988,7 @@ def W08_replay_overlay_rows(spark, d):
 @query
 def W10_chart_overlays(spark, d):
     """Overlays of all kinds and ghosts as of the cursor, from the stored datasets."""
-    return overlay_columns(stored_chart(spark, d)["overlays"]).select(
+    return overlay_columns(stored_chart(spark, d, "overlays")).select(
         "symbol", "overlay_id", "kind", "source_structure_id", "anchor_bars", "anchor_prices", "style_key", "display_label", "z_order", "tier_rank", "layer")
 
 
@@ -998,7 +998,7 @@ def W10_chart_playback(spark, d):
     root = scratch(spark)
     minute = cut_lineage(feed.dense_bars(spark, d))
     jobs.structure_job(minute, root, "d1")
-    answer = chart.stored_chart_window(spark, root, minute, "1m", chart.ChartRequest(WINDOW, include_replay=True, ema_lengths=(9,)), "d1")
+    answer = chart.stored_chart_window(spark, root, minute, "1m", chart.ChartRequest(WINDOW, include_replay=True, ema_lengths=(9,), parts=("playback", "ema_lines")), "d1")
     steps = answer["playback"].select("symbol", "step_id", "bar_id", "close", "as_of_bar_id", "closes_display_bar")
     return flat(steps.join(answer["ema_lines"].select("symbol", "bar_id", "ema_9"), ["symbol", "bar_id"]))
 

@@ -216,6 +216,17 @@ def test_stored_chart_reads_the_window_only(spark, tmp_path, chain):
         chart.stored_inputs(spark, root, windows.WindowSpec(center_bar_id=1), ["X"])
 
 
+def test_chart_builds_the_wanted_parts_only(spark, chain, monkeypatch):
+    ids = sorted(r.bar_id for r in chain.bars.where("symbol = 'X'").select("bar_id").collect())
+    request = chart.ChartRequest(windows.WindowSpec(center_bar_id=ids[70], left_bars=20, right_bars=20), ema_lengths=(5,), include_replay=True)
+    monkeypatch.setattr(chart.replay, "overlay_versions", lambda *a, **k: pytest.fail("not asked for"))
+    answer = chart.chart_window(chain, chain.bars, "1m", replace(request, parts=("playback", "ema_lines")), "d1")
+    assert sorted(answer) == ["ema_lines", "playback"] and answer["playback"].count() > 0
+    assert [*chart.chart_window(chain, chain.bars, "1m", replace(request, parts=("structures",)), "d1")] == ["structures"]
+    with pytest.raises(ValueError, match="Unknown chart parts"):
+        replace(request, parts=("lines",))
+
+
 def test_stored_chart_reaches_far_anchors_and_the_start(spark, tmp_path):
     """A leg of 5000 bars around the window, lines seeded with the history."""
     start = random_bars(140, 21)
