@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,22 +71,56 @@ def _tuples(rows: pd.DataFrame, schema: T.StructType) -> list[tuple]:
     return list(zip(*columns))
 
 
+BLOCK_ROWS = 1 << 13
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(block).read_pandas()
+
+
 class _InOrder(StatefulProcessor):
-    """Rows of a key wait one by one in a list state until the watermark has passed them; what ``work`` keeps is another
-    list, the place reached and the first waiting time are values. A batch appends its rows and reads the waiting ones only
-    when some are due."""
+    """Rows of a key wait in a map state until the watermark has passed them, as Arrow blocks of up to ``BLOCK_ROWS`` keyed by
+    their first and last time and a running number. A batch adds blocks of its own and opens those that hold a due row;
+    of them only the ones that the watermark cuts are written again, less their due rows. What ``work`` keeps is a list,
+    the place reached, the first waiting time and the next number are values."""
 
-    def __init__(self, keys: Sequence[str], order: str, work: Work, names: list[str], waiting: T.StructType, kept: T.StructType, over: str | None, own: str | None):
-        self.keys, self.order, self.work, self.names, self.waiting_schema, self.kept_schema, self.over, self.own = keys, order, work, names, waiting, kept, over, own
+    def __init__(self, keys: Sequence[str], order: str, work: Work, names: list[str], waiting: list[str], kept: T.StructType, over: str | None, own: str | None):
+        self.keys, self.order, self.work, self.names, self.waits, self.kept_schema, self.over, self.own = keys, order, work, names, waiting, kept, over, own
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.waiting = handle.getMapState("waiting", "first_ms long, last_ms long, n long", "rows binary")
         self.kept = handle.getListState("kept", self.kept_schema)
-        self.place = handle.getValueState("place", "done long, next_ms long, over_ms long")
-
-    def _frame(self, state, schema: T.StructType) -> pd.DataFrame:
-        return pd.DataFrame(list(state.get()), columns=schema.names)
+        self.place = handle.getValueState("place", "done long, next_ms long, over_ms long, n long")
+
+    def _wait(self, rows: pd.DataFrame, n: int) -> None:
+        clock = rows["clock_ms"]
+        self.waiting.updateValue((int(clock.iloc[0]), int(clock.iloc[-1]), n), (_packed(rows),))
+
+    def _due(self, mark: int) -> tuple[pd.DataFrame, int | None]:
+        """Take out the waiting rows up to ``mark``; with the first time that still waits."""
+        due, next_ms = [], None
+        for place in sorted(self.waiting.keys(), key=lambda k: k[2]):
+            first, last, n = place
+            if first <= mark:
+                block = _unpacked(self.waiting.getValue(place)[0])
+                self.waiting.removeKey(place)
+                at = int(block["clock_ms"].searchsorted(mark, side="right"))
+                due.append(block.iloc[:at])
+                if last > mark:
+                    first = int(block["clock_ms"].iloc[at])
+                    self._wait(block.iloc[at:], n)
+            if last > mark:
+                next_ms = first if next_ms is None else min(first, next_ms)
+        return pd.concat(due, ignore_index=True), next_ms
 
     def _wake(self, at: int | None) -> None:
         for timer in list(self.handle.listTimers()):
@@ -94,7 +129,7 @@ class _InOrder(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def _advance(self, key, fresh: pd.DataFrame | None, mark: int) -> Iterator[pd.DataFrame]:
-        done, next_ms, over_ms = self.place.get() if self.place.exists() else (None, None, None)
+        done, next_ms, over_ms, n = self.place.get() if self.place.exists() else (None, None, None, 0)
         if fresh is not None and self.over:
             over_ms = max(over_ms or 0, int(fresh[self.over].max()))
         if fresh is not None and done is not None:
@@ -107,23 +142,20 @@ class _InOrder(StatefulProcessor):
         if fresh is not None and len(fresh):
             first = int(fresh["clock_ms"].min())
             if next_ms is None and first <= mark and int(fresh["clock_ms"].max()) <= mark:
-                queue = fresh[self.waiting_schema.names]  # nothing waits and all are due: the state is not touched
+                queue = fresh[self.waits]  # nothing waits and all are due: the state is not touched
             else:
-                self.waiting.appendList(_tuples(fresh, self.waiting_schema))
-                queue, next_ms = None, first if next_ms is None else min(first, next_ms)
+                queue, ordered = None, fresh[self.waits].sort_values("clock_ms", kind="stable", ignore_index=True)
+                for at in range(0, len(ordered), BLOCK_ROWS):
+                    self._wait(ordered.iloc[at : at + BLOCK_ROWS], n)
+                    n += 1
+                next_ms = first if next_ms is None else min(first, next_ms)
         else:
             queue = None
         if queue is None and next_ms is not None and next_ms <= mark:
-            queue = self._frame(self.waiting, self.waiting_schema)
-            ahead = queue[queue["clock_ms"] > mark]
-            self.waiting.clear()
-            if len(ahead):
-                self.waiting.appendList(_tuples(ahead, self.waiting_schema))
-            next_ms = int(ahead["clock_ms"].min()) if len(ahead) else None
-            queue = queue[queue["clock_ms"] <= mark]
+            queue, next_ms = self._due(mark)
         if queue is not None and len(queue):
             due = queue.drop(columns="clock_ms").sort_values(self.order, kind="stable", ignore_index=True)
-            carry = self._frame(self.kept, self.kept_schema) if self.kept.exists() else None
+            carry = pd.DataFrame(list(self.kept.get()), columns=self.kept_schema.names) if self.kept.exists() else None
             out, kept = self.work(key, carry, due)
             self.kept.put(_tuples(kept, self.kept_schema))
             done = int(due[self.order].iloc[-1])
@@ -133,7 +165,7 @@ class _InOrder(StatefulProcessor):
             for state in (self.waiting, self.kept, self.place):
                 state.clear()
             return self._wake(None)
-        self.place.update((done, next_ms, over_ms))
+        self.place.update((done, next_ms, over_ms, n))
         self._wake(next_ms if next_ms is not None else over_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -163,7 +195,7 @@ def in_event_order(
     """
     names = [f.split()[0] for f in schema.split(", ")]
     clocked = rows.withColumn("clock_time", time).withWatermark("clock_time", lateness).withColumn("clock_ms", F.unix_millis("clock_time"))
-    waiting = T.StructType([f for f in clocked.schema.fields if f.name not in (*keys, "clock_time", over)])
+    waiting = [c for c in clocked.columns if c not in (*keys, "clock_time", over)]
     processor = _InOrder(list(keys), order, work, names, waiting, T.StructType([clocked.schema[c] for c in kept.split(", ")]), over, own)
     return clocked.groupBy(*keys).transformWithStateInPandas(processor, f"{schema}, {LATE} boolean", "append", "EventTime")
 
@@ -199,13 +231,13 @@ def live_tick_deltas(ticks: DataFrame, time: Column, lateness: str = "2 minutes"
     )
 
 
-def _pivot_id(kind: str, bar: int, tier: rules.PivotTier, scope: str | None) -> str:
-    identity = {
-        "anchor_bar_ids": [bar], "kind": kind, "rulebook_version": tier.rulebook_version, "scope_ref": scope,
-        "start_bar_id": bar, "structure_version": tier.structure_version,
-    }
-    text = json.dumps(identity, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return f"{kind}-{bar}-{hashlib.sha256(text.encode('utf-8')).hexdigest()[:16]}"
+def _pivot_ids(kind: str, bars: Sequence[int], tier: rules.PivotTier, scope: str | None) -> list[str]:
+    """T14 for pivots: the anchor and the start are the same bar, and the rest of the text is written once."""
+    plain = lambda **fields: json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False)[1:-1]
+    fixed = plain(kind=kind, rulebook_version=tier.rulebook_version, scope_ref=scope)
+    end = plain(structure_version=tier.structure_version)
+    texts = (f'{{"anchor_bar_ids":[{bar}],{fixed},"start_bar_id":{bar},{end}}}' for bar in bars)
+    return [f"{kind}-{bar}-{hashlib.sha256(text.encode('utf-8')).hexdigest()[:16]}" for bar, text in zip(bars, texts)]
 
 
 def live_pivot_events(
@@ -248,9 +280,12 @@ def live_pivot_events(
         found = found[(found["by"] >= new) & view["own"].to_numpy(bool)[np.minimum(found["by"].to_numpy(int), n - 1)]]
         bar = view["bar_id"].to_numpy()
         start, cause = bar[found["at"].to_numpy(int)], bar[found["by"].to_numpy(int)]
+        replaced = (found["event_type"] == "replaced").to_numpy()
+        successor = np.full(len(found), None, dtype=object)
+        successor[replaced] = _pivot_ids(kind, cause[replaced].tolist(), tier, scope)
         return found.assign(
-            kind=kind, start_bar_id=start, event_bar_id=cause, structure_id=[_pivot_id(kind, int(x), tier, scope) for x in start],
-            successor_structure_id=[_pivot_id(kind, int(x), tier, scope) if t == "replaced" else None for x, t in zip(cause, found["event_type"])],
+            kind=kind, start_bar_id=start, event_bar_id=cause, structure_id=_pivot_ids(kind, start.tolist(), tier, scope),
+            successor_structure_id=successor,
         )
 
     def work(key, carry: pd.DataFrame | None, fresh: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:

@@ -1,8 +1,13 @@
 import glob
+import json
 from dataclasses import replace
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom import rules
 from barloom.operators import lifecycle, overlays, pivots, replay, windows
@@ -168,6 +173,74 @@ def test_live_pivots_equal_batch(spark, tmp_path, stray, stretch, reach):
     assert pivot_rows(live.on_time(got)) == pivot_rows(pivots.pivot_events(pivots.pivot_anchors(bars, [rules.PIVOT])))
 
 
+def test_waiting_rows_are_stored_as_blocks(spark, tmp_path, monkeypatch):
+    """The state is written block by block: a row that waits costs no state row of its own."""
+    bars = bars_frame(spark, random_bars(900, 33))
+    stream = feed(spark, bars, tmp_path, "bar_id", 60, bars_frame(spark, [{"bar_id": 10_000_000}], "~"))
+    written, late_rows = [], live.late_rows
+    monkeypatch.setattr(live, "late_rows", lambda q: written.extend(json.loads(p.json)["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress) or late_rows(q))
+    got = live.drain(live.live_pivot_events(stream, rules.PIVOT, lateness="100 minutes"), "p", "append", str(tmp_path))
+    assert pivot_rows(live.on_time(got)) == pivot_rows(pivots.pivot_events(pivots.pivot_anchors(bars, [rules.PIVOT])))
+    assert written and max(written) < 20
+
+
+class Held:
+    """A state handle in memory, of one key; ``opened`` counts the rows of the values that were read."""
+
+    def __init__(self):
+        self.entries, self.value, self.rows, self.opened = {}, None, [], 0
+
+    def getMapState(self, name, key, value):
+        return SimpleNamespace(
+            keys=lambda: iter(list(self.entries)), updateValue=self.entries.__setitem__, removeKey=self.entries.pop, clear=self.entries.clear, getValue=self.open)
+
+    def open(self, key):
+        self.opened += len(live._unpacked(self.entries[key][0]))
+        return self.entries[key]
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(get=lambda: iter(self.rows), put=lambda v: setattr(self, "rows", v), exists=lambda: bool(self.rows), clear=lambda: self.rows.clear())
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), exists=lambda: self.value is not None, clear=lambda: setattr(self, "value", None))
+
+    def listTimers(self):
+        return iter(())
+
+    def deleteTimer(self, at): ...
+
+    def registerTimer(self, at): ...
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_blocks_that_the_watermark_cuts(monkeypatch, block):
+    """Any order of arrival and any marks: every row once and in order, nulls kept, and a batch opens only blocks with due rows."""
+    monkeypatch.setattr(live, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(block)
+    rows = pd.DataFrame({"at": np.arange(400)})
+    rows = rows.assign(clock_ms=rows["at"] * 1000, v=np.where(rows["at"] % 5 == 0, np.nan, rows["at"] * 0.5), name=np.where(rows["at"] % 3 == 0, None, "a"))
+    held, seen = Held(), []
+
+    def work(key, carry, fresh):
+        assert (carry is None) == (not seen) and (carry is None or carry["at"].iloc[0] == seen[-1]["at"].iloc[-1])
+        seen.append(fresh)
+        return fresh[["at"]], fresh.iloc[-1:][["at"]]
+
+    kept = T.StructType([T.StructField("at", T.LongType())])
+    processor = live._InOrder(["k"], "at", work, ["at"], list(rows.columns), kept, None, None)
+    processor.init(held)
+    arrives, mark, batches = rows["at"] + rng.integers(0, 60, 400), 0, 20
+    for b in range(batches):
+        batch = rows[arrives // 25 == b].sample(frac=1, random_state=b)
+        mark = max(mark, (b * 25 - 60) * 1000 + int(rng.integers(0, 9_000)))
+        list(processor._advance(("k",), batch if len(batch) else None, mark))
+        assert all(first > mark for first, _, _ in held.entries)
+    list(processor._advance(("k",), None, 400_000))
+    pd.testing.assert_frame_equal(pd.concat(seen, ignore_index=True), rows.drop(columns="clock_ms"))
+    # A block is cut by a few marks at most, whatever waits behind it.
+    assert not held.entries and held.opened <= 400 + batches * 4 * block
+
+
 def test_rows_later_than_declared_are_an_error(spark, tmp_path):
     bars = bars_frame(spark, random_bars(120, 31))
     stream = feed(spark, bars, tmp_path, "bar_id", 150)
