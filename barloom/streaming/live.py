@@ -130,6 +130,8 @@ class _InOrder(StatefulProcessor):
 
     def _advance(self, key, fresh: pd.DataFrame | None, mark: int) -> Iterator[pd.DataFrame]:
         done, next_ms, over_ms, n = self.place.get() if self.place.exists() else (None, None, None, 0)
+        if fresh is not None and fresh["clock_ms"].isna().any():
+            raise ValueError(f"Rows without a time have no place before the watermark, among them {self.order} {fresh.loc[fresh['clock_ms'].isna(), self.order].iloc[0]}.")
         if fresh is not None and self.over:
             over_ms = max(over_ms or 0, int(fresh[self.over].max()))
         if fresh is not None and done is not None:
@@ -188,7 +190,7 @@ def in_event_order(
     rows stop is woken by a timer. ``work(key, carry, fresh)`` gets what it kept (None at first) and the rows that became
     due, and returns output rows and what to keep, rows of the columns ``kept``. ``order`` follows ``time`` up to the
     lateness. Spark leaves out rows behind the watermark and counts them (``late_rows``); a row ahead of it whose place in
-    the order was passed comes out once with ``late`` true, its keys and its order column. ``over`` names a column of
+    the order was passed comes out once with ``late`` true, its keys and its order column. A row without a time is an error. ``over`` names a column of
     milliseconds after which a key has no more rows, so that its state can go; ``own`` one that is false for copies.
 
     Columns must not begin with an underscore, as Spark renames those in the state. The query needs the state store of ``STATE_CONF``, as ``drain`` sets it.

@@ -241,6 +241,14 @@ def test_blocks_that_the_watermark_cuts(monkeypatch, block):
     assert not held.entries and held.opened <= 400 + batches * 4 * block
 
 
+def test_rows_without_a_time_are_an_error():
+    """The watermark never passes them, so they would wait for nothing."""
+    processor = live._InOrder(["k"], "at", lambda *_: None, ["at"], ["at", "clock_ms"], T.StructType([]), None, None)
+    processor.init(Held())
+    with pytest.raises(ValueError, match="among them at 2"):
+        list(processor._advance(("k",), pd.DataFrame({"at": [1, 2], "clock_ms": [1000, None]}), 0))
+
+
 def test_rows_later_than_declared_are_an_error(spark, tmp_path):
     bars = bars_frame(spark, random_bars(120, 31))
     stream = feed(spark, bars, tmp_path, "bar_id", 150)
