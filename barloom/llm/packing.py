@@ -32,73 +32,66 @@ MAX_TOKENS = 2048
 MAX_DOCUMENTS = 2048
 WEIGHTS = (1.0, 0.01, 0.01)
 GROUP_PIECES = 1 << 16
-CACHE_ENTRIES = 1 << 19  # in each of two generations
+CACHE_ENTRIES = 1 << 18
 TURN_CHARS = 1 << 22
 POINTS = ".,;:!?"
 END_ID = 0
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit numbers, with the end id appended.
-
-    The tokenizer never joins anything across a space, so the parts between spaces are encoded on their own and
-    remembered. It lowers letters, so ASCII texts are lowered as a whole first, unless they may hold a special token. A new
-    ASCII part of letters with points behind is a word and a run of points to the tokenizer; only the word goes to its
-    model. A batch of texts is split and its parts are numbered by Arrow; ids are then gathered by number, with no step of
-    Python per word. When the cache is full, entries used since then move to a new one.
+    """Token ids of texts as unsigned 32-bit numbers, with the end id appended.
+
+    The tokenizer never joins anything across white space or from a letter to a point behind it, so the parts between are
+    encoded on their own and remembered. It lowers letters; texts of characters below U+0100, which its normalisation
+    leaves as they are, are lowered as a whole first, unless they may hold a special token. A part of such letters is one word
+    to the tokenizer and goes straight to its model. Arrow splits a batch, numbers its distinct parts, finds the known ones and
+    gathers the ids, with a step of Python for new parts only. Words and ids are two Arrow arrays; when they are full, those
+    of the batch at hand stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, part: str) -> bytes:
-        return np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model(word)], "<u4").tobytes()
-
-    def _new(self, part: str) -> bytes:
-        if part.isascii():
-            word = part.rstrip(POINTS)
-            if word.isalpha():
-                return self._word(word.lower()) if len(word) == len(part) else self._found(word) + self._found(part[len(word):])
-        return self._whole(part)
-
-    def _found(self, part: str) -> bytes:
-        ids = self.known.get(part) or self.older.get(part)
-        if ids is None:
-            ids = self._new(part)
-        if len(self.known) >= CACHE_ENTRIES:
-            self.older, self.known = self.known, {}
-        self.known[part] = ids
-        return ids
-
-    def _known(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        return self._found(part) if ids is None else ids
-
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        # No part is a space: it stands for the end.
+        self.words, self.ids = pa.array([" "], pa.string()), pa.array([[END_ID]], pa.large_list(pa.uint32()))
+
+    def _new(self, part: str) -> list[int]:
+        if part.isalpha():
+            if part.isascii():
+                return [t.id for t in self.model(part.lower())]
+            if max(part) < "\u0100":
+                return [t.id for t in self.model(part.lower().translate(self.bytes))]
+        return self.encode(part, add_special_tokens=False).ids
+
+    def _places(self, parts: pa.Array) -> pa.Array:
+        """Where the distinct ``parts`` stand among the known words; new ones are added."""
+        places = pc.index_in(parts, self.words)
+        if len(self.words) > CACHE_ENTRIES:
+            kept = pa.concat_arrays([pa.array([0], pa.int32()), places.drop_null()])
+            self.words, self.ids = self.words.take(kept), self.ids.take(kept)
+            places = pc.index_in(parts, self.words)
+        new = parts.filter(places.is_null())
+        found = pa.array([self._new(p) for p in new.to_pylist()], self.ids.type)
+        added = np.cumsum(places.is_null().to_numpy(zero_copy_only=False)) + len(self.words) - 1
+        self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, found])
+        return pc.coalesce(places, pa.array(added, pa.int32()))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends. Every distinct part is looked up once."""
-        lowered = [t.lower() if t.isascii() and "<|" not in t else t for t in (t or "" for t in texts)]
-        parts = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+        texts = pc.fill_null(texts, "")
+        lowered = pc.if_else(pc.match_substring_regex(texts, "[^\\x00-\\xFF]|<\\|"), texts, pc.utf8_lower(texts))
+        spaced = pc.replace_substring_regex(pc.replace_substring_regex(lowered, "[\\t-\\r]", " "), f"(\\pL)([{POINTS}])", "\\1 \\2")
+        parts = pc.split_pattern(spaced, " ")
         coded = parts.flatten().dictionary_encode()
-        get = self.known.get
-        found = [get(p) or self._known(p) for p in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        size = np.r_[size, 1]  # the end id is one more part
-        table = np.r_[np.frombuffer(b"".join(found), "<u4"), np.uint32(END_ID)]
-        last = parts.offsets.to_numpy()[1:]
-        codes = np.insert(coded.indices.to_numpy(), last, len(found))
-        count = size[codes]
-        after = np.cumsum(count)
-        shift = (np.cumsum(size) - size)[codes] - (after - count)
-        ids = table[np.repeat(shift, count) + np.arange(after[-1] if len(after) else 0)]
-        return ids.astype("<u4", copy=False), after[last + np.arange(len(last))]
+        last = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        codes = np.insert(self._places(coded.dictionary).take(coded.indices).to_numpy(), last, 0)
+        found = self.ids.take(pa.array(codes))
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[1:][last + np.arange(len(last))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -121,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", max_tokens:
             size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             turn = np.cumsum(size) // TURN_CHARS
             for stop in [*(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows] if batch.num_rows else []:
-                ids, ends = encoder(tokenizer_path).batch(column.slice(at, stop - at).to_pylist())
+                ids, ends = encoder(tokenizer_path).batch(column.slice(at, stop - at))
                 length = np.diff(ends, prepend=0)
                 pieces = -(-length // max_tokens)
                 doc = np.repeat(np.arange(stop - at), pieces)
@@ -129,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", max_tokens:
                 start = nth * max_tokens
                 kept = np.minimum(length[doc] - start, max_tokens)
                 first = (ends - length)[doc] + start
-                raw = memoryview(ids.tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 cut = [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + kept).tolist())]
                 columns = [
                     pa.array([f"{named}-{at + i}" for i in doc.tolist()], pa.string()), batch.column(0).slice(at, stop - at).take(pa.array(doc)),

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,38 @@ def test_pieces_against_the_tokenizer(spark):
         assert at <= 256
 
 
+ODD = [
+    "Une été maison. Été\tmaison, MAISON! été? Maison", "it's. IT'S... they're, o'clock 'tis 'S", "3.5, a1.b2; x.&&& &. $$$. l'été.",
+    "ÀÞ ÿ ß ª º µ «été» naïve.Café", "H\u0331. h\u0331 \u0130stanbul ΣΑΣ. Ünïcode\u2019s été. MAISON.", "a\u0085b c\u00a0d.\x1ce \x00f. g\ufeffh",
+    "an <|endoftext|>. <|ENDOFTEXT|> End.<|startoftext|>Été.", "", None, " ", ".", "...", "日本。 語. été", "a\r\nb.\x0bc\x0c d",
+]
+
+
+def test_encoder_against_the_tokenizer_with_a_small_table(monkeypatch):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 5)
+    coder = packing.Encoder(tokenizer_path())
+    for texts in [ODD, ODD[::-1], *[[t] for t in ODD], ODD]:
+        # A slice, as turns of a batch are.
+        ids, ends = coder.batch(pa.array(["before", *texts]).slice(1))
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+        assert got == [encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    coder.batch(pa.array(["one two"]))
+    assert sorted(coder.words.to_pylist()) == [" ", "one", "two"]
+
+
+def test_encoder_meets_a_word_once_in_any_form():
+    coder, met = packing.Encoder(tokenizer_path()), []
+    model, whole = coder.model, coder.encode
+    coder.model = lambda word: met.append(word) or model(word)
+    coder.encode = lambda part, **more: met.append(part) or whole(part, **more)
+    for _ in range(2):
+        coder.batch(pa.array(["Une été maison. Été\nmaison, MAISON! Été?\tune"]))
+    assert len(met) == 3 + 4
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 def test_packing_keeps_every_capacity(rule):
     lengths = np.random.default_rng(4).integers(1, 400, 700)
