@@ -148,14 +148,14 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return usual.unionByName(hot.groupBy("t", "key", "a", "b").applyInPandas(tile, "u long, v long")).distinct()
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Edges (u, v) to (node, root): every node of a component but the smallest, with the smallest.
 
     Alternates two steps until nothing changes: a node hands its smallest neighbour to its larger neighbours, then to
-    its smaller ones. A round is written to the shared folder; only its row count and checksum come to the driver.
+    its smaller ones. A round is written to the shared folder; only its row count and checksum come to the driver. ``rows``: about how many edges at most, if known.
     """
     both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-    now = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     before = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
@@ -167,7 +167,7 @@ def stars(edges: DataFrame) -> DataFrame:
         larger = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        after = stage(smaller.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
+        after = stage(smaller.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), mark[0])
         drop(now)
         now = after
 

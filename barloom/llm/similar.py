@@ -26,7 +26,7 @@ one shingle; a null ``doc_id`` and repeated rows as in ``simhash``; an empty tab
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,6 +60,11 @@ def _turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[a:z]
 
 
+def _lists(sets: Iterable[np.ndarray]) -> pd.Series:
+    """Sets as a column of longs; one without rows is a column of lists too, which Arrow asks for."""
+    return pd.Series([s.view(np.int64) for s in sets], dtype=object)
+
+
 def _is_hot(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     if not len(hot) or not len(hashes):
         return np.zeros(len(hashes), bool)
@@ -103,7 +108,7 @@ def _prefixes(docs: DataFrame, text: str, words: int, similarity: float, hot: np
                 "doc_id": pdf["doc_id"].to_numpy(), "tie": pdf["tie"].to_numpy(), "fp": prints.view(np.int64),
                 "node": np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64),
                 "n": np.fromiter(map(len, sets), np.int32, len(sets)), "rare": [1.0 - float(_is_hot(s, hot).mean()) if len(s) else 0.0 for s in sets], "sketch": [sketch(s) for s in sets],
-                "keys": [prefix(s, similarity, hot).view(np.int64) for s in sets],
+                "keys": _lists(prefix(s, similarity, hot) for s in sets),
             })
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
@@ -129,21 +134,21 @@ def _all_hot(docs: DataFrame, text: str, words: int, similarity: float, hot: np.
         none = np.zeros(0, np.uint64)
         for pdf in _turns(batches):
             sets = [shingle_set(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"keys": [s.view(np.int64) for s in sets if _is_hot(prefix(s, similarity, none), hot).any()]})
+            yield pd.DataFrame({"keys": _lists(s for s in sets if _is_hot(prefix(s, similarity, none), hot).any())})
 
     keys = docs.select(F.col(text).alias("text")).mapInPandas(run, "keys array<long>").select(F.explode("keys").alias("key"))
     counts = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > HOT_TEXTS))
     return np.union1d(hot, _hot(counts, counts.agg(F.sum("texts")).first()[0] or 0))
 
 
-def _sets(docs: DataFrame, text: str, words: int, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes) of the given nodes, from one text of each."""
+def _sets(docs: DataFrame, text: str, words: int, rows: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(node, hashes) of the given nodes, ``most`` at most, from one text of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _turns(batches):
-            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "hashes": [shingle_set(t, words).view(np.int64) for t in pdf["text"]]})
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(), "hashes": _lists(shingle_set(t, words) for t in pdf["text"])})
 
-    one = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("r")).select("node", "r.*"))
+    one = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("r")).select("node", "r.*"), most)
     tagged = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     found = tagged.join(one, (tagged["tie"] == one["tie"]) & tagged["__id"].eqNullSafe(one["doc_id"])).select("node", "text")
     return stage(found.mapInPandas(run, "node long, hashes array<long>").dropDuplicates(["node"]))
@@ -153,8 +158,8 @@ def _fits(n_a: Column, n_b: Column, similarity: float) -> Column:
     return F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b) - _ROUNDING
 
 
-def _passed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those that the sketches leave possible."""
+def _passed(pairs: DataFrame, sketches: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """Of the pairs (a, b), ``most`` at most if known, those that the sketches leave possible."""
     part = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +168,7 @@ def _passed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
             yield pdf[least <= part * (pdf["n_a"] + pdf["n_b"]) + _ROUNDING][["a", "b"]]
 
     of = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    return stage(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(run, "a long, b long"))
+    return stage(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(run, "a long, b long"), most)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -193,13 +198,13 @@ def candidate_pairs(placed: DataFrame, similarity: float = SIMILARITY) -> DataFr
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def _alike_prints(rows: DataFrame, radius: int) -> DataFrame:
+def _alike_prints(rows: DataFrame, radius: int, texts: int) -> DataFrame:
     """Edges (u, v) of sets whose fingerprints SimHash links, of rows (fp, node): each set with the smallest of its component."""
-    prints = stage(rows.select("fp", "node").distinct())
-    linked = stars(near_edges(prints.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
+    prints = stage(rows.select("fp", "node").distinct(), texts)
+    linked = stars(near_edges(prints.select("fp").distinct(), radius), texts).select(F.col("node").alias("fp"), "root")
     rooted = prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("node").alias("v"))
-    return stage(rooted.join(least, "root").filter("node <> v").select(F.col("node").alias("u"), "v").distinct())
+    return stage(rooted.join(least, "root").filter("node <> v").select(F.col("node").alias("u"), "v").distinct(), texts)
 
 
 def similar_components(
@@ -209,36 +214,38 @@ def similar_components(
     by fingerprints within ``radius``, share ``root``."""
     rows = _prefixes(docs, text, words, similarity, np.zeros(0, np.uint64))
     shared = _shared(rows)
-    hot = _hot(shared, rows.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    texts, total = rows.agg(F.count(F.lit(1)), F.sum(F.size("keys"))).first()
+    hot = _hot(shared, total or 0)
     if len(hot):
         hot = _all_hot(docs, text, words, similarity, hot)
         rows = _prefixes(docs, text, words, similarity, hot)
         shared = _shared(rows)
-    alike = _alike_prints(rows, radius) if radius is not None else rows.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    known = stars(alike)
+    alike = _alike_prints(rows, radius, texts) if radius is not None else rows.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    known = stars(alike, texts)
     met = rows.select("node", "n", "rare", F.posexplode("keys").alias("place", "key")).join(shared.select("key"), "key")
     met = stage(met.select("key", "node", "n", "rare", "place").distinct())
-    sketches = stage(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]))
+    places = met.count()
+    sketches = stage(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), texts)
 
     # Every text of a bucket against the one with least of its own, unless the fingerprints linked them.
     rooted = met.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("key").agg(F.min(F.struct("rare", "node", "n", "root")).alias("one"))
     near = rooted.join(first, "key").filter(F.col("root") != F.col("one.root")).filter(_fits(F.col("n"), F.col("one.n"), similarity))
-    tried = _passed(near.select(F.least("one.node", "node").alias("a"), F.greatest("one.node", "node").alias("b")).distinct(), sketches, similarity)
-    sets = _sets(docs, text, words, rows, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    tried = _passed(near.select(F.least("one.node", "node").alias("a"), F.greatest("one.node", "node").alias("b")).distinct(), sketches, similarity, places)
+    sets = _sets(docs, text, words, rows, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
     linked = alike.unionByName(_confirmed(tried, sets, similarity))
 
     # Pairs of a bucket that this left in different components.
-    part = stars(linked)
+    part = stars(linked, places)
     placed = met.join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    placed = stage(placed.join(open_keys, "key", "left_semi"))
+    placed = stage(placed.join(open_keys, "key", "left_semi"), places)
     rest = _passed(candidate_pairs(placed, similarity).join(tried, ["a", "b"], "left_anti"), sketches, similarity)
     wanted = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = _sets(docs, text, words, rows, wanted.join(sets, "node", "left_anti"))
+    more = _sets(docs, text, words, rows, wanted.join(sets, "node", "left_anti"), texts)
     linked = linked.unionByName(_confirmed(rest, sets.unionByName(more), similarity))
 
-    found = rows.select("doc_id", "tie", "node").join(stars(linked), "node", "left")
+    found = rows.select("doc_id", "tie", "node").join(stars(linked, places), "node", "left")
     return found.select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
 
 

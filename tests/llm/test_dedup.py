@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barloom.llm import exact_dedup, simhash, similar, substring_dedup
+from barloom.llm.stage import stage
 
 from .fixtures import frame, rows
 
@@ -245,3 +246,23 @@ def test_texts_of_one_passage_are_no_candidates(spark, monkeypatch):
         kept = {r.doc_id for r in similar.keep_one(frame(spark, data)).collect()}
         assert kept == ({0} if pure else {*range(n)})
         assert met[-1].count() <= 20
+
+
+def test_near_copies_where_some_texts_hold_no_hot_phrase(spark, monkeypatch):
+    # Partitions without a text of the phrase answer with no rows at all.
+    monkeypatch.setattr(similar, "HOT_TEXTS", 3)
+    phrase = " ".join(f"p{i}" for i in range(40))
+    data = [(i, f"{phrase} {i}", "en", "s", 1, None, None, None, None) for i in range(8)]
+    data += [(100 + i, " ".join(f"w{i}x{k}" for k in range(30)), "en", "s", 1, None, None, None, None) for i in range(24)]
+    kept = {r.doc_id for r in similar.keep_one(frame(spark, data)).collect()}
+    assert kept == {0, *range(100, 124)}
+
+
+def test_stage_of_few_rows_is_few_files(spark):
+    many = spark.range(1000).repartition(50, "id")
+    assert len(stage(many, 1000).inputFiles()) == 1
+    assert sorted(r.id for r in stage(many, 1000).collect()) == list(range(1000))
+    edges = spark.range(200).select(F.col("id").alias("u"), F.pmod("id", F.lit(7)).alias("v"))
+    linked = simhash.stars(edges.repartition(50, "u"))
+    assert len(linked.inputFiles()) == 1
+    assert {(r.node, r.root) for r in linked.collect()} == {(i, i % 7) for i in range(7, 200)}
