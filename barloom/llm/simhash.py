@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.stage import drop, groups_for, stage
+from barloom.llm.stage import drop, groups_for, shuffled, stage
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -120,7 +120,7 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks(radius))])
     dealt = nodes.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
     shared = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stage(dealt.join(shared, ["t", "key"]))
+    met = stage(shuffled(dealt).join(shared, ["t", "key"]))
 
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "key", "fp"], ignore_index=True)
@@ -162,7 +162,7 @@ def stars(edges: DataFrame, rows: int | None = None) -> DataFrame:
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = mark
-        around = now.select(F.explode(both).alias("e")).select("e.u", "e.v")
+        around = shuffled(now.select(F.explode(both).alias("e")).select("e.u", "e.v"), 2 * mark[0])
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         larger = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))

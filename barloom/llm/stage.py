@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.session import shared_folder
 
 FILE_ROWS = 1 << 15
+BROADCAST_ROWS = 1 << 18
 
 
 def _folder(spark: SparkSession) -> str:
@@ -37,6 +38,13 @@ def stage(df: DataFrame, rows: int | None = None) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` for a join with another large table, that Spark must not broadcast. Spark takes a table for as large as its files, and
+    an explode for as large as its input, so a table of any size may look small; broadcast, all of it goes through the driver.
+    ``rows``: about how many rows it has at most, if known; a few are left to Spark's choice."""
+    return df if rows is not None and rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def again(df: DataFrame) -> DataFrame:
     """The same stage as a relation of its own, for grouping it together with itself."""
     return df.sparkSession.read.schema(df.schema).parquet(df._stage_path)

@@ -266,3 +266,51 @@ def test_stage_of_few_rows_is_few_files(spark):
     linked = simhash.stars(edges.repartition(50, "u"))
     assert len(linked.inputFiles()) == 1
     assert {(r.node, r.root) for r in linked.collect()} == {(i, i % 7) for i in range(7, 200)}
+
+
+def broadcast_alone(plan):
+    """What a plan broadcasts by Spark's guess of its size: the lines below a broadcast, down to what is shuffled and so measured."""
+    depth = lambda line: re.search(r"[A-Za-z*]", line).start()
+    lines, parts = [x for x in plan.splitlines() if re.search("[A-Za-z]", x)], []
+    for i, line in enumerate(lines):
+        if "- BroadcastExchange" in line:
+            parts.append([])
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line) or "- Exchange" in below:
+                    break
+                parts[-1].append(below)
+    return ["\n".join(p) for p in parts]
+
+
+def staged_plans(monkeypatch, *modules):
+    plans = []
+
+    def seen(df, rows=None):
+        plans.append(plan_of(df))
+        return stage(df, rows)
+
+    for module in modules:
+        monkeypatch.setattr(module, "stage", seen)
+    return plans
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_exploded_fingerprints_are_broadcast(spark, monkeypatch):
+    """Spark takes an explode for as large as its input: 31 rows for each fingerprint went through the driver's memory."""
+    plans = staged_plans(monkeypatch, simhash)
+    assert not simhash.near_edges(stage(spark.range(300).select(F.xxhash64("id").alias("fp")))).count()
+    assert not [p for plan in plans for p in broadcast_alone(plan) if "Generate" in p]
+
+
+def test_many_edges_are_not_broadcast(spark, monkeypatch):
+    from barloom.llm import stage as stages
+
+    monkeypatch.setattr(stages, "BROADCAST_ROWS", 100)
+    plans = staged_plans(monkeypatch, simhash)
+    linked = simhash.stars(spark.range(200).select(F.col("id").alias("u"), F.pmod("id", F.lit(7)).alias("v")))
+    assert {(r.node, r.root) for r in linked.collect()} == {(i, i % 7) for i in range(7, 200)}
+    assert not [p for plan in plans for p in broadcast_alone(plan) if "Generate" in p]
+    assert any("SortMergeJoin" in plan for plan in plans)
