@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.stage import groups_for, stage
+from barloom.llm.stage import groups_for, shuffled, stage
 
 SHARD_DIGESTS = 1 << 17
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -138,7 +138,7 @@ def exact_groups(docs: DataFrame, batch: Column, text: str = "text", digest: Col
 
     # Positives meet the snapshot's exact bucket; a false positive finds no equal digest there.
     bucket = held.select(F.col("batch").alias("snapshot"), "key", F.col("digest").alias("stored"))
-    true = positive.join(held.select("batch", "key", "digest"), ["batch", "key"]).join(bucket, ["snapshot", "key"])
+    true = positive.join(shuffled(held.select("batch", "key", "digest")), ["batch", "key"]).join(shuffled(bucket), ["snapshot", "key"])
     known = stage(true.filter("digest = stored").select("digest").distinct())
     merged = held.join(known, "digest", "left_semi").groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     alone = held.join(known, "digest", "left_anti").select("digest", "keep_id", F.col("n").alias("group_size"))

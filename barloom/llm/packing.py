@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.stage import groups_for, stage
+from barloom.llm.stage import groups_for, shuffled, stage
 
 MAX_TOKENS = 2048
 MAX_DOCUMENTS = 2048
@@ -200,4 +200,4 @@ def pack(
     placed = short.select("row", "piece", "length").groupBy(group).applyInPandas(run, "row string, piece int, sequence_id long, offset long")
     # Full pieces take negative numbers: they need no group.
     full = cut.filter(F.col("length") >= max_tokens).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return short.join(placed, ["row", "piece"]).unionByName(full).drop("row")
+    return shuffled(short).join(placed, ["row", "piece"]).unionByName(full).drop("row")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.simhash import majority, near_edges, one_of_each, shingle_hashes, stars
-from barloom.llm.stage import stage
+from barloom.llm.stage import shuffled, stage
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -192,7 +192,7 @@ def candidate_pairs(placed: DataFrame, similarity: float = SIMILARITY) -> DataFr
     low, high = similarity * n - _ROUNDING, F.least(n.cast("double"), left / part - n + _ROUNDING)
     classes = F.when(low <= high, F.sequence(_size_class(F.ceil(low)), _size_class(F.floor(high))))
     probe = placed.select("key", F.explode(classes).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "root")])
-    pairs = index.join(probe, ["key", "class"]).filter("root_a <> root_b AND (n_a < n_b OR (n_a = n_b AND node_a < node_b))")
+    pairs = index.join(shuffled(probe), ["key", "class"]).filter("root_a <> root_b AND (n_a < n_b OR (n_a = n_b AND node_a < node_b))")
     most_shared = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     pairs = pairs.filter(_fits(F.col("n_a"), F.col("n_b"), similarity) & (most_shared >= part * (F.col("n_a") + F.col("n_b")) - _ROUNDING))
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -222,7 +222,8 @@ def similar_components(
         shared = _shared(rows)
     alike = _alike_prints(rows, radius, texts) if radius is not None else rows.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     known = stars(alike, texts)
-    met = rows.select("node", "n", "rare", F.posexplode("keys").alias("place", "key")).join(shared.select("key"), "key")
+    met = rows.select("node", "n", "rare", F.posexplode("keys").alias("place", "key"))
+    met = shuffled(met).join(shared.select("key"), "key")
     met = stage(met.select("key", "node", "n", "rare", "place").distinct())
     places = met.count()
     sketches = stage(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), texts)

@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, simhash, similar, substring_dedup
+from barloom.llm import exact_dedup, packing, simhash, similar, substring_dedup
+from barloom.llm.queries import tokenizer_path
 from barloom.llm.stage import stage
 
 from .fixtures import frame, rows
@@ -314,3 +315,21 @@ def test_many_edges_are_not_broadcast(spark, monkeypatch):
     assert {(r.node, r.root) for r in linked.collect()} == {(i, i % 7) for i in range(7, 200)}
     assert not [p for plan in plans for p in broadcast_alone(plan) if "Generate" in p]
     assert any("SortMergeJoin" in plan for plan in plans)
+
+
+def test_no_exploded_shingles_are_broadcast(spark, monkeypatch):
+    plans = staged_plans(monkeypatch, simhash, similar)
+    assert similar.similar_components(frame(spark), radius=4).count() == len(rows())
+    placed = stage(spark.range(50).selectExpr("id % 5 AS key", "id AS node", "CAST(40 + id % 3 AS INT) AS n", "CAST(id % 2 AS INT) AS place", "id AS root"))
+    plans.append(plan_of(similar.candidate_pairs(placed)))
+    assert any("Generate" in plan for plan in plans)
+    assert not [p for plan in plans for p in broadcast_alone(plan) if "Generate" in p]
+
+
+def test_tables_of_a_row_a_document_are_not_broadcast(spark, monkeypatch):
+    """Digests and pieces are read as small files, of which a broadcast would make many times as much."""
+    plans = staged_plans(monkeypatch, exact_dedup)
+    assert exact_dedup.exact_groups(frame(spark), F.pmod(F.xxhash64("doc_id"), F.lit(3))).count() == len(rows())
+    assert not [p for plan in plans for p in broadcast_alone(plan) if "xxhash64(digest" in p]
+    plans = [plan_of(packing.pack(frame(spark), tokenizer_path()))]
+    assert "SortMergeJoin" in plans[0] and not broadcast_alone(plans[0])
