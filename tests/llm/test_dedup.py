@@ -138,6 +138,34 @@ def test_substring_dedup_against_dictionary(spark, monkeypatch, hot):
     assert Counter(tuple(g) for g in got) == brute_removed(data, 50)
 
 
+def test_merged_ranges_cover_the_same_places():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 200):
+        start = draw.integers(0, 900, n)
+        ranges = np.stack([start, start + draw.integers(1, 30, n)], axis=1)
+        got = substring_dedup.merged(ranges)
+        cover = lambda r: {i for x, y in r.tolist() for i in range(x, y)}
+        assert cover(got) == cover(ranges) and (got[1:, 0] > got[:-1, 1]).all()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_ranges_decided_in_a_chunk_are_few_and_spread(spark, monkeypatch, hot):
+    """They went, window by window, with the chunk's first row, so those of all chunks to the shard of the smallest number."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 4000)
+    if hot:
+        monkeypatch.setattr(substring_dedup, "HOT_DOCUMENTS", 2)
+    passage = " ".join(f"shared{i}" for i in range(40))
+    data = [(i, f"{passage} own{i}", *[None] * 7) for i in range(150)]
+    chunked = stage(substring_dedup.chunks(frame(spark, data).coalesce(1)))
+    shared = stage(substring_dedup.shared_names(substring_dedup.names(chunked, 3, substring_dedup.LENGTH)))
+    sent = substring_dedup.pieces(chunked, shared, 64, substring_dedup.LENGTH).collect()
+    decided = [(r.shard, np.frombuffer(r.removed, np.int64).reshape(-1, 2)) for r in sent if len(r.removed)]
+    assert len(decided) == chunked.count() > 10
+    assert len({s for s, _ in decided}) > 3
+    assert all((x[1:, 0] > x[:-1, 1]).all() for _, x in decided)
+    assert max(len(x) for _, x in decided) <= 12
+
+
 def test_suffix_array_is_sorted():
     draw = np.random.default_rng(2)
     for alphabet in (1, 2, 30):
